@@ -32,7 +32,7 @@ def _fisher_yates(seed: int, names: list[str]):
     def run(bucket: pa.Table) -> pa.Table:
         if not bucket.num_rows:
             return bucket.select(names).append_column("_at", pa.array([], pa.int64()))
-        order = pc.sort_indices(bucket, [("_tie", "ascending"), ("_size", "ascending")]).to_numpy()
+        order = pc.sort_indices(bucket, [("_tie", "ascending"), ("_size", "ascending")]).to_numpy().copy()
         generator = np.random.Generator(np.random.PCG64([seed, bucket.column("_bucket")[0].as_py()]))
         first = bucket.column("_first")[0].as_py()
         for k in range(len(order) - 1, 0, -1):
