@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets, sharding, tokencount
+from . import bpe, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
 from .common import table
 
 
@@ -39,12 +39,33 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks)
     return bpe.decode(ids, ranks, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op8_byte_bpe)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.digest(table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op6_ngram_jaccard, op7_exact_topk, op8_byte_bpe, op9_html_text, op10_embedding_dedup,
+    )
+}
 
 SQL: dict[str, str] = {}
