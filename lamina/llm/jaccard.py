@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join over whole texts, exact, by a count-vector R-tree.
 
-A text's set is its distinct shingles of `words` words. Shingles are hashed into 64 groups
+A text's set is its distinct shingles of `words` words. Shingles are hashed into 1024 groups
 and a set's counts by group are a point; the overlap of two sets is at most the sum of the
 smaller coordinates. Points are packed by set size into tree nodes that keep the largest
-coordinates and the sizes they span, so that one sum bounds a whole node; pairs that
-survive are verified on the shingles themselves.
+coordinates, summed to 64, and the sizes they span, so that one sum bounds a whole node;
+then the 64 sums and last all 1024 coordinates bound single pairs. Pairs that survive are
+verified on the shingles themselves.
 
 How the points are dealt over the cluster, without losing a pair:
 1. Equal sets become one class (`ref`, a digest). One pass over the texts also counts, over
@@ -12,11 +13,12 @@ How the points are dealt over the cluster, without losing a pair:
 2. All sets order their shingles by that count, then by hash. Two sets that link share a
    shingle among the first n - ceil(t*n) + 1 of each, so every class goes to the cells of
    these shingles only. Cells of one class are dropped, cells of the same classes are one.
-3. In each cell a tree over the points finds, leader by leader, who may link with it; these
-   stars, not all pairs, are verified and their links joined into components.
-4. In each cell the tree then finds pairs that may link but are not yet in one component;
-   they are verified too. So groups of thousands of near copies cost stars, and no link
-   between different texts is missed, as every linked pair ends in one component.
+3. In each cell a tree over the points finds groups that may link; a star from the point
+   nearest the group's mean, not all pairs, is verified and its links joined into components.
+4. The tree then finds pairs that may link but are not yet in one component: first the best
+   few of every set, and, when these are joined as well, all that are left. So groups of
+   thousands of near copies cost stars and few pairs more, and no link between different
+   texts is missed, as every linked pair ends in one component.
 
 Null and empty texts and those without words have an empty set, link with nothing and are
 components of their own. Texts shorter than `words` words are one shingle. Repeated rows
@@ -38,7 +40,8 @@ from .common import by_value, components, cut
 
 by_value(__name__)
 
-GROUPS = 64
+GROUPS = 1024
+COARSE = 64
 DF_BITS = 18
 SLICE = 4096
 FANOUT = 32
@@ -121,14 +124,20 @@ def ref_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> bytes:
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return c.astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes()
+    c = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=GROUPS)
+    return zstandard.compress(c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes(), 1)
 
 
 def points(blobs: list[bytes]) -> np.ndarray:
-    if all(len(b) == 2 * GROUPS for b in blobs):
-        return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-    return np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * GROUPS else np.uint32).astype(np.int32) for b in blobs])
+    raw = [zstandard.decompress(b) for b in blobs]
+    if all(len(b) == GROUPS for b in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(b, np.uint8 if len(b) == GROUPS else np.uint32).astype(np.uint32) for b in raw])
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most so many shingles are common: the sums of the smaller coordinates."""
+    return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
 def df_group(s: np.ndarray) -> np.ndarray:
@@ -192,23 +201,29 @@ class CountTree:
 
     def __init__(self, sizes: np.ndarray, counts: np.ndarray, num: int, den: int):
         self.n, self.c, self.num, self.den = sizes, counts, num, den
+        self.sums = counts.reshape(len(counts), COARSE, -1).sum(2, dtype=np.int32)
         starts = np.arange(0, len(sizes), FANOUT)
-        self.top = np.maximum.reduceat(counts, starts, axis=0)
+        self.top = np.maximum.reduceat(self.sums, starts, axis=0)
         self.least = sizes[starts]
 
     def need(self, a, b):
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def search(self, n: int, c: np.ndarray, low: int = 0) -> np.ndarray:
-        """Positions from low on that may link with a set of size n, no larger than theirs, and counts c."""
+    def search(self, i: int) -> np.ndarray:
+        """Positions after i that may link with i. Their sets are no smaller."""
+        n, low = int(self.n[i]), i + 1
         high = int(np.searchsorted(self.n, n * self.den // self.num, "right"))
         if low >= high:
             return np.zeros(0, np.int64)
         nodes = np.arange(low // FANOUT, (high - 1) // FANOUT + 1)
-        good = nodes[np.minimum(self.top[nodes], c).sum(1) >= self.need(n, np.maximum(self.least[nodes], n))]
+        good = nodes[overlap(self.top[nodes], self.sums[i]) >= self.need(n, np.maximum(self.least[nodes], n))]
         at = (good[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         at = at[(at >= low) & (at < high)]
-        return at[np.minimum(self.c[at], c).sum(1) >= self.need(n, self.n[at])]
+        at = at[overlap(self.sums[at], self.sums[i]) >= self.need(n, self.n[at])]
+        return at[self.may(i, at)]
+
+    def may(self, i: int, at: np.ndarray) -> np.ndarray:
+        return overlap(self.c[at], self.c[i]) >= self.need(self.n[i], self.n[at])
 
 
 def _cells(batches, columns):
@@ -229,8 +244,8 @@ def _cells(batches, columns):
         yield held
 
 
-def _candidates(num: int, den: int, labelled: bool):
-    """Pairs of a cell that may link: stars of leaders, or with labels all pairs of different labels."""
+def _candidates(num: int, den: int, labelled: bool, most: int = 0):
+    """Pairs of a cell that may link: stars or, with labels, pairs of different labels (`most` of each set, if not 0)."""
     columns = ["cell", "ref", "n", "point", *(["label"] if labelled else [])]
 
     def star(t, k):
@@ -240,21 +255,26 @@ def _candidates(num: int, den: int, labelled: bool):
         for i in range(len(order)):
             if not alive[i]:
                 continue
-            at = tree.search(int(n[i]), tree.c[i], i + 1)
-            at = at[alive[at] & (ref[at] != ref[i])]
-            alive[at] = False
-            yield ref[i], ref[at]
+            at = tree.search(i)
+            at = np.append(at[alive[at]], i)
+            center = at[np.abs(tree.c[at] - tree.c[at].mean(0, dtype=np.float32)).sum(1).argmin()] if len(at) > 2 else i
+            reached = at[tree.may(center, at)]
+            alive[reached] = alive[i] = False
+            yield ref[center], ref[reached[reached != center]]
 
     def across(t, k):
-        label = t["label"][k]
-        if (label == label[0]).all():
+        if (t["label"][k] == t["label"][k[0]]).all():
             return
         order = k[np.lexsort((t["ref"][k], t["n"][k]))]
         n, ref, label = t["n"][order], t["ref"][order], t["label"][order]
         tree = CountTree(n, t["point"][order], num, den)
         for i in range(len(order)):
-            at = tree.search(int(n[i]), tree.c[i], i + 1)
-            yield ref[i], ref[at[label[at] != label[i]]]
+            at = tree.search(i)
+            at = at[label[at] != label[i]]
+            if most and len(at) > most:
+                close = overlap(tree.c[at], tree.c[i]) / (n[i] + n[at])
+                at = at[np.lexsort((ref[at], -close))[:most]]
+            yield ref[i], ref[at]
 
     def run(batches):
         for t in _cells(batches, columns):
@@ -262,8 +282,7 @@ def _candidates(num: int, den: int, labelled: bool):
             lengths = np.diff(np.append(starts, len(t["cell"])))
             two = starts[lengths == 2]
             na, nb = t["n"][two], t["n"][two + 1]
-            good = np.minimum(t["point"][two], t["point"][two + 1]).sum(1) >= -(-num * (na + nb) // (num + den))
-            good &= t["ref"][two] != t["ref"][two + 1]
+            good = overlap(t["point"][two], t["point"][two + 1]) >= -(-num * (na + nb) // (num + den))
             if labelled:
                 good &= t["label"][two] != t["label"][two + 1]
             a, b = [t["ref"][two][good]], [t["ref"][two + 1][good]]
@@ -273,7 +292,8 @@ def _candidates(num: int, den: int, labelled: bool):
                     b.append(ys)
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     return run
 
@@ -299,7 +319,7 @@ def _zip_text(batches):
         yield pa.RecordBatch.from_arrays([batch.column("ref"), pa.array([zstandard.compress(x.encode(), 3) for x in batch.column("text").to_pylist()], pa.binary())], names=["ref", "text"])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, few: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
     Two rows link when den * |intersection| >= num * |union|. Keys are of an integer type and, so that
@@ -341,13 +361,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return df.repartition("cell").sortWithinPartitions("cell")
 
         stars = dealt(cells.select("cell", "ref", "n", "point")).mapInArrow(_candidates(num, den, False), "a long, b long").distinct()
-        first = verify(stars)
-        found = first.where("linked").select("a", "b")
-        label = components(found).select(F.col("node").alias("ref"), F.col("component").alias("label"))
-        marked = cells.join(label, "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
-        more = dealt(marked).mapInArrow(_candidates(num, den, True), "a long, b long").distinct()
-        second = verify(more.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        links = found.union(second.where("linked").select("a", "b"))
+        known = verify(stars)
+        for most in (few, 0):
+            label = components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label"))
+            marked = cells.join(label, "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
+            more = dealt(marked).mapInArrow(_candidates(num, den, True, most), "a long, b long").distinct()
+            known = known.union(verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti")))
+        links = known.where("linked").select("a", "b")
 
     named = classes.select("ref", "rep")
     if links is not None:
