@@ -299,27 +299,45 @@ def _candidates(num: int, den: int, labelled: bool, most: int = 0):
 
 
 def _linked(words: int, num: int, den: int):
+    """A row without leaf gives the hub's text; the rows of its leaves follow."""
+
     def run(batches):
-        shingles, last = Shingler(words), (None, None)
+        shingles, own = Shingler(words), None
         for batch in batches:
-            good = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if last[0] != a:
-                    last = a, shingles(zstandard.decompress(x).decode())
-                s, t = last[1], shingles(zstandard.decompress(y).decode())
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(den * common >= num * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
+            at, good = [], []
+            for k, (leaf, x) in enumerate(zip(batch.column("leaf").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                t = shingles(zstandard.decompress(x).decode())
+                if leaf is None:
+                    own = t
+                    continue
+                common = len(np.intersect1d(own, t, assume_unique=True))
+                at.append(k)
+                good.append(den * common >= num * (len(own) + len(t) - common))
+            if at:
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([rows.column("hub"), rows.column("leaf"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _zip_text(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("ref"), pa.array([zstandard.compress(x.encode(), 3) for x in batch.column("text").to_pylist()], pa.binary())], names=["ref", "text"])
+def _zip_text(words: int):
+    """The text of each class once per task, told by its digest: rows of another text under the same key are not taken."""
+
+    def run(batches):
+        shingles, seen = Shingler(words), set()
+        for batch in batches:
+            got = []
+            for ref, x in zip(batch.column("ref").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if ref not in seen and len(s := shingles(x)) and ref_of(s) == ref:
+                    seen.add(ref)
+                    got.append((ref, zstandard.compress(x.encode(), 3)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["ref", "text"])
+
+    return run
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, few: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, few: int = 4, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
     Two rows link when den * |intersection| >= num * |union|. Keys are of an integer type and, so that
@@ -344,28 +362,43 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "ref"), F.lit((1 << 31) - 1))).over(own)
     shared = tokens.withColumns({"low": F.min("ref").over(own), "high": F.max("ref").over(own), "s": part(1), "t": part(2), "m": F.count("*").over(own)}).where("low < high")
     members = shared.select(F.xxhash64("s", "t", "m").alias("cell"), "ref").distinct()
-    cells = cut(members.join(classes.select("ref", "rep", "n", "point"), "ref"))
+    # Dealt by cell once: a checkpoint keeps partitions and their order, so every round below is a narrow pass over it.
+    dealt = members.join(classes.select("ref", "n", "point"), "ref").select("cell", "ref", "n", "point")
+    cells = cut(dealt.repartition("cell").sortWithinPartitions("cell"))
+
+    def light(df):
+        """Broadcast a slim table of checked size; a larger one is joined by a shuffle."""
+        return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
     if not cells.take(1):
         links = None
     else:
-        taking = cells.select("ref", "rep").distinct()
-        small = taking.limit(broadcast_rows + 1).count() <= broadcast_rows
-        texts = rows.join(F.broadcast(taking) if small else taking, F.col("key") == F.col("rep")).select("ref", "text").where("text is not null")
-        texts = cut(texts.mapInArrow(_zip_text, "ref long, text binary").dropDuplicates(["ref"]))
+        taking = cut(cells.select("ref").distinct().join(classes.select("ref", "rep"), "ref"))
+        texts = rows.join(light(taking), F.col("key") == F.col("rep")).select("ref", "text").where("text is not null")
+        texts = cut(texts.mapInArrow(_zip_text(words), "ref long, text binary"))
 
         def verify(pairs):
-            t = pairs.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("tb")), "b")
-            return cut(t.select("a", "b", "ta", "tb").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean"))
-
-        def dealt(df):
-            return df.repartition("cell").sortWithinPartitions("cell")
-
-        stars = dealt(cells.select("cell", "ref", "n", "point")).mapInArrow(_candidates(num, den, False), "a long, b long").distinct()
-        known = verify(stars)
+            """Stars around the end with more pairs; a hub's text goes to one task for each `leaves` of its leaves."""
+            pairs = cut(pairs)
+            degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").count()
+            ends = [light(cut(degree.select(F.col("x").alias(c), F.col("count").alias(f"n{c}")))) for c in ("a", "b")]
+            both = pairs.join(ends[0], "a").join(ends[1], "b")
+            first = F.col("na") >= F.col("nb")
+            stars = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.ceil(F.greatest("na", "nb") / leaves).alias("m"))
+            stars = cut(stars.select("hub", F.pmod(F.xxhash64("leaf"), F.col("m")).alias("part"), "leaf"))
+            tops = stars.select("hub", "part").distinct()
+            top = texts.join(light(tops), texts.ref == tops.hub).select("hub", "part", F.lit(None).cast("long").alias("leaf"), "text")
+            under = texts.join(light(stars), texts.ref == stars.leaf).select("hub", "part", "leaf", "text")
+            said = top.union(under).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leaf").asc_nulls_first())
+            return cut(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
+
+        known = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
         for most in (few, 0):
-            label = components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label"))
-            marked = cells.join(label, "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
-            more = dealt(marked).mapInArrow(_candidates(num, den, True, most), "a long, b long").distinct()
+            label = cut(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
+            marked = cells.join(light(label), "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
+            if label.limit(broadcast_rows + 1).count() > broadcast_rows:
+                marked = marked.repartition("cell").sortWithinPartitions("cell")
+            more = marked.mapInArrow(_candidates(num, den, True, most), "a long, b long").distinct()
             known = known.union(verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti")))
         links = known.where("linked").select("a", "b")
 
