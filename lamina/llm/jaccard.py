@@ -12,7 +12,9 @@ How the points are dealt over the cluster, without losing a pair:
    all rows, how many sets use each of 2^18 groups of shingles.
 2. All sets order their shingles by that count, then by hash. Two sets that link share a
    shingle among the first n - ceil(t*n) + 1 of each, so every class goes to the cells of
-   these shingles only. Cells of one class are dropped, cells of the same classes are one.
+   these shingles only. Cells of one class are dropped, cells of the same classes are one,
+   and cells joined by common classes are one as long as that has no more than `most` of
+   them; a larger group keeps its own cells.
 3. In each cell a tree over the points finds groups that may link; a star from the point
    nearest the group's mean, not all pairs, is verified and its links joined into components.
 4. The tree then finds pairs that may link but are not yet in one component: first the best
@@ -149,20 +151,20 @@ def _digests(words: int, key_type):
 
     def run(batches):
         shingles, df = Shingler(words), np.zeros(1 << DF_BITS, np.int64)
-        names = ["key", "n", "ref", "point", "slice", "counts"]
+        names = ["key", "n", "ref", "slice", "counts"]
         for batch in batches:
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
             df += np.bincount(df_group(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=len(df))
             full = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([ref_of(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
-                pa.array([point(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary()), pa.array([-1] * len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                pa.array([-1] * len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
             ], names=names)
         at = [i for i in range(0, len(df), SLICE) if df[i : i + SLICE].any()]
         if at:
             blobs = [zstandard.compress(df[i : i + SLICE].astype(np.int64).tobytes(), 3) for i in at]
             k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i // SLICE for i in at], pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i // SLICE for i in at], pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -330,14 +332,15 @@ def _zip_text(words: int):
             for ref, x in zip(batch.column("ref").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if ref not in seen and len(s := shingles(x)) and ref_of(s) == ref:
                     seen.add(ref)
-                    got.append((ref, zstandard.compress(x.encode(), 3)))
+                    got.append((ref, len(s), point(s), zstandard.compress(x.encode(), 3)))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["ref", "text"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["ref", "n", "point", "text"])
 
     return run
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, few: int = 4, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, few: int = 4, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
     Two rows link when den * |intersection| >= num * |union|. Keys are of an integer type and, so that
@@ -348,7 +351,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    both = cut(rows.mapInArrow(_digests(words, to_arrow_type(kind)), f"key {kind.simpleString()}, n long, ref long, point binary, slice int, counts binary"))
+    both = cut(rows.mapInArrow(_digests(words, to_arrow_type(kind)), f"key {kind.simpleString()}, n long, ref long, slice int, counts binary"))
     digests = both.where("slice = -1")
     slices = both.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
     df = np.zeros(1 << DF_BITS, np.uint32)
@@ -356,26 +359,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         df[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint32)
     table = spark.sparkContext.broadcast(df)
 
-    classes = cut(digests.where("ref is not null and key is not null").groupBy("ref").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.max("point").alias("point")))
+    classes = cut(digests.where("ref is not null and key is not null").groupBy("ref").agg(F.min("key").alias("rep")))
     tokens = rows.select("text").mapInArrow(_prefixes(words, num, den, table), "tok long, ref long")
     own = W.partitionBy("tok")
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "ref"), F.lit((1 << 31) - 1))).over(own)
     shared = tokens.withColumns({"low": F.min("ref").over(own), "high": F.max("ref").over(own), "s": part(1), "t": part(2), "m": F.count("*").over(own)}).where("low < high")
-    members = shared.select(F.xxhash64("s", "t", "m").alias("cell"), "ref").distinct()
-    # Dealt by cell once: a checkpoint keeps partitions and their order, so every round below is a narrow pass over it.
-    dealt = members.join(classes.select("ref", "n", "point"), "ref").select("cell", "ref", "n", "point")
-    cells = cut(dealt.repartition("cell").sortWithinPartitions("cell"))
+    members = cut(shared.select(F.xxhash64("s", "t", "m").alias("cell"), "ref", "low").distinct())
 
     def light(df):
         """Broadcast a slim table of checked size; a larger one is joined by a shuffle."""
         return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
 
-    if not cells.take(1):
+    if not members.take(1):
         links = None
     else:
-        taking = cut(cells.select("ref").distinct().join(classes.select("ref", "rep"), "ref"))
+        near = cut(components(members.select("ref", "low").distinct(), "ref", "low").select(F.col("node").alias("ref"), F.col("component").alias("group")))
+        sizes = near.groupBy("group").agg((F.count("*") > most).alias("large"))
+        near = cut(near.join(sizes, "group"))
+        taking = cut(near.select("ref").join(classes, "ref"))
         texts = rows.join(light(taking), F.col("key") == F.col("rep")).select("ref", "text").where("text is not null")
-        texts = cut(texts.mapInArrow(_zip_text(words), "ref long, text binary"))
+        texts = cut(texts.mapInArrow(_zip_text(words), "ref long, n long, point binary, text binary"))
+        # Dealt by cell once: a checkpoint keeps partitions and their order, so every round below is a narrow pass over it.
+        large = near.where("large").select("ref")
+        place = near.where("not large").select(F.col("group").alias("cell"), "ref")
+        if large.take(1):
+            place = place.union(members.select("cell", "ref").distinct().join(light(cut(large)), "ref", "left_semi").select("cell", "ref"))
+        dealt = place.join(texts.select("ref", "n", "point"), "ref").select("cell", "ref", "n", "point")
+        cells = cut(dealt.repartition("cell").sortWithinPartitions("cell"))
 
         def verify(pairs):
             """Stars around the end with more pairs; a hub's text goes to one task for each `leaves` of its leaves."""
@@ -393,12 +403,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return cut(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
 
         known = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
-        for most in (few, 0):
+        for best in (few, 0):
             label = cut(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
             marked = cells.join(light(label), "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
             if label.limit(broadcast_rows + 1).count() > broadcast_rows:
                 marked = marked.repartition("cell").sortWithinPartitions("cell")
-            more = marked.mapInArrow(_candidates(num, den, True, most), "a long, b long").distinct()
+            more = marked.mapInArrow(_candidates(num, den, True, best), "a long, b long").distinct()
             known = known.union(verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti")))
         links = known.where("linked").select("a", "b")
 
