@@ -43,30 +43,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
 
     Alternating large-star and small-star: every round is joins and partial aggregates
     over the edge list, so no component is gathered in one task or the driver, and the
-    number of rounds grows with the logarithm of a component's size. Null ends and self
-    loops are ignored; repeated edges count once; no edges give no rows.
+    number of rounds grows with the logarithm of a component's size. The table of least
+    neighbours is broadcast while the edges are known to be no more than broadcast_rows,
+    else joined by a shuffle. Null ends and self loops are ignored; repeated edges count
+    once; no edges give no rows.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     while True:
+        hint = F.broadcast if e.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda df: df
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         # large star: larger neighbours of u hang on the least of u's neighbourhood
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(hint(low), both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         # small star: smaller neighbours of u and u itself hang on the least of them
-        step = large.join(least, large.u == least.k)
+        step = large.join(hint(least), large.u == least.k)
         small = step.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(step.select("u", F.col("m").alias("v")))
-        new = cut(small.where("u > v").distinct())
-        # Done when it is a set of stars: no node is both a leaf and a centre, and each leaf has one centre.
-        n = new.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
-        inner = new.select("u").join(new.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() if n.n == n.d else 1
-        e = new
-        if not inner:
+        e = cut(small.where("u > v").distinct())
+        # Done when it is a set of stars: each leaf has one centre, and no node is both a leaf and a centre.
+        n = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
+        if n.n == n.d and not e.select("u").join(hint(e.select(F.col("v").alias("u"))), "u", "left_semi").limit(1).count():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

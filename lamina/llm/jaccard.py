@@ -340,7 +340,7 @@ def _zip_text(words: int):
     return run
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, few: int = 4, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, few: int = 1, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
     Two rows link when den * |intersection| >= num * |union|. Keys are of an integer type and, so that
