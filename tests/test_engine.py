@@ -1,0 +1,207 @@
+"""The engine and operators on small cases with known answers."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.operators import extract, lifecycle, provenance, reports, retrieve, store, telemetry, tree
+from lamina.plans.engine import Cache, Engine
+from lamina.sources import config, export
+from lamina.streaming import sessions
+
+FACTS = [
+    ("p1", "project", "Tech stack: FastAPI + PostgreSQL + Redis", 1.0), ("p2", "project", "Auth: JWT with RS256, 15min access tokens", 1.0), ("p3", "project", "Database: UUID primary keys everywhere", 1.0),
+    ("p4", "project", "Deployment: Docker Compose on AWS ECS", 1.0), ("s1", "session", "Fixed CORS bug in middleware", 0.8), ("s2", "session", "Wrote docs", 0.8),
+]
+T0 = datetime(2024, 1, 1)
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    return Engine(spark, str(tmp_path / "state"))
+
+
+def frame(spark, rows=FACTS):
+    return spark.createDataFrame([(i, la, c, "manual", x, T0, None, [la]) for i, la, c, x in rows], store.MEMORY)
+
+
+def test_retrieval_finds_the_right_fact(spark):
+    q = spark.createDataFrame([("a", "tech stack"), ("b", "authentication"), ("c", "deployment"), ("d", "database"), ("e", "the and"), ("f", "zebra")], "query_id string, query string")
+    rows = {r.query_id: r for r in retrieve.results(frame(spark), q, 3).collect()}
+    assert [rows[k].sources[0]["id"] for k in "abcd"] == ["p1", "p2", "p4", "p3"]
+    assert rows["e"].trace == ["no_keywords"] and rows["e"].facts == []
+    assert rows["f"].trace == ["root", "no_match"] and rows["f"].confidence == 0.0
+    assert rows["b"].sources[0]["score"] == 10.25 and rows["b"].confidence == 1.0
+
+
+def literal_walk(facts, query, top_k, py_stems):
+    """Points of the semantics, node by node."""
+    from lamina.functions import values as V
+
+    q = set(py_stems(query))
+    group = lambda c: next((g for g, ws in V.CLUSTERS if any(w in c.lower() for w in ws)), "other")
+    nodes = []
+    for la in dict.fromkeys(f[1] for f in facts):
+        of = [f for f in facts if f[1] == la]
+        nodes.append((la.capitalize(), f"{len(of)} memories in layer '{la}'", 1, of))
+        for g in dict.fromkeys(group(f[2]) for f in of):
+            own = [f for f in of if group(f[2]) == g]
+            nodes.append((g.replace("_", " ").title(), f"{len(own)} memories about {g}", 2, own))
+            nodes += [(f[2][:60], f[2], 3, [f]) for f in own]
+    best = {}
+    for title, summary, d, own in nodes:
+        for i, la, c, conf in own:
+            s = len(q & set(py_stems(title))) + len(q & set(py_stems(summary))) + 3 * len(q & set(py_stems(c)))
+            if s > 0 and (t := s * V.BOOST.get(la, 1.0) * conf + 1 / (d + 1)) >= 1.0:
+                best[i] = max(best.get(i, 0), t)
+    text = {f[0]: f[2] for f in facts}
+    order = sorted((-s, i) for i, s in best.items() if s >= 0.5 * max(best.values()))
+    seen, out = set(), []
+    for s, i in order:
+        if text[i] not in seen:
+            seen.add(text[i])
+            out.append((i, round(-s, 6)))
+    return out[:top_k]
+
+
+def test_retrieval_equals_a_literal_walk(spark):
+    from tests.test_text import py_stems
+
+    rows = FACTS + [("u1", "user", "I always prefer tabs over spaces and like short functions with a very long description after it", 0.7), ("u2", "user", "Wrote docs", 0.5), ("u3", "user", "memories of the team meeting", 0.2)]
+    asked = ["memories in session", "team meeting", "user", "prefer tabs", "description", "tech stack decisions", "other", "docs", "project auth database"]
+    q = spark.createDataFrame([(str(k), a) for k, a in enumerate(asked)], "query_id string, query string")
+    got = {}
+    for r in retrieve.keyword(frame(spark, rows), q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(int(r.query_id), []).append((r.id, round(r.score, 6)))
+    for k, a in enumerate(asked):
+        assert got.get(k, []) == literal_walk(rows, a, 5, py_stems), a
+
+
+@pytest.mark.parametrize("layer,c,days,want", [("session", 0.7, 1, 0.665), ("user", 0.7, 1, 0.693), ("session", 0.5, 1, 0.475), ("session", 1.0, 5, 1.0), ("project", 0.7, 9, 0.7), ("session", 0.2, 1, 0.3), ("other", 0.4, 3, 0.4), ("session", 0.7, 0, 0.7)])
+def test_decay(spark, layer, c, days, want):
+    new, _ = lifecycle.decay(frame(spark, [("x", layer, "t", c)]), days)
+    assert new.first().confidence == pytest.approx(want)
+
+
+def test_health(spark):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    m = spark.createDataFrame([("a", "project", "ok text", "manual", 1.0, T0, None, []), ("b", "session", "password=hunter2", "Scraper", 0.9, T0, T0 + timedelta(days=1), []), ("c", "user", "x", "unknown", 0.3, T0, None, [])], store.MEMORY)
+    rec = spark.createDataFrame([("r", "q", T0, "keyword", 1, 3, 1.0, [("a", "ok text", "project", "explicit", 1.0, "m", ["root"])])], store.PROVENANCE)
+    h = reports.health(m, rec, spark.createDataFrame([], store.SPAN), now).first()
+    assert (h.expired_count, h.low_confidence_count, h.risky_source_count, h.secret_finding_count) == (1, 1, 2, 1)
+    assert h.coverage == pytest.approx(1 / 3, abs=1e-6) and h.status == "warn"
+    assert h.warnings == "expired,low_confidence,risky_sources,secret_findings,low_provenance_coverage"
+
+
+def test_tree(spark):
+    nodes = tree.build(frame(spark)).collect()
+    by = {n.node_id: n for n in nodes}
+    assert by["root"].summary == "Root node with 2 layers, 6 total memories" and by["layer_project"].title == "Project"
+    assert by["layer_session"].confidence == 0.8 and len(nodes) == len({n.node_id for n in nodes})
+    assert tree.build(frame(spark, [])).collect()[0].summary == "Empty memory store"
+
+
+def test_extraction_falls_through_patterns(spark):
+    t = "we use FastAPI for all the services\nshort\nimport sqlalchemy as sa\nimport fastapi as fa\ndecided to email a@b.com about it\nmigrated from a to postgres quickly\nwe use FastAPI for all the services"
+    got = extract.by_pattern(spark.createDataFrame([("t", "project", t)], "id string, layer string, content string")).orderBy("line_no").collect()
+    assert [(r.content, r.tags[1]) for r in got] == [("we use FastAPI for all the services", "tech_choice"), ("sqlalchemy", "dependency"), ("migrated from a to postgres quickly", "migration")]
+
+
+def test_model_replies(spark):
+    r = '```json\n{"memories": [{"content": "Uses Kafka", "confidence": 0.8, "tags": ["a"]}, {"content": "x"}, {"content": "my password is 1"}]}\n```'
+    got = extract.from_replies(spark.createDataFrame([("project", r), ("user", "no json")], "layer string, reply string")).collect()
+    assert [(g.content, g.confidence) for g in got] == [("Uses Kafka", 0.7)]
+    named = tree.cluster_with_model(frame(spark), lambda p: '[{"name": "all", "memory_ids": ["p1", "zz"]}]' if "p1" in p else "oops").collect()
+    assert ("project", "all", "p1") in {(n.layer, n.name, n.memory_id) for n in named} and any(n.layer == "session" for n in named)
+
+
+def test_engine_round_trip(engine, spark):
+    a = engine.remember("we use the FastAPI framework", "project", as_of=T0)
+    b = engine.remember("password=hunter2 is weak", "session", as_of=T0)
+    assert engine.memories().where(F.col("id") == b).first().content == "[REDACTED_PASSWORD] is weak"
+    first = engine.recall("framework", as_of=T0)
+    assert first["facts"] == ["we use the FastAPI framework"] and engine.recall("framework")["facts"] == first["facts"] and engine.cache.hits == 1
+    assert engine.expire(T0 + timedelta(days=8)) == 1 and engine.stats()["memories"] == 1
+    engine.set_layer(a, "session")
+    assert engine.trigger("on_commit", T0) == ["consolidate session -> project"]
+    assert engine.memories("project").count() == 1 and engine.audit().first().n_memories == 1
+    engine.remember("wrote the parser", "session", as_of=T0)
+    assert engine.reflect(force=True, as_of=T0) == "manual"
+    assert engine.memories().where("source = 'reflection'").first().content == "Session reflection (manual): wrote the parser"
+    assert engine.forget(a) and not engine.forget("zz")
+    assert engine.tree().where("depth = 3").count() == engine.memories().count()
+    assert engine.span_stats().where("kind = 'all'").first().n > 5 and engine.health(T0).first().memory_count == 2
+    assert engine.state.read("memories", 1).count() == 1  # an old version
+    assert engine.recall_by_model("parser", lambda p: '{"relevant_nodes": ["layer_project"]}')["sources"]
+    assert engine.recall_by_model("parser", lambda p: 1 / 0)["facts"]
+    engine.learn(spark.createDataFrame([("t", "user", "I always prefer small functions\nnothing")], "id string, layer string, content string"), T0)
+    assert engine.memories("user").count() == 1
+
+
+def test_two_writers_do_not_mix(engine, spark):
+    engine.remember("a fact that is long", "project")
+    s2 = type(engine.state)(spark, engine.state.path)
+    s2.version = lambda: 0  # a writer that looked before the first commit
+    with pytest.raises(Exception):
+        s2.commit(memories=spark.createDataFrame([], store.MEMORY))
+    assert engine.memories().count() == 1
+
+
+def test_cache_expires():
+    t = [0.0]
+    c = Cache(10, lambda: t[0])
+    c.set("k", 1)
+    assert c.get("k") == 1
+    t[0] = 11
+    assert c.get("k") is None and c.stats() == {"hits": 1, "misses": 1, "size": 1, "hit_rate": 0.5}
+
+
+def test_config(tmp_path):
+    r = config.parse('[forget]\nnever = ["x"]\n[forget.after_days]\nsession = 1\n')
+    assert r.never == ("x",) and r.ttl("session") == 1 and r.ttl("user") is None and "on_commit" in r.triggers
+    w = config.Watched(str(tmp_path / "rules.toml"))
+    assert w.get() == config.Rules()
+    (tmp_path / "rules.toml").write_text('[layers]\na = "b"\n')
+    assert w.get().layers == {"a": "b"}
+
+
+def test_telemetry(spark, tmp_path):
+    rows = [("1", "t", "s", op, 1.5, 2.0, None, la, None, c, None, None, None, st, None, {"gen_ai.system": "mine"}, "svc") for op, la, c, st in (("store", "project", 0.5, "ok"), ("bad", None, None, "ok"), ("search", None, 2.0, "error"), ("delete", None, None, "error"))]
+    s = spark.createDataFrame(rows, store.SPAN)
+    good, bad = telemetry.split_valid(s)
+    assert good.count() == 2 and bad.count() == 2
+    o = telemetry.otlp(good).orderBy("name").collect()
+    assert o[1].startTimeUnixNano == "1500000000" and o[1].endTimeUnixNano == "1502000000" and o[1].status.code == 1
+    assert {a.key: a.value.stringValue for a in o[1].attributes}["gen_ai.system"] == "mine"
+    with pytest.raises(ValueError):
+        telemetry.by_operation(s, "nope")
+    assert telemetry.totals(s).first().error_rate == 0.5 and telemetry.totals(s.limit(0)).first().total_spans == 0
+    export.otlp_text(good, str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).select(F.size(F.col("resourceSpans")[0]["scopeSpans"][0]["spans"])).first()[0] == 2
+
+
+def test_provenance(spark):
+    q = spark.createDataFrame([("a", "tech stack"), ("f", "zebra")], "query_id string, query string")
+    rec = provenance.record(retrieve.keyword(frame(spark), q, 3), q, F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert {r.id: round(r.avg_confidence, 3) for r in rec.collect()} == {"a": 1.0, "f": 0.0}
+    assert [r.id for r in provenance.low_confidence(rec).collect()] == ["f"] and provenance.imbalance(rec).first().source_type == "explicit"
+    assert provenance.imbalance(rec.limit(0)).count() == 0 and "tech stack" in provenance.shown(rec).where("id = 'a'").first().json
+
+
+def test_stream_equals_batch_where_windows_closed(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 20")
+    e.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = sessions.sessions(stream, watermark="1 day").writeStream.format("memory").queryName("s1").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got, want = {tuple(r) for r in spark.table("s1").collect()}, {tuple(r) for r in sessions.sessions(e).collect()}
+    assert got and got <= want
+
+
+def test_ingest(spark, tmp_path):
+    frame(spark, FACTS + FACTS[:2]).write.parquet(str(tmp_path / "in"))
+    kept = []
+    q = sessions.ingest(spark.readStream.schema(store.MEMORY).parquet(str(tmp_path / "in")), lambda df, n: kept.extend(df.collect()), checkpoint=str(tmp_path / "c"))
+    q.awaitTermination()
+    assert len(kept) == len(FACTS)
