@@ -7,7 +7,7 @@ text of links count as length 0; scripts, styles and comments have no lines. The
 are summed over windows of consecutive lines: text surges where a window reaches the
 threshold and dives where a window is empty; the lines between, but for those of the parts
 named above, are the main text. On a page with an article or main element only lines in it
-have a length, and any text is a surge.
+have a length, links there are text, and any text is a surge.
 
 A null or empty page, or one without a surge, has an empty text. Each row is extracted by
 itself, whole, in time in proportion to its length; repeated rows give repeated rows.
@@ -153,7 +153,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     inside = [i for i, (_, _, skip, a) in enumerate(found) if not skip and (a or not within)]
     if not inside:
         return ""
-    lengths = [0 if skip or within and not a else n for _, n, skip, a in found]
+    lengths = [0 if skip or within and not a else len(x) if within else n for x, n, skip, a in found]
     keep = set(inside)
     return "\n".join(found[i][0] for a, b in regions(lengths, window, surge) for i in range(a, b) if i in keep)
 
