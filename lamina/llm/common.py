@@ -18,6 +18,13 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+def few(batches, rows: int = 512):
+    """Batches of at most `rows` rows, so that what Python makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, few
 
 by_value(__name__)
 
@@ -164,7 +164,7 @@ def extract(pages: DataFrame, column: str = "html", **kw) -> DataFrame:
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             texts = [main_text(x, **kw) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 

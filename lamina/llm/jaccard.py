@@ -9,12 +9,12 @@ verified on the shingles themselves.
 
 How the points are dealt over the cluster, without losing a pair:
 1. Equal sets become one class (`ref`, a digest). One pass over the texts also counts, over
-   all rows, how many sets use each of 2^18 groups of shingles.
+   all rows, how many sets use each of 2^20 groups of shingles.
 2. All sets order their shingles by that count, then by hash. Two sets that link share a
    shingle among the first n - ceil(t*n) + 1 of each, so every class goes to the cells of
    these shingles only. Cells of one class are dropped, cells of the same classes are one,
-   and cells joined by common classes are one as long as that has no more than `most` of
-   them; a larger group keeps its own cells.
+   members without another of near enough size in a cell leave it, and cells joined by
+   common classes are one as long as that has no more than `most` of them; a larger group keeps its own cells.
 3. In each cell a tree over the points finds groups that may link; a star from the point
    nearest the group's mean, not all pairs, is verified and its links joined into components.
 4. The tree then finds pairs that may link but are not yet in one component: first the best
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, components, cut
+from .common import by_value, components, cut, few
 
 by_value(__name__)
 
 GROUPS = 1024
 COARSE = 64
-DF_BITS = 18
+DF_BITS = 20
 SLICE = 4096
 FANOUT = 32
 
@@ -152,7 +152,7 @@ def _digests(words: int, key_type):
     def run(batches):
         shingles, df = Shingler(words), np.zeros(1 << DF_BITS, np.int64)
         names = ["key", "n", "ref", "slice", "counts"]
-        for batch in batches:
+        for batch in few(batches):
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
             df += np.bincount(df_group(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=len(df))
             full = [len(s) > 0 for s in sets]
@@ -177,12 +177,12 @@ def _sum_slices(t: pa.Table) -> pa.Table:
 
 
 def _prefixes(words: int, num: int, den: int, df):
-    """(shingle, ref) of the first shingles of every set. A task emits equal sets once."""
+    """(shingle, ref, size) of the first shingles of every set. A task emits equal sets once."""
 
     def run(batches):
         shingles, seen, table = Shingler(words), set(), df.value
-        for batch in batches:
-            toks, refs, sizes = [], [], []
+        for batch in few(batches):
+            toks, refs, sizes, ns = [], [], [], []
             for x in batch.column(0).to_pylist():
                 s = shingles(x)
                 if not len(s) or (r := ref_of(s)) in seen:
@@ -192,8 +192,9 @@ def _prefixes(words: int, num: int, den: int, df):
                 toks.append(s[np.lexsort((s, table[df_group(s)]))[:p]])
                 refs.append(r)
                 sizes.append(p)
+                ns.append(len(s))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(refs, np.int64), sizes))], names=["tok", "ref"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(refs, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes))], names=["tok", "ref", "n"])
 
     return run
 
@@ -327,7 +328,7 @@ def _zip_text(words: int):
 
     def run(batches):
         shingles, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in few(batches):
             got = []
             for ref, x in zip(batch.column("ref").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if ref not in seen and len(s := shingles(x)) and ref_of(s) == ref:
@@ -340,7 +341,7 @@ def _zip_text(words: int):
     return run
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, few: int = 1, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, best: int = 1, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
     Two rows link when den * |intersection| >= num * |union|. Keys are of an integer type and, so that
@@ -355,13 +356,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     digests = both.where("slice = -1")
     slices = both.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
     df = np.zeros(1 << DF_BITS, np.uint32)
-    for r in slices.collect():  # 2^18 counts, whatever the corpus
+    for r in slices.collect():  # 2^20 counts, whatever the corpus
         df[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint32)
     table = spark.sparkContext.broadcast(df)
 
     classes = cut(digests.where("ref is not null and key is not null").groupBy("ref").agg(F.min("key").alias("rep")))
-    tokens = rows.select("text").mapInArrow(_prefixes(words, num, den, table), "tok long, ref long")
-    own = W.partitionBy("tok")
+    tokens = rows.select("text").mapInArrow(_prefixes(words, num, den, table), "tok long, ref long, n int")
+    own, sized = W.partitionBy("tok"), W.partitionBy("tok").orderBy("n", "ref")
+    # Of a cell only those stay that have a neighbour by size which is near enough to link with.
+    tokens = tokens.withColumns({"before": F.lag("n").over(sized), "after": F.lead("n").over(sized)})
+    tokens = tokens.where(f"{den}L * before >= {num}L * n or {den}L * n >= {num}L * after")
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "ref"), F.lit((1 << 31) - 1))).over(own)
     shared = tokens.withColumns({"low": F.min("ref").over(own), "high": F.max("ref").over(own), "s": part(1), "t": part(2), "m": F.count("*").over(own)}).where("low < high")
     members = cut(shared.select(F.xxhash64("s", "t", "m").alias("cell"), "ref", "low").distinct())
@@ -403,12 +407,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return cut(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
 
         known = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
-        for best in (few, 0):
+        for limit in (best, 0):
             label = cut(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
             marked = cells.join(light(label), "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
             if label.limit(broadcast_rows + 1).count() > broadcast_rows:
                 marked = marked.repartition("cell").sortWithinPartitions("cell")
-            more = marked.mapInArrow(_candidates(num, den, True, best), "a long, b long").distinct()
+            more = marked.mapInArrow(_candidates(num, den, True, limit), "a long, b long").distinct()
             known = known.union(verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti")))
         links = known.where("linked").select("a", "b")
 

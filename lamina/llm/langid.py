@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, few
 
 by_value(__name__)
 
@@ -92,7 +92,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             got = classify(batch.column(text).to_pylist(), dictionaries, level, seg_bytes)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < min_score for g in got], pa.bool_())], names=[*kept, *names])
 

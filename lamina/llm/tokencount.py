@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, few
 
 by_value(__name__)
 
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
 
     def run(batches):
         whole, spans = load_counter(vocabulary)
-        for batch in batches:
+        for batch in few(batches):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             counts, held, size = [0] * len(texts), [], 0
             for k, x in enumerate(texts):

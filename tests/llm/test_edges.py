@@ -221,7 +221,7 @@ def test_html():
     bare = f"<div><a href=x>menu</a></div><div><a href=y>more</a></div><p>{text}</p><p>{text}</p><div></div><div><a href=z>next</a></div><div><a href=z>a</a></div><div><a href=z>b</a></div>"
     assert html.main_text(bare).startswith(f"{text.strip()}\n{text.strip()}") and "menu" not in html.main_text(bare)
     assert html.main_text("<nav>x<article><p>kept</p></article>") == "kept"
-    assert html.regions([0, 5, 100, 0, 0, 0, 200, 0], 3, 80) == [(1, 3), (6, 8)]
+    assert html.regions([0, 5, 100, 0, 0, 0, 200, 0], 3, 80) == [(1, 3), (6, 7)]
 
 
 def test_html_table(spark, sf):
