@@ -119,7 +119,7 @@ def text_rows(block_bytes: int):
     def run(batches):
         for block, t in _blocks(batches, block_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                 w.write_table(t.combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
