@@ -50,6 +50,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slim(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """cut() for narrow tables, read in one task for each `rows` rows: a small table makes few shuffle files."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
 
@@ -60,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int
     else joined by a shuffle. Null ends and self loops are ignored; repeated edges count
     once; no edges give no rows.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    e = slim(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     while True:
         hint = F.broadcast if e.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda df: df
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -71,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int
         # small star: smaller neighbours of u and u itself hang on the least of them
         step = large.join(hint(least), large.u == least.k)
         small = step.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(step.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u > v").distinct())
+        e = slim(small.where("u > v").distinct())
         # Done when it is a set of stars: each leaf has one centre, and no node is both a leaf and a centre.
         n = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
         if n.n == n.d and not e.select("u").join(hint(e.select(F.col("v").alias("u"))), "u", "left_semi").limit(1).count():

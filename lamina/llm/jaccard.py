@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, components, cut, few
+from .common import by_value, components, cut, few, slim
 
 by_value(__name__)
 
@@ -377,10 +377,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     if not members.take(1):
         links = None
     else:
-        near = cut(components(members.select("ref", "low").distinct(), "ref", "low").select(F.col("node").alias("ref"), F.col("component").alias("group")))
+        # Every class and all least classes of its cells hang on the least of these: the same groups with fewer edges.
+        hung = members.select("ref", "low").withColumn("m", F.min("low").over(W.partitionBy("ref")))
+        near = slim(components(hung.select("ref", "m").union(hung.select("low", "m")), "ref", "m").select(F.col("node").alias("ref"), F.col("component").alias("group")))
         sizes = near.groupBy("group").agg((F.count("*") > most).alias("large"))
-        near = cut(near.join(sizes, "group"))
-        taking = cut(near.select("ref").join(classes, "ref"))
+        near = slim(near.join(sizes, "group"))
+        taking = slim(near.select("ref").join(classes, "ref"))
         texts = rows.join(light(taking), F.col("key") == F.col("rep")).select("ref", "text").where("text is not null")
         texts = cut(texts.mapInArrow(_zip_text(words), "ref long, n long, point binary, text binary"))
         # Dealt by cell once: a checkpoint keeps partitions and their order, so every round below is a narrow pass over it.
@@ -393,22 +395,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
         def verify(pairs):
             """Stars around the end with more pairs; a hub's text goes to one task for each `leaves` of its leaves."""
-            pairs = cut(pairs)
+            pairs = slim(pairs)
             degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").count()
-            ends = [light(cut(degree.select(F.col("x").alias(c), F.col("count").alias(f"n{c}")))) for c in ("a", "b")]
+            ends = [light(slim(degree.select(F.col("x").alias(c), F.col("count").alias(f"n{c}")))) for c in ("a", "b")]
             both = pairs.join(ends[0], "a").join(ends[1], "b")
             first = F.col("na") >= F.col("nb")
             stars = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.ceil(F.greatest("na", "nb") / leaves).alias("m"))
-            stars = cut(stars.select("hub", F.pmod(F.xxhash64("leaf"), F.col("m")).alias("part"), "leaf"))
+            stars = slim(stars.select("hub", F.pmod(F.xxhash64("leaf"), F.col("m")).alias("part"), "leaf"))
             tops = stars.select("hub", "part").distinct()
             top = texts.join(light(tops), texts.ref == tops.hub).select("hub", "part", F.lit(None).cast("long").alias("leaf"), "text")
             under = texts.join(light(stars), texts.ref == stars.leaf).select("hub", "part", "leaf", "text")
             said = top.union(under).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leaf").asc_nulls_first())
-            return cut(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
+            return slim(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
 
         known = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
         for limit in (best, 0):
-            label = cut(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
+            label = slim(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
             marked = cells.join(light(label), "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
             if label.limit(broadcast_rows + 1).count() > broadcast_rows:
                 marked = marked.repartition("cell").sortWithinPartitions("cell")
