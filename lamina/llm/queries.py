@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
 from .common import table
+from .sql import SQL  # noqa: F401
 
 
 def vocabulary(name: str) -> str:
@@ -67,5 +68,3 @@ QUERIES = {
         op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op6_ngram_jaccard, op7_exact_topk, op8_byte_bpe, op9_html_text, op10_embedding_dedup,
     )
 }
-
-SQL: dict[str, str] = {}
