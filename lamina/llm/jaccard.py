@@ -341,6 +341,22 @@ def _zip_text(words: int):
     return run
 
 
+def joined(label: DataFrame | None, links: DataFrame, light) -> DataFrame:
+    """(ref, label) with further links (a, b): only edges between components known so far are worked through again."""
+    if label is None:
+        return slim(components(links.select("a", "b")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
+    if not links.take(1):
+        return label
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        names = light(label.select(F.col("ref").alias(c), "label"))
+        ends = ends.join(names, c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    moved = slim(components(ends.where("a <> b")))
+    old = label.join(light(moved), label.label == moved.node, "left").select("ref", F.coalesce("component", "label").alias("label"))
+    new = moved.join(label.select("ref"), moved.node == F.col("ref"), "left_anti").select(F.col("node").alias("ref"), F.col("component").alias("label"))
+    return slim(old.union(new))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100, most: int = 4096, best: int = 1, leaves: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id): of every row its set's size and the smallest key reachable by links.
 
@@ -375,7 +391,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
 
     if not members.take(1):
-        links = None
+        reach = None
     else:
         # Every class and all least classes of its cells hang on the least of these: the same groups with fewer edges.
         hung = members.select("ref", "low").withColumn("m", F.min("low").over(W.partitionBy("ref")))
@@ -408,23 +424,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             said = top.union(under).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leaf").asc_nulls_first())
             return slim(said.select("hub", "leaf", "text").mapInArrow(_linked(words, num, den), "a long, b long, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
 
-        known = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
+        known = fresh = verify(cells.mapInArrow(_candidates(num, den, False), "a long, b long").distinct())
+        label = None
         for limit in (best, 0):
-            label = slim(components(known.where("linked")).select(F.col("node").alias("ref"), F.col("component").alias("label")))
+            label = joined(label, fresh.where("linked"), light)
             marked = cells.join(light(label), "ref", "left").select("cell", "ref", "n", "point", F.coalesce("label", "ref").alias("label"))
             if label.limit(broadcast_rows + 1).count() > broadcast_rows:
                 marked = marked.repartition("cell").sortWithinPartitions("cell")
             more = marked.mapInArrow(_candidates(num, den, True, limit), "a long, b long").distinct()
-            known = known.union(verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti")))
-        links = known.where("linked").select("a", "b")
-
-    named = classes.select("ref", "rep")
-    if links is not None:
-        ends = links.join(named.select(F.col("ref").alias("a"), F.col("rep").alias("u")), "a").join(named.select(F.col("ref").alias("b"), F.col("rep").alias("v")), "b")
-        reach = components(ends.select("u", "v"), "u", "v").select(F.col("node").alias("rep"), "component")
-        named = named.join(reach, "rep", "left").select("ref", F.coalesce("component", "rep").alias("component"))
+            fresh = verify(more.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+            known = known.union(fresh)
+        reach = joined(label, fresh.where("linked"), light).join(classes, "ref")
+
+    if reach is not None:
+        least = reach.groupBy("label").agg(F.min("rep").alias("component"))
+        named = classes.join(reach.join(light(slim(least)), "label").select("ref", "component"), "ref", "left")
+        named = named.select("ref", F.coalesce("component", "rep").alias("component"))
     else:
-        named = named.withColumnRenamed("rep", "component")
+        named = classes.withColumnRenamed("rep", "component")
     out = digests.select("key", "n", "ref").join(named, "ref", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").cast("long").alias("component_id"))
 
