@@ -6,8 +6,10 @@ notices, adverts, forms and reader comments, told by element, role, class and id
 text of links count as length 0; scripts, styles and comments have no lines. The lengths
 are summed over windows of consecutive lines: text surges where a window reaches the
 threshold and dives where a window is empty; the lines between, but for those of the parts
-named above, are the main text. On a page with an article or main element only lines in it
-have a length, links there are text, and any text is a surge.
+named above, are the main text. In an article or main element links are text. If one of
+these elements holds at least as many characters as the largest stretch of lines outside
+them, only lines in such elements have a length and any text is a surge; else all lines
+are alike, and an article is kept where its own text surges.
 
 A null or empty page, or one without a surge, has an empty text. Each row is extracted by
 itself, whole, in time in proportion to its length; repeated rows give repeated rows.
@@ -55,18 +57,18 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, left out, in an article) of every block with text, in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, left out, number of the outermost article around it or 0) of every block with text, in page order."""
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool]] = []
     held: list[str] = []
-    plain = skips = articles = links = at = 0
+    plain = skips = articles = number = links = at = 0
 
     def flush():
         nonlocal plain
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, plain, skips > 0, articles > 0))
+            out.append((text, plain, skips > 0, number if articles else 0))
         held.clear()
         plain = 0
 
@@ -121,7 +123,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         skip = marked(tag, m[3], articles > 0)
         stack.append((tag, skip))
         skips += skip
-        articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            number += not articles
+            articles += 1
         links += tag == "a"
     if at < len(page):
         feed(page[at:])
@@ -147,15 +151,18 @@ def regions(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     found = lines(page or "")
-    within = any(a and not skip for _, _, skip, a in found)
-    if within:
-        surge = 1
-    inside = [i for i, (_, _, skip, a) in enumerate(found) if not skip and (a or not within)]
-    if not inside:
-        return ""
-    lengths = [0 if skip or within and not a else len(x) if within else n for x, n, skip, a in found]
-    keep = set(inside)
-    return "\n".join(found[i][0] for a, b in regions(lengths, window, surge) for i in range(a, b) if i in keep)
+    lengths = [0 if skip else len(x) - x.count(" ") if a else n for x, n, skip, a in found]
+    held: dict[int, int] = {}
+    for n, (*_, a) in zip(lengths, found, strict=True):
+        if a and n:
+            held[a] = held.get(a, 0) + n
+    if held:
+        outside = [n for n, (*_, a) in zip(lengths, found, strict=True) if not a]
+        if max(held.values()) >= max((sum(outside[a:b]) for a, b in regions(outside, window, surge)), default=0):
+            found = [(x, n, skip or not a, a) for x, n, skip, a in found]
+            lengths = [n if a else 0 for n, (*_, a) in zip(lengths, found, strict=True)]
+            surge = 1
+    return "\n".join(found[i][0] for a, b in regions(lengths, window, surge) for i in range(a, b) if not found[i][2])
 
 
 def extract(pages: DataFrame, column: str = "html", **kw) -> DataFrame:

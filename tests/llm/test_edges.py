@@ -224,6 +224,19 @@ def test_html():
     assert html.regions([0, 5, 100, 0, 0, 0, 200, 0], 3, 80) == [(1, 3), (6, 7)]
 
 
+def test_html_main_text_outside_an_article():
+    """An article or main element decides only where it holds the most text."""
+    text, teaser = ["words of the main text " * 6, "more of it " * 12], "<article class=card><h2>Other</h2><p>Read this too.</p></article>"
+    body = "".join(f"<p>{x}</p>" for x in text)
+    want = [x.strip() for x in text]
+    for page in (f"<div>{body}</div>{teaser}", f"{teaser}<section>{body}</section>", f"{teaser * 3}<div>{body}</div>", f"<div>{body}</div><main>{teaser}</main>"):
+        assert [x for x in html.main_text(page).split("\n") if x in want] == want
+    far = "<ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul>"
+    assert html.main_text(f"<div>{body}</div>{far}{teaser}").startswith("\n".join(want)) and "Read this" not in html.main_text(f"<div>{body}</div>{far}{teaser}")
+    assert html.main_text(f"<article>{body}</article><div>{'legal ' * 20}</div>").split("\n") == want
+    assert html.main_text(teaser * 3) == "\n".join(["Other", "Read this too."] * 3)
+
+
 def test_html_table(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     for r in html.extract(d.withColumn("raw", F.col("html"))).collect():
