@@ -2,8 +2,9 @@
 
 Markup is stripped to lines: one for each block of the page, with white space inside it as
 one space and character references decoded. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, told by element, role, class and id, and all
-text of links count as length 0; scripts, styles and comments have no lines. The lengths
+notices, adverts, forms and reader comments, told by element, role, whole class and id,
+lines of elements that are hidden or not displayed, and all text of links count as length
+0; scripts, styles and comments have no lines. The lengths
 are summed over windows of consecutive lines: text surges where a window reaches the
 threshold and dives where a window is empty; the lines between, but for those of the parts
 named above, are the main text. In an article or main element links are text. If one of
@@ -33,14 +34,25 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea menu dialog head title fieldset audio video".split())
 RAW = frozenset("script style noscript template iframe textarea svg title".split())
-#: Words in class, id or role that mark a part which is not the article.
+#: Words that name a part which is not the article. A class or id does so where all its words are of these two sets and one is of the first, a role where it is of the first.
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related "
     "recommended share sharing social cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login search comment comments disqus replies respond responses pagination pager toolbar complementary contentinfo alert".split()
 )
+FILLERS = frozenset("site global main primary secondary bar box list area wrap wrapper container section block inner posts articles links items form button buttons".split())
+#: Elements that no class, id or role leaves out.
+KEPT = frozenset("body html article main h1 h2 h3 h4 h5 h6 p".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])|aria-hidden\s*=\s*[\"']?(true)|display\s*:\s*(none)", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+PART = re.compile(r"\d+x\d+|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+
+
+def names_part(token: str, inside: bool) -> bool:
+    words = [p.lower() for p in PART.findall(token)]
+    if "header" in words:
+        return not inside and all(w in ("header", "site", "global", "top", "main") for w in words)
+    return any(w in WORDS for w in words) and all(w in WORDS or w in FILLERS or w[0].isdigit() for w in words)
 
 
 def marked(tag: str, attributes: str, inside: bool) -> bool:
@@ -48,12 +60,21 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    for name, a, b, c, *hides in ATTRIBUTE.findall(attributes):
-        if not name:
-            if any(hides) and tag not in ("body", "html"):
+    seen = set()
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), entities.unescape(a or b or c)
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
+        if name == "hidden" or name == "style" and UNSHOWN.search(value):
+            if tag not in ("body", "html"):
+                return True
+        elif name in ("class", "id") and tag not in KEPT:
+            if any(names_part(x, inside) for x in value.split()):
+                return True
+        elif name == "role" and tag not in KEPT:
+            if any(x in WORDS for x in value.lower().split()):
                 return True
-        elif tag not in ("body", "html", "article", "main") and any((w := p.lower()) in WORDS or w == "header" and not inside for p in PART.findall(a or b or c)):
-            return True
     return False
 
 

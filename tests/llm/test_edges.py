@@ -237,6 +237,16 @@ def test_html_main_text_outside_an_article():
     assert html.main_text(teaser * 3) == "\n".join(["Other", "Read this too."] * 3)
 
 
+def test_html_attributes():
+    """Whole classes and ids that name a part leave it out; slugs, layout classes and words in other attributes don't."""
+    for attributes in ("h2 id=related-work", "h2 id='search'", "h2 id=search-algorithm", "p id='ad-hoc-queries'", "p class=notice", "div style='overflow:hidden'", "p title='hidden gem'", "div class='has-sidebar wide'", "div data-class=ad", "div title='class=ad'", "div class='content-sidebar-wrap'", "div id=related-work", "div data-hidden=1", "div role=note"):
+        assert html.main_text(f"<article><{attributes}>Text.</{attributes.split()[0]}><p>More.</p></article>") == "Text.\nMore.", attributes
+    for attributes in ("class=ad", "class='box sidebar'", "class=socialShare", "class='ad-728x90'", "id=comments-section", "CLASS=cookie-banner", "role=navigation", "hidden", "hidden=''", "id=a hidden", "style='color:red; display: none'"):
+        assert html.main_text(f"<article><div {attributes}>Text.</div><p>More.</p></article>") == "More.", attributes
+    text = "words of the main text " * 6
+    assert html.main_text(f"<div class='content has-sidebar'><p>{text}</p></div><div class=site-header>Site</div>") == text.strip()
+
+
 def test_html_table(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     for r in html.extract(d.withColumn("raw", F.col("html"))).collect():
