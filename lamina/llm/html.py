@@ -133,6 +133,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if tag in VOID:
             continue
         if tag in RAW:
+            if tag == "svg" and m[3].endswith("/"):  # of these only svg can be empty
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -247,6 +247,14 @@ def test_html_attributes():
     assert html.main_text(f"<div class='content has-sidebar'><p>{text}</p></div><div class=site-header>Site</div>") == text.strip()
 
 
+def test_html_empty_svg():
+    for icon in ("<svg/>", "<svg class='icon' />", '<SVG viewBox="0 0 1 1"/>', "<svg width=10/>"):
+        page = f"<article><p>One {icon} two.</p><p>Three.</p>"
+        assert html.main_text(f"{page}</article>").split() == ["One", "two.", "Three."], icon
+        assert html.main_text(f"{page}<p>Four <svg><text>no</text></svg>five.</p></article>").split() == ["One", "two.", "Three.", "Four", "five."], icon
+    assert html.main_text("<article><p>One</p><script src=x /><p>not text</p></script><p>Two</p></article>") == "One\nTwo"
+
+
 def test_html_table(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     for r in html.extract(d.withColumn("raw", F.col("html"))).collect():
