@@ -84,14 +84,15 @@ def results(facts: DataFrame, queries: DataFrame, top_k: int = 5, index: DataFra
     return out.select("query_id", "query", F.when(hit, F.transform("sources", lambda s: s["content"])).otherwise(F.array().cast("array<string>")).alias("facts"), trace.alias("trace"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "sources")
 
 
-def by_nodes(facts: DataFrame, nodes: DataFrame, chosen: DataFrame, top_k: int = 5) -> DataFrame:
+def by_nodes(facts: DataFrame, nodes: DataFrame, chosen: DataFrame, top_k: int | None = 5) -> DataFrame:
     """Facts below the nodes that a model chose: chosen has (query_id, pos, node_id). Each fact once, at the first node that
-    holds it, in the order of nodes and ids."""
+    holds it, in the order of nodes and ids; the first top_k of each query, or all if it is None."""
     below = tree.members(nodes, chosen.select("node_id"))
     hit = chosen.join(below, "node_id").groupBy("query_id", "memory_id").agg(F.min("pos").alias("pos"))
     rows = hit.join(facts.where("content is not null and content <> ''"), F.col("memory_id") == F.col("id"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("pos", "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= max(0, top_k)).select("query_id", "rank", "id", "layer", "content", "confidence")
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "id")))
+    first = ranked if top_k is None else ranked.where(F.col("rank") <= max(0, top_k))
+    return first.select("query_id", "rank", "id", "layer", "content", "confidence")
 
 
 def chosen_nodes(replies: DataFrame) -> DataFrame:

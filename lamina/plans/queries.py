@@ -127,7 +127,7 @@ def tree_stripped(spark, sf):
 def collect_nodes(spark, sf):
     f = facts(spark, sf)
     chosen = spark.createDataFrame([("a", 0, "cluster_project_team"), ("a", 1, "layer_user"), ("b", 0, "cluster_user_tasks"), ("b", 1, "cluster_user_tasks")], "query_id string, pos int, node_id string")
-    return Q.by_nodes(f, T.build(f), chosen, 100_000).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
+    return Q.by_nodes(f, T.build(f), chosen, None).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
 
 def list_layer(spark, sf):

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from lamina.plans import oracle, queries
+from pyspark.sql import functions as F
 
 from tests.oracle_compare import compare
 
@@ -21,3 +22,11 @@ def test_entry(spark):
 def test_flagship_plan(spark, sf):
     plan = entry.queries()["retrieve_batch"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_collect_nodes_has_no_limit(spark, tmp_path):
+    n = 100_001
+    part = spark.range(n).selectExpr("id * 3 + 2 as p_partkey", "'name' as p_name", "'brand' as p_brand", "'type' as p_type")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    ranks = {r.query_id: (r.n, r.last) for r in queries.collect_nodes(spark, str(tmp_path)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()}
+    assert ranks["a"] == (n, n)
