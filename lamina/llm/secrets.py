@@ -2,7 +2,7 @@
 
 Base kinds are patterns: `assign`, `access` and `hex`, leftmost and non-overlapping per
 kind. The method adds `entropy_hex` and `entropy_base64`: over candidate runs of 20 or more
-characters of the class that have a digit, a window slides and keeps the count of every
+characters of the class, a window slides and keeps the count of every
 character; each step adds one character and removes one, which changes the sum of
 c*log2(c) by four table look-ups, so a run costs time in proportion to its length. A run
 is reported from the first to the last window whose Shannon entropy reaches the class's
@@ -25,7 +25,7 @@ ASSIGN = f"((?i:{WORDS}))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 # The runs below are maximal, so a lower bound on the length keeps just the matches that pass.
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "[0-9a-f]{24,}+"
-RUN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
+RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 #: Bits a character that a window must reach, by class.
@@ -37,6 +37,10 @@ ALLOW = (
     "^[+/_-]*([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8})([+/_-]+([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8}))*$",
 )
 
+#: Words in camel case. The SQL of op2_secret_scan needs no such entry: it takes no run without a digit.
+CAMEL = ("^[+/_-]*([A-Z]?[a-z]{2,}+[+/_-]*+)+$",)
+DIGITLESS = ("^[A-Za-z+/_-]+$",)
+
 
 def _found(text: Column, pattern: str, order: int, kind: str, keep=None) -> Column:
     """array<struct<start, ord, kind, end, hit>> of the matches of pattern; the work is done only where there is one."""
@@ -78,7 +82,7 @@ def _windows(run: Column, window: int, threshold: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(run["chars"]) - 1), init, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def spans(text: Column, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> tuple[Column, Column]:
+def spans(text: Column, allow: tuple[str, ...] = ALLOW + CAMEL, window: int = WINDOW) -> tuple[Column, Column]:
     """(base, runs): arrays of struct<start, ord, kind, end, hit>, not sorted; runs are the candidates of the entropy kinds."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(
@@ -97,7 +101,7 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW + CAMEL, window: int = WINDOW) -> DataFrame:
     """Every row with `base` and `found`: arrays of struct<start int, ord int, kind string, end int>, sorted by start, then kind.
 
     base has the pattern kinds only; found has all kinds. Columns of these names are replaced.

@@ -95,6 +95,16 @@ def test_entropy_equals_brute_force(spark):
         assert got[i] == ("" if public or not len(at) else f"{kind}:{at[0] + 2}:{at[-1] + 22}"), r
 
 
+def test_keys_without_a_digit(spark):
+    """They are found unless the allow list suppresses them, as that of op2_secret_scan does."""
+    key = "qWxErTyUiOpASdfGhJkLzXcVbNm"
+    words = ["counterrevolutionaries", "someLongCamelCaseIdentifierName", "Well-known/words_without-digits"]
+    d = spark.createDataFrame([(0, f"x {key} y"), *[(i, w) for i, w in enumerate(words, 1)]], "doc_id long, text string")
+    assert [r.text for r in secrets.mask(d).orderBy("doc_id").collect()] == ["x [SECRET] y", *words]
+    assert [r.spans for r in secrets.digest(d).orderBy("doc_id").collect()] == ["entropy_base64:2:29", "", "", ""]
+    assert all(r.spans == "" for r in secrets.digest(d, allow=secrets.ALLOW + secrets.DIGITLESS).collect())
+
+
 def test_token_counts_equal_the_library(spark, sf):
     whole, spans = tokencount.load_counter(WORDS)
     long = ["a" * 3000 + " b" * 50 + "é" * 900, " " * 4000, "12345" * 900, "<|endoftext|>" * 300, "x <|startoftext|> y1 " * 200, "don't it's " * 400, "ǅ́a" * 500 + "１２" * 300, LONG]
