@@ -222,13 +222,14 @@ def decode_ids(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> bytes:
     return data[np.repeat(offsets[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
 
 
-def decode(encoded: DataFrame, rank_file: str, digest: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, rank_file: str, digest: bool = False, keep_ids: bool = False) -> DataFrame:
     """Every row with `decoded` binary joined from the token-byte table; ids that are null decode to nothing.
 
     With digest, ids and bytes are replaced by ids_sha256 (of the decimal ids joined by
-    commas) and decoded_sha256. An id outside the table is an error.
+    commas) and decoded_sha256; with keep_ids as well, ids stay and decoded_sha256 is beside
+    them. An id outside the table is an error.
     """
-    drop = {"decoded", "ids_sha256", "decoded_sha256", *(["ids"] if digest else [])}
+    drop = {"decoded", "ids_sha256", "decoded_sha256", *(["ids"] if digest and not keep_ids else [])}
     kept = [f for f in encoded.schema.fields if f.name not in drop]
     names = [f.name for f in kept]
 
@@ -240,12 +241,13 @@ def decode(encoded: DataFrame, rank_file: str, digest: bool = False) -> DataFram
             for x in batch.column("ids"):
                 ids = np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64)
                 raw = decode_ids(ids, data, offsets)
-                if digest:
+                if digest and not keep_ids:
                     shas.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                    raw = hashlib.sha256(raw).hexdigest()
-                out.append(raw)
-            new = [(pa.array(shas, pa.string()), "ids_sha256"), (pa.array(out, pa.string()), "decoded_sha256")] if digest else [(pa.array(out, pa.binary()), "decoded")]
+                out.append(hashlib.sha256(raw).hexdigest() if digest else raw)
+            new = [(pa.array(out, pa.string()), "decoded_sha256")] if digest else [(pa.array(out, pa.binary()), "decoded")]
+            if digest and not keep_ids:
+                new.insert(0, (pa.array(shas, pa.string()), "ids_sha256"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[a for a, _ in new]], [*names, *[c for _, c in new]])
 
-    added = [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digest else [T.StructField("decoded", T.BinaryType())]
+    added = [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")[keep_ids:]] if digest else [T.StructField("decoded", T.BinaryType())]
     return encoded.mapInArrow(run, T.StructType([*kept, *added]))

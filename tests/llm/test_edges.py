@@ -60,6 +60,16 @@ def test_stages_on_edges(spark, docs, sf):
                 assert out.columns == d.columns, name
 
 
+def test_encoding_stage_decodes(spark, docs, sf):
+    """The last stage carries ids and the digest of what they decode to, which is that of the text."""
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.encoding(spark, plain, sf)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+    rows = out.collect()
+    assert sorted(r.decoded_sha256 for r in rows) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in plain.collect())
+    assert all(len(r.ids) == r.n_tokens for r in rows)
+
+
 def brute_spans(text):
     kinds = (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
     found = [(m.start(), o, f"{k}:{m.start()}:{m.end()}") for o, (k, p, good) in enumerate(kinds) for m in re.finditer(p, text, re.A) if good(m)]
