@@ -16,7 +16,8 @@ the first of them only.
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing; so do vectors of different lengths. Equal vectors of a
 label link. Rows with a null key are returned with a null component. Repeated keys are
-rows of their own, but their counts are added up under the key.
+rows of their own that don't link with each other, but their counts are added up under
+the key.
 """
 
 from __future__ import annotations
@@ -118,6 +119,7 @@ def _job(cosine: float, tables: int, probes: int):
         hit = x[a] @ x[b].T >= cosine
         if i == j:
             hit = np.triu(hit, 1)
+        hit &= ids[a][:, None] != ids[b]
         p, q = np.nonzero(hit)
         p, q = a[p], b[q]
         empty = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
@@ -166,9 +168,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     kind = vectors.schema[label].dataType.simpleString()
     hashed = cut(rows.mapInArrow(_hash(tables, hashes, probes, seed), f"id long, label {kind}, dim int, codes binary, v binary"))
     # (table, bucket) of every probe, from the packed codes, in SQL: 8 bytes each, least significant first.
-    slots = hashed.select("id", "label", "dim", "codes", "v", F.explode(F.sequence(F.lit(0), F.lit(tables * probes - 1))).alias("slot"))
-    raw = F.expr("reverse(substring(codes, slot * 8 + 1, 8))")
-    slots = slots.withColumns({"table": F.floor(F.col("slot") / probes).cast("int"), "bucket": F.conv(F.hex(raw), 16, 10).cast("long")}).drop("slot").dropDuplicates(["id", "label", "dim", "table", "bucket", "codes"]) if probes > 1 else slots
+    # A row enters a bucket once, whichever of its probes lead there.
+    place = f"named_struct('table', cast(floor(slot / {probes}) as int), 'bucket', cast(conv(hex(reverse(substring(codes, slot * 8 + 1, 8))), 16, 10) as bigint))"
+    places = F.explode(F.expr(f"array_distinct(transform(sequence(0, {tables * probes - 1}), slot -> {place}))"))
+    slots = hashed.select("id", "label", "dim", "codes", "v", places.alias("place")).select("id", "label", "dim", "codes", "v", "place.table", "place.bucket")
     keys = ["label", "dim", "table", "bucket"]
     sizes = slots.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     placed = slots.join(sizes, keys).withColumn("side", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))

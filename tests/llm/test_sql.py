@@ -29,6 +29,15 @@ def edges(spark, tmp_path_factory):
     return to
 
 
+def test_repeated_vector_keys_equal_sql(spark, tmp_path):
+    """Two near vectors of one key both keep their links to others, and don't link with each other."""
+    vectors = [(1, [1.0, 2.0], 1), (1, [1.0, 2.01], 1), (1, [1.0, 2.01], 1), (2, [1.0, 2.02], 1), (3, [1.0, 2.03], 2), (3, [1.0, 2.0], 2), (4, [2.0], 3), (4, [2.5], 3), (5, [3.0], 3)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark_rows(queries.QUERIES["op10_embedding_dedup"](spark, str(tmp_path)))
+    assert len(rows[1]) == len(vectors) and rows == duck_rows(duck(str(tmp_path)), queries.SQL["op10_embedding_dedup"])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_edges_equal_sql(spark, edges, name):
     assert spark_rows(queries.QUERIES[name](spark, edges)) == duck_rows(duck(edges), queries.SQL[name])
