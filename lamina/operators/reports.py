@@ -22,15 +22,17 @@ def findings(as_of: Column, threshold: float = 0.5) -> dict[str, Column]:
     }
 
 
-def health(memories: DataFrame, records: DataFrame, spans: DataFrame, as_of: Column, threshold: float = 0.5, newest: int = 1000) -> DataFrame:
-    """One row: counts, coverage by provenance, warnings in order and status. One pass over the facts; coverage is a semi join."""
+def health(memories: DataFrame, records: DataFrame, spans: DataFrame, as_of: Column, threshold: float = 0.5, newest: int | None = None) -> DataFrame:
+    """One row: counts, coverage by provenance, warnings in order and status. One pass over the facts; coverage is a semi join.
+    All records and spans count, or the newest so many of each if that is given."""
     counts = memories.agg(F.count("*").alias("memory_count"), *[F.count_if(c).alias(f"{k}_count") for k, c in findings(as_of, threshold).items()])
-    last = records.orderBy(F.desc("timestamp"), "id").limit(newest).withColumn("avg_confidence", provenance.average())
+    recent = lambda df: df if newest is None else df.orderBy(F.desc("timestamp"), "id").limit(newest)
+    last = recent(records).withColumn("avg_confidence", provenance.average())
     ids = last.select(F.explode("sources.memory_id").alias("id")).distinct()
     covered = memories.select("id").distinct().join(ids, "id", "left_semi").agg(F.count("*").alias("covered_memories"))
     distinct = memories.agg(F.countDistinct("id").alias("n_ids"))
     seen = last.agg(F.count("*").alias("provenance_records"), F.count_if(F.col("avg_confidence") < threshold).alias("low_confidence_retrievals"))
-    late = spans.orderBy(F.desc("timestamp"), "id").limit(newest).agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("error_spans"))
+    late = recent(spans).agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("error_spans"))
     row = reduce(lambda a, b: a.join(F.broadcast(b)), [counts, covered, distinct, seen, late])
     coverage = F.when(F.col("n_ids") > 0, F.col("covered_memories") / F.col("n_ids")).otherwise(1.0)
     missing = (F.col("memory_count") > 0) & (F.col("provenance_records") == 0)

@@ -269,7 +269,7 @@ def scope_counts(spark, sf):
 
 
 def health_report(spark, sf):
-    return R.health(facts(spark, sf), _records(spark, sf), spans(spark, sf), now())
+    return R.health(facts(spark, sf), _records(spark, sf), spans(spark, sf), now(), newest=1000)  # as its SQL
 
 
 def health_samples(spark, sf):

@@ -94,6 +94,15 @@ def test_health(spark):
     assert h.warnings == "expired,low_confidence,risky_sources,secret_findings,low_provenance_coverage"
 
 
+def test_health_counts_all_spans(spark):
+    m, rec = frame(spark), spark.createDataFrame([], store.PROVENANCE)
+    spans = spark.range(1001).selectExpr("concat('s', id) as id", "cast(id as double) as timestamp", "if(id = 0, 'error', 'ok') as status")
+    h = reports.health(m, rec, spans, F.lit(T0)).first()
+    assert (h.spans, h.error_spans) == (1001, 1) and "otel_errors" in h.warnings
+    h = reports.health(m, rec, spans, F.lit(T0), newest=1000).first()
+    assert (h.spans, h.error_spans) == (1000, 0) and "otel_errors" not in h.warnings
+
+
 def test_tree(spark):
     nodes = tree.build(frame(spark)).collect()
     by = {n.node_id: n for n in nodes}
