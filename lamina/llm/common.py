@@ -36,14 +36,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share: the one that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where none is set, as in tests.
+    A folder of our own is set only in local mode, as in tests; on a cluster that names none this is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -51,9 +62,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def slim(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """cut() for narrow tables, read in one task for each `rows` rows: a small table makes few shuffle files."""
-    out = cut(df)
-    return out.coalesce(max(1, -(-out.count() // rows)))
+    """cut() for narrow tables, in one file for each `rows` rows: a small table makes few files and few tasks."""
+    held = df.persist()
+    out = cut(held.coalesce(max(1, -(-held.count() // rows))))
+    held.unpersist()
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 1_000_000) -> DataFrame:

@@ -169,8 +169,8 @@ def sets_of(texts, k):
     return out
 
 
-@pytest.mark.parametrize("k,num,most", [(4, 85, 4096), (5, 80, 4096), (4, 85, 3)])
-def test_jaccard_equals_brute_force(spark, k, num, most):
+@pytest.mark.parametrize("k,num,capacity,rows,hot", [(4, 85, 512, 1_000_000, 4096), (5, 80, 512, 1_000_000, 4096), (4, 85, 4, 0, 2)])
+def test_jaccard_equals_brute_force(spark, k, num, capacity, rows, hot):
     """Clouds of copies at all distances, around shared passages, and edge texts."""
     g = np.random.default_rng(5)
     word = lambda: f"w{g.integers(4000)}"
@@ -182,13 +182,54 @@ def test_jaccard_equals_brute_force(spark, k, num, most):
             texts.append(" ".join(word() if g.random() < rate else w for w in base))
     s = sets_of(texts, k)
     edges = [(i, j) for i in range(len(s)) for j in range(i) if s[i] and s[j] and 100 * len(s[i] & s[j]) >= num * len(s[i] | s[j])]
-    got = {r.doc_id: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=k, num=num, most=most).collect()}
+    got = {r.doc_id: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=k, num=num, capacity=capacity, broadcast_rows=rows, hot=hot).collect()}
     want = components(len(texts), edges)
     assert [got[i].n_shingles for i in range(len(texts))] == [len(x) for x in s]
     assert [got[i].component_id for i in range(len(texts))] == want
     assert len(set(want)) < len(texts) - 20
 
 
+def test_jaccard_of_a_large_group(spark):
+    """Thousands of different copies of one text, some at the edge of the similarity, many blocks to a cell."""
+    g, n = np.random.default_rng(6), 3000
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        w, edits = list(base), int(g.integers(0, 14))
+        at = int(g.integers(0, 120 - edits)) if i % 2 else None
+        for p in range(at, at + edits) if at is not None else g.choice(120, edits // 3, replace=False):
+            w[p] = f"e{g.integers(40) if i % 5 else 1000 + i}"
+        texts.append(" ".join(w))
+    s = sets_of(texts, 4)
+    ids = {x: k for k, x in enumerate(sorted(set().union(*s)))}
+    m = np.zeros((n, len(ids)), np.float32)
+    for i, x in enumerate(s):
+        m[i, [ids[y] for y in x]] = 1
+    common, sizes = np.rint(m @ m.T).astype(np.int64), np.array([len(x) for x in s])
+    link = 100 * common >= 85 * (sizes[:, None] + sizes - common)
+    want = components(n, zip(*np.nonzero(np.triu(link, 1)), strict=True))
+    for capacity in (512, 32):
+        got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), capacity=capacity).collect()}
+        assert [got[i] for i in range(n)] == want
+    assert 1 < len(set(want)) < n // 2
+
+
+def test_tree_join_finds_every_pair_within_its_bound():
+    g = np.random.default_rng(7)
+    for m, k in ((1, 1), (9, 1), (70, 3), (200, 40)):
+        c = [g.poisson(0.3, (x, jaccard.GROUPS)).astype(np.uint8) for x in (m, m // 2 + 1)]
+        c[0][m // 2 :] = np.maximum(c[0][: m - m // 2].astype(int) - (g.random((m - m // 2, jaccard.GROUPS)) < 0.02), 0)
+        trees = [jaccard.CountTree(np.arange(len(x)), x.sum(1, dtype=np.int64), g.integers(0, k, len(x)), x) for x in c]
+        for a, b in ((trees[0], trees[0]), (trees[0], trees[1]), (trees[1], trees[0])):
+            found = [(int(x), int(y)) for i, j, _ in jaccard.tree_join(a, b, 85, 100) for x, y in zip(i, j, strict=True)]
+            (_, na, _, la), (_, nb, _, lb) = a.levels[0], b.levels[0]
+            want = set()
+            for i in range(len(na)):
+                good = (la[i] != lb) & (jaccard.overlap(b.counts, a.counts[i]) >= jaccard.need(85, 100, na[i], nb)) & (100 * np.minimum(nb, na[i]) >= 85 * np.maximum(nb, na[i]))
+                want |= {(i, int(j)) for j in np.flatnonzero(good) if a is not b or i < j}
+            assert len(found) == len(set(found)) and set(found) == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
