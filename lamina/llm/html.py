@@ -1,19 +1,22 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: one for each block of the page, with white space inside it as
-one space and character references decoded. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, told by element, role, whole class and id,
-lines of elements that are hidden or not displayed, and all text of links count as length
-0; scripts, styles and comments have no lines. The lengths
-are summed over windows of consecutive lines: text surges where a window reaches the
-threshold and dives where a window is empty; the lines between, but for those of the parts
-named above, are the main text. In an article or main element links are text. If one of
-these elements holds at least as many characters as the largest stretch of lines outside
-them, only lines in such elements have a length and any text is a surge; else all lines
-are alike, and an article is kept where its own text surges.
-
-A null or empty page, or one without a surge, has an empty text. Each row is extracted by
-itself, whole, in time in proportion to its length; repeated rows give repeated rows.
+one space and character references decoded; a line's length is its characters but white space.
+Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told
+by element, role, whole class and id, and of elements that are hidden or not displayed have
+length 0 and are never kept; so has a line of nothing but links outside an article or main
+element. Scripts, styles and comments have no lines. Where an article or main element starts
+or ends stand `window` empty lines, so no window reaches over that edge.
+
+The lengths are summed over windows of consecutive lines. Text surges where a window reaches
+the threshold, which is `surge` characters or, on pages whose fullest window has fewer than twice
+as many, half of that window; it dives where a window is empty. The lines around a surge, as
+far as the next dive on both sides, are main text. If the stretch with the most text lies in
+an article or main element, only stretches in such elements are kept; else all are.
+
+A null or empty page, or one without a line that has a length, has an empty text; an empty
+table gives no rows. Each row is extracted by itself, whole, in time in proportion to its
+length; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -42,8 +45,11 @@ WORDS = frozenset(
 FILLERS = frozenset("site global main primary secondary bar box list area wrap wrapper container section block inner posts articles links items form button buttons".split())
 #: Elements that no class, id or role leaves out.
 KEPT = frozenset("body html article main h1 h2 h3 h4 h5 h6 p".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: The rest of a tag that has no attribute values, and one attribute; every step takes characters, so a tag takes time in proportion to its length.
+PLAIN = re.compile(r"[^<>\"'=]*>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+END = re.compile(r"[\s/]*>")
 PART = re.compile(r"\d+x\d+|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]")
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
@@ -55,14 +61,11 @@ def names_part(token: str, inside: bool) -> bool:
     return any(w in WORDS for w in words) and all(w in WORDS or w in FILLERS or w[0].isdigit() for w in words)
 
 
-def marked(tag: str, attributes: str, inside: bool) -> bool:
+def marked(tag: str, attributes, inside: bool) -> bool:
     if tag in SKIP or tag == "header" and not inside:
         return True
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
     seen = set()
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), entities.unescape(a or b or c)
+    for name, value in attributes:
         if name in seen:  # the first of equal names counts
             continue
         seen.add(name)
@@ -78,114 +81,162 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, left out, number of the outermost article around it or 0) of every block with text, in page order."""
-    out: list[tuple[str, int, bool, int]] = []
+def tokens(page: str):
+    """(text, tag, kind, attributes) in page order: kind 0 is text, 1 a start, 2 a self-closed start, 3 an end."""
+    at = start = 0
+    while (at := page.find("<", at)) >= 0:
+        lead = page[at + 1 : at + 2]
+        if lead in ("!", "?"):
+            if start < at:
+                yield page[start:at], "", 0, ()
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if page.startswith(opening, at):
+                    end = page.find(closing, at + len(opening))
+                    if opening == "<![CDATA[":
+                        yield page[at + 9 : end if end >= 0 else len(page)], "", 0, ()
+                    at = start = end + len(closing) if end >= 0 else len(page)
+                    break
+            continue
+        closes = lead == "/"
+        name = NAME.match(page, at + 1 + closes)
+        if not name:  # a lone "<" is text
+            at += 1
+            continue
+        if start < at:
+            yield page[start:at], "", 0, ()
+        tag, at = name[0].lower(), name.end()
+        if m := PLAIN.match(page, at):
+            inner = m[0][:-1]
+            attributes, empty, at = [(x.lower(), "") for x in inner.replace("/", " ").split()], inner.endswith("/"), m.end()
+        else:
+            attributes, empty = [], False
+            while not (m := END.match(page, at)):
+                if not (m := ATTRIBUTE.match(page, at)):  # nothing but the end of the page
+                    at = len(page)
+                    break
+                attributes.append((m[1].lower(), entities.unescape(next((x for x in m.groups()[1:] if x is not None), ""))))
+                at = m.end()
+            else:
+                empty, at = "/" in m[0] or page[m.start() - 1] == "/", m.end()
+        start = at
+        yield "", tag, 3 if closes else 2 if empty else 1, attributes
+        if tag in RAW and not closes and not (empty and tag == "svg"):  # of these only svg can be empty
+            end = RAW_END[tag].search(page, at)
+            at = start = end.end() if end else len(page)
+    if start < len(page):
+        yield page[start:], "", 0, ()
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
+    """(text, length, in an article or main element) of every line in page order; a text of "" is not to be kept."""
+    out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool]] = []
+    at_tag: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+    skipped: list[int] = []
+    blocks: list[int] = []
     held: list[str] = []
-    plain = skips = articles = number = links = at = 0
+    plain = articles = links = 0
 
     def flush():
         nonlocal plain
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, plain, skips > 0, number if articles else 0))
+            if not skipped:
+                out.append((text, len(text) - text.count(" ") if articles else plain, articles > 0))
+            elif not articles:
+                out.append(("", 0, False))
         held.clear()
         plain = 0
 
+    def edge():
+        out.extend([("", 0, False)] * window)
+
     def pop(k):
-        nonlocal skips, articles, links
-        for tag, skip in stack[k:]:
-            skips -= skip
-            articles -= tag in ("article", "main")
+        nonlocal articles, links
+        while len(stack) > k:
+            tag, skip = stack.pop()
+            at_tag[tag].pop()
+            if skip:
+                skipped.pop()
+            if tag not in INLINE:
+                blocks.pop()
             links -= tag == "a"
-        del stack[k:]
+            if tag in ("article", "main"):
+                articles -= 1
+                if not articles:
+                    edge()
 
-    def feed(raw):
-        nonlocal plain
-        text = entities.unescape(raw)
-        held.append(text)
-        if not links:
-            plain += len("".join(text.split()))
-
-    while (m := TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            feed(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                feed(m[0][9:].removesuffix("]]>"))
+    for raw, tag, kind, attributes in tokens(page):
+        if not kind:
+            text = entities.unescape(raw)
+            held.append(text)
+            if not links:
+                plain += len("".join(text.split()))
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag == "br":
             held.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag in VOID:
+        if kind == 3:  # an inline end does not reach over the start of a block
+            if (open_at := at_tag.get(tag)) and (tag not in INLINE or not blocks or blocks[-1] < open_at[-1]):
+                pop(open_at[-1])
             continue
-        if tag in RAW:
-            if tag == "svg" and m[3].endswith("/"):  # of these only svg can be empty
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in VOID or tag in RAW:
             continue
         if tag not in INLINE:  # inline elements and paragraphs do not reach over the start of a block
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
                 pop(len(stack) - 1)
-        if tag in ("article", "main") and skips:  # an unclosed menu ends where the article starts
-            pop(next(k for k, (_, skip) in enumerate(stack) if skip))
-        skip = marked(tag, m[3], articles > 0)
-        stack.append((tag, skip))
-        skips += skip
         if tag in ("article", "main"):
-            number += not articles
+            if skipped:  # an unclosed menu ends where the article starts
+                pop(skipped[0])
+            if not articles:
+                edge()
             articles += 1
+        skip = marked(tag, attributes, articles > (tag in ("article", "main")))
+        if skip:
+            skipped.append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        at_tag.setdefault(tag, []).append(len(stack))
+        stack.append((tag, skip))
         links += tag == "a"
-    if at < len(page):
-        feed(page[at:])
     flush()
     return out
 
 
-def regions(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
-    """[first, end) of the stretches between a surge and the next dive."""
+def stretches(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """[first, end) of the lines around each surge, from the dive before it to the dive after it."""
     sums, total = [0] * len(lengths), 0
     for i in range(len(lengths) - 1, -1, -1):
         total += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
         sums[i] = total
-    out, start = [], None
-    for i, s in enumerate(sums):
-        if start is None and s >= surge and lengths[i]:
-            start = i
-        elif start is not None and s == 0:
-            out.append((start, i))
+    surge = min(surge, -(-max(sums, default=0) // 2))
+    out, start, high = [], None, False
+    for i, s in enumerate([*sums, 0]):
+        if s and start is None:
+            start, high = i + next(k for k in range(window) if lengths[i + k]), False
+        if s >= surge > 0:
+            high = True
+        if not s and start is not None:
+            if high:
+                out.append((start, i))
             start = None
-    return out + ([(start, len(lengths))] if start is not None else [])
+    return out
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
-    found = lines(page or "")
-    lengths = [0 if skip else len(x) - x.count(" ") if a else n for x, n, skip, a in found]
-    held: dict[int, int] = {}
-    for n, (*_, a) in zip(lengths, found, strict=True):
-        if a and n:
-            held[a] = held.get(a, 0) + n
-    if held:
-        outside = [n for n, (*_, a) in zip(lengths, found, strict=True) if not a]
-        if max(held.values()) >= max((sum(outside[a:b]) for a, b in regions(outside, window, surge)), default=0):
-            found = [(x, n, skip or not a, a) for x, n, skip, a in found]
-            lengths = [n if a else 0 for n, (*_, a) in zip(lengths, found, strict=True)]
-            surge = 1
-    return "\n".join(found[i][0] for a, b in regions(lengths, window, surge) for i in range(a, b) if not found[i][2])
+    found = lines(page or "", window)
+    lengths = [n for _, n, _ in found]
+    kept = stretches(lengths, window, surge)
+    if not kept:
+        return ""
+    fullest = max(kept, key=lambda x: sum(lengths[x[0] : x[1]]))
+    inside = any(a for *_, a in found[fullest[0] : fullest[1]])
+    return "\n".join(found[i][0] for x, y in kept for i in range(x, y) if found[i][0] and (not inside or found[i][2]))
 
 
 def extract(pages: DataFrame, column: str = "html", **kw) -> DataFrame:

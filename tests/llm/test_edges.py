@@ -282,7 +282,53 @@ def test_html():
     bare = f"<div><a href=x>menu</a></div><div><a href=y>more</a></div><p>{text}</p><p>{text}</p><div></div><div><a href=z>next</a></div><div><a href=z>a</a></div><div><a href=z>b</a></div>"
     assert html.main_text(bare).startswith(f"{text.strip()}\n{text.strip()}") and "menu" not in html.main_text(bare)
     assert html.main_text("<nav>x<article><p>kept</p></article>") == "kept"
-    assert html.regions([0, 5, 100, 0, 0, 0, 200, 0], 3, 80) == [(1, 3), (6, 7)]
+    assert html.stretches([0, 5, 100, 0, 0, 0, 200, 0], 3, 80) == [(1, 3), (6, 7)]
+
+
+def test_html_short_pages_and_teasers():
+    """Windows decide on every page: a teaser in an article does not beat the text outside, a short page keeps its text."""
+    assert html.main_text("<div><p>Short article only, forty characters here.</p></div>") == "Short article only, forty characters here."
+    text = "words of the main text " * 6
+    assert html.main_text(f"<article>Buy our stuff</article><div><p>{text}</p><p>End.</p></div>") == f"{text.strip()}\nEnd."
+    assert html.main_text("<article><p>Tiny.</p></article><footer>Foot</footer>") == "Tiny."
+    for name in ("ad-hoc", "search-theory"):
+        assert html.main_text(f"<article><div class={name}>Part.</div><p>More.</p></article>") == "Part.\nMore."
+    inner = "<p>Title</p><p>By X</p><p>2024</p><p>1</p><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside>" + f"<p>{text}</p>" + "<aside>" + "<p>x</p>" * 5 + "</aside><p>Z.</p>"
+    assert html.main_text(f"<body><article>{inner}</article><p>{'legal ' * 9}</p></body>") == f"Title\nBy X\n2024\n1\n{text.strip()}\nZ."
+
+
+def brute_stretches(lengths, window, surge):
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    surge, kept = min(surge, -(-max(sums, default=0) // 2)), set()
+    for i, s in enumerate(sums):
+        if s and s >= surge:
+            for step in (1, -1):
+                k = i
+                while 0 <= k < len(sums) and sums[k]:
+                    kept.add(k)
+                    k += step
+    return kept
+
+
+def test_html_windows_equal_brute_force():
+    g = np.random.default_rng(11)
+    for _ in range(500):
+        lengths = [int(x) for x in g.choice([0, 0, 0, 4, 30, 90, 300], int(g.integers(0, 40)))]
+        window = int(g.integers(1, 5))
+        want = {k for k in brute_stretches(lengths, window, 80) if lengths[k]}
+        got = html.stretches(lengths, window, 80)
+        assert {k for a, b in got for k in range(a, b) if lengths[k]} == want, lengths
+        assert all(lengths[a] and lengths[b - 1] for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_html_bad_pages_take_linear_time():
+    import time
+
+    n = 250_000
+    for page in ("<a " * n + "'", "<i>" * n + "</b>" * n, "<b><p>" + "<i>" * n + "</b>" * n, "<!--" * n, "<a b='" * n, '<p x="' * n, "<" * 4 * n, "<div>" * n, "<div>" * n + "</p>" * n, "&" * 4 * n, "<nav><article>" * (n // 4), "<script>" * n, "<a =" * n, "<p " + " " * 4 * n, "</p" + " " * n + "x" * n):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 6, page[:20]
 
 
 def test_html_main_text_outside_an_article():
