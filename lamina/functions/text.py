@@ -32,7 +32,10 @@ def pii_labels(text: Column) -> Column:
 
 
 def holds_word(text: Column, words) -> Column:
-    low = F.lower(text)
+    return holds_lowered(F.lower(text), words)
+
+
+def holds_lowered(low: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(w.lower()) for w in words])
 
 
@@ -59,12 +62,22 @@ def words(text: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    """array<string>: words, with synonyms, stemmed. Over many rows explode words() and use stem(synonym(word)), which stays in generated code."""
-    return F.transform(words(text), lambda w: stem(synonym(w)))
+    """array<string>: words, with synonyms, stemmed. Over many rows explode words() and use stemmed(), which stays in generated code."""
+    return F.transform(F.transform(words(text), synonym), stem)
+
+
+def stemmed(df, word: str, to: str):
+    """df with the stem of a word in column `to`. In two steps: nested, the synonym's cases would stand in every case of the stem."""
+    return df.withColumn(to, synonym(F.col(word))).withColumn(to, stem(F.col(to)))
 
 
 def cluster(text: Column) -> Column:
-    return reduce(lambda c, g: c.when(holds_word(text, g[1]), F.lit(g[0])), V.CLUSTERS, F.when(F.lit(False), F.lit(""))).otherwise(F.lit("other"))
+    return cluster_lowered(F.lower(text))
+
+
+def cluster_lowered(low: Column) -> Column:
+    """The cluster of a text in lower case; as a column of its own it is lowered once, not once for each word."""
+    return reduce(lambda c, g: c.when(holds_lowered(low, g[1]), F.lit(g[0])), V.CLUSTERS, F.when(F.lit(False), F.lit(""))).otherwise(F.lit("other"))
 
 
 def cluster_title(group: Column) -> Column:

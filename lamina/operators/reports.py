@@ -23,17 +23,17 @@ def findings(as_of: Column, threshold: float = 0.5) -> dict[str, Column]:
 
 
 def health(memories: DataFrame, records: DataFrame, spans: DataFrame, as_of: Column, threshold: float = 0.5, newest: int | None = None) -> DataFrame:
-    """One row: counts, coverage by provenance, warnings in order and status. One pass over the facts; coverage is a semi join.
+    """One row: counts, coverage by provenance, warnings in order and status. One aggregate over the facts and one over the records.
     All records and spans count, or the newest so many of each if that is given."""
-    counts = memories.agg(F.count("*").alias("memory_count"), *[F.count_if(c).alias(f"{k}_count") for k, c in findings(as_of, threshold).items()])
+    counts = memories.agg(F.count("*").alias("memory_count"), F.countDistinct("id").alias("n_ids"), *[F.count_if(c).alias(f"{k}_count") for k, c in findings(as_of, threshold).items()])
     recent = lambda df: df if newest is None else df.orderBy(F.desc("timestamp"), "id").limit(newest)
-    last = recent(records).withColumn("avg_confidence", provenance.average())
-    ids = last.select(F.explode("sources.memory_id").alias("id")).distinct()
-    covered = memories.select("id").distinct().join(ids, "id", "left_semi").agg(F.count("*").alias("covered_memories"))
-    distinct = memories.agg(F.countDistinct("id").alias("n_ids"))
-    seen = last.agg(F.count("*").alias("provenance_records"), F.count_if(F.col("avg_confidence") < threshold).alias("low_confidence_retrievals"))
+    # One row for each source of a record, or one for a record without: its first row stands for the record.
+    last = recent(records).select((provenance.average() < threshold).alias("low"), F.posexplode_outer("sources.memory_id").alias("pos", "id"))
+    known = last.join(memories.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
+    first = F.coalesce("pos", F.lit(0)) == 0
+    seen = known.agg(F.count_if(first).alias("provenance_records"), F.count_if(first & F.col("low")).alias("low_confidence_retrievals"), F.countDistinct(F.when(F.col("known"), F.col("id"))).alias("covered_memories"))
     late = recent(spans).agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("error_spans"))
-    row = reduce(lambda a, b: a.join(F.broadcast(b)), [counts, covered, distinct, seen, late])
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), [counts, seen, late])
     coverage = F.when(F.col("n_ids") > 0, F.col("covered_memories") / F.col("n_ids")).otherwise(1.0)
     missing = (F.col("memory_count") > 0) & (F.col("provenance_records") == 0)
     warn = [(F.col(f"{k}_count") > 0, name) for k, name in (("expired", "expired"), ("low_confidence", "low_confidence"), ("risky_source", "risky_sources"), ("secret_finding", "secret_findings"))]

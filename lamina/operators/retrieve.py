@@ -14,49 +14,65 @@ from . import tree
 
 
 def token_rows(df: DataFrame, keys: list[str], text) -> DataFrame:
-    """Distinct (keys, stem) of a text."""
-    words = df.select(*keys, F.explode(X.words(text)).alias("word"))
-    return words.select(*keys, X.stem(X.synonym(F.col("word"))).alias("stem")).distinct()
+    """Distinct (keys, stem) of a text, for tables of few rows such as queries and node labels."""
+    return df.select(*keys, F.explode(F.array_distinct(X.stems(text))).alias("stem")).distinct()
+
+
+def words_of(facts: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, head, stem) of every distinct word of a fact's content, and (head) of its first 60 characters, the leaf's title."""
+    said = lambda text, head: F.transform(F.array_distinct(X.words(text)), lambda w: F.struct(w.alias("word"), F.lit(head).alias("head")))
+    both = F.concat(said(F.col("content"), False), said(F.substring("content", 1, 60), True))
+    words = facts.select(*keep, F.explode(both).alias("x")).select(*keep, "x.head", F.col("x.word").alias("word"))
+    return X.stemmed(words, "word", "stem").drop("word")
 
 
 def fact_tokens(facts: DataFrame) -> DataFrame:
     """The inverted index (id, stem, in_content, in_head): the head is the first 60 characters, the leaf's title."""
-    both = facts.select("id", F.explode(F.array(F.struct(F.lit(False).alias("head"), F.col("content").alias("t")), F.struct(F.lit(True).alias("head"), F.substring("content", 1, 60).alias("t")))).alias("x"))
-    words = both.select("id", "x.head", F.explode(X.words(F.col("x.t"))).alias("word"))
-    stems = words.select("id", "head", X.stem(X.synonym(F.col("word"))).alias("stem"))
-    return stems.groupBy("id", "stem").agg(F.max((~F.col("head")).cast("int")).alias("in_content"), F.max(F.col("head").cast("int")).alias("in_head"))
+    return words_of(facts, ["id"]).groupBy("id", "stem").agg(F.max((~F.col("head")).cast("int")).alias("in_content"), F.max(F.col("head").cast("int")).alias("in_head"))
 
 
-def label_hits(q: DataFrame, nodes: DataFrame, keys: list[str], name: str) -> DataFrame:
+def label_hits(q: DataFrame, labels: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(query_id, keys, hits): stems of the query in a node's title plus those in its summary."""
-    t = token_rows(nodes, [*keys, "node_id"], F.col("title")).unionAll(token_rows(nodes, [*keys, "node_id"], F.col("summary")))
-    return q.join(t, "stem").groupBy("query_id", *keys).agg(F.count("*").alias(name))
+    parts = labels.select(*keys, F.posexplode(F.array("title", "summary")).alias("part", "said"))
+    return q.join(token_rows(parts, [*keys, "part"], F.col("said")), "stem").groupBy("query_id", *keys).agg(F.count("*").alias(name))
 
 
-def scored(facts: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def scored(facts: DataFrame, queries: DataFrame, index: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """(query_id, id, layer, content, confidence, score) of every pair with a score of 1 or more.
 
     queries has (query_id, query). A fact stands on three nodes, its layer, cluster and leaf,
     at depths 1 to 3; its score is the best of (label hits + 3 * content hits) * boost of the
     layer * confidence + 1 / (depth + 1) over the nodes with hits.
+
+    With `best`, of the facts of a cluster that are hit by labels alone only the first `best` different contents by
+    confidence and id are paired with a query: as their scores follow the confidence, no other can be among its best
+    `best`. Without it every question that hits a layer's label meets all facts of the layer.
     """
-    f = tree.clustered(facts).withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).where("content is not null and content <> ''")
+    f = facts.select("id", F.coalesce("layer", F.lit("session")).alias("layer"), "content", F.coalesce("confidence", F.lit(0.5)).alias("confidence")).where("content is not null and content <> ''")
     q = token_rows(queries, ["query_id"], F.col("query"))
-    index = fact_tokens(f) if index is None else index
-    content = q.join(index, "stem").groupBy("query_id", "id").agg(F.sum("in_content").alias("c"), F.sum("in_head").alias("h"))
-    ln = tree.layers(facts)
-    cn = tree.clusters(facts).withColumn("grp", F.expr("substring(node_id, length('cluster_') + length(layer) + 2)"))
-    by_layer = label_hits(q, ln, ["layer"], "sl")
-    by_cluster = label_hits(q, cn, ["layer", "grp"], "sc")
-    zero = F.lit(0).cast("long")
-    parts = [
-        content.select("query_id", "id", "c", "h", zero.alias("sl"), zero.alias("sc")),
-        f.join(by_layer, "layer").select("query_id", "id", zero.alias("c"), zero.alias("h"), "sl", zero.alias("sc")),
-        f.join(by_cluster, ["layer", "grp"]).select("query_id", "id", zero.alias("c"), zero.alias("h"), zero.alias("sl"), "sc"),
-    ]
-    hits = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(*[F.max(x).alias(x) for x in ("c", "h", "sl", "sc")])
+    keys, rest = ["query_id", "id"], ["layer", "content", "confidence"]
+    if index is None:
+        words = words_of(f, ["id", *rest])
+        met = words.join(q.withColumnRenamed("stem", "asked"), words.stem.eqNullSafe(F.col("asked"))).groupBy(*keys, *rest)  # a null-safe join pushes no copy of the stem below it
+        content = met.agg(*[F.size(F.collect_set(F.when(x, F.col("stem")))).alias(c) for c, x in (("c", ~F.col("head")), ("h", F.col("head")))])
+    else:
+        content = q.join(index, "stem").groupBy(*keys).agg(F.sum("in_content").cast("int").alias("c"), F.sum("in_head").cast("int").alias("h")).join(f, "id").select(*keys, *rest, "c", "h")
+    labels = tree.labels(facts)
+    by_layer = label_hits(q, labels.where("grp is null"), ["layer"], "sl")
+    by_cluster = label_hits(q, labels.where("grp is not null"), ["layer", "grp"], "sc")
+    # Clusters follow from the content, so they are worked out after the aggregates, once for each content.
+    if best is None:
+        alone = tree.clustered(f)
+    else:
+        first = tree.clustered(f.groupBy("layer", "content").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "id")).alias("x")))
+        rank = F.row_number().over(W.partitionBy("layer", "grp").orderBy("x.less", "x.id"))
+        alone = first.withColumn("rank", rank).where(F.col("rank") <= max(1, best)).select("x.id", "layer", "grp", "content", (-F.col("x.less")).alias("confidence"))
+    hit = by_layer.select("query_id", "layer", F.lit(None).cast("string").alias("g")).union(by_cluster.select("query_id", "layer", "grp"))
+    alone = alone.alias("f").join(hit.alias("t"), F.expr("f.layer = t.layer and (t.g is null or t.g = f.grp)")).select("query_id", *[f"f.{c}" for c in ("id", *rest)], F.lit(0).alias("c"), F.lit(0).alias("h"))
+    rows = tree.clustered(content.unionByName(alone).groupBy(*keys, *rest).agg(F.max("c").alias("c"), F.max("h").alias("h")))
+    rows = rows.join(by_layer, ["query_id", "layer"], "left").join(by_cluster, ["query_id", "layer", "grp"], "left")
     boost = F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in V.BOOST.items()], F.lit(1.0))
-    rows = hits.join(f.select("id", "layer", "content", "confidence"), "id").withColumn("w", boost * F.col("confidence"))
+    rows = rows.withColumns({"w": boost * F.col("confidence"), "sl": F.coalesce("sl", F.lit(0)), "sc": F.coalesce("sc", F.lit(0))})
     at = lambda s, d: F.when(s + 3 * F.col("c") > 0, (s + 3 * F.col("c")) * F.col("w") + F.lit(1.0 / (d + 1)))
     rows = rows.withColumn("score", F.greatest(at(F.col("sl"), 1), at(F.col("sc"), 2), at(F.col("h") + F.col("c"), 3)))
     return rows.where("score >= 1.0").select("query_id", "id", "layer", "content", "confidence", "score")
@@ -64,13 +80,13 @@ def scored(facts: DataFrame, queries: DataFrame, index: DataFrame | None = None)
 
 def keyword(facts: DataFrame, queries: DataFrame, top_k: int = 5, index: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, layer, content, confidence, score): the best top_k facts of each query that reach half of
-    its best score, one of equal contents; ties by id. Partial aggregates find the best, no query is gathered whole."""
-    s = scored(facts, queries, index)
-    best = s.groupBy("query_id").agg(F.max("score").alias("best"))
-    one = s.join(best, "query_id").where("score >= 0.5 * best").groupBy("query_id", "content").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "layer", "confidence")).alias("x"))
+    its best score, one of equal contents; ties by id. Every task keeps the best top_k of a query before the shuffle."""
+    s = scored(facts, queries, index, max(1, top_k))
+    one = s.groupBy("query_id", "content").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "layer", "confidence")).alias("x"))
     rows = one.select("query_id", "x.id", "x.layer", "content", "x.confidence", (-F.col("x.s")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= max(0, top_k)).select("query_id", "rank", "id", "layer", "content", "confidence", "score")
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= max(0, top_k)).withColumn("best", F.max("score").over(W.partitionBy("query_id")))
+    return top.where("score >= 0.5 * best").select("query_id", "rank", "id", "layer", "content", "confidence", "score")
 
 
 def results(facts: DataFrame, queries: DataFrame, top_k: int = 5, index: DataFrame | None = None) -> DataFrame:

@@ -13,27 +13,44 @@ NODE = ("node_id", "parent_id", "depth", "layer", "title", "summary", "n_memorie
 
 
 def clustered(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("layer", F.coalesce("layer", F.lit("session"))).withColumn("grp", X.cluster(F.col("content")))
+    """facts with grp, the cluster, and no layer null; a column grp is replaced."""
+    kept = [c for c in facts.columns if c not in ("grp", "layer")]
+    low = facts.select(*kept, F.coalesce("layer", F.lit("session")).alias("layer"), F.lower("content").alias("grp"))
+    return low.withColumn("grp", X.cluster_lowered(F.col("grp")))
 
 
 def _mean():
     return F.coalesce(F.round(F.avg(F.coalesce("confidence", F.lit(1.0))), 2), F.lit(1.0)).alias("confidence")
 
 
+def _layer_summary():
+    return F.concat(F.col("n_memories").cast("string"), F.lit(" memories in layer '"), "layer", F.lit("'"))
+
+
+def _cluster_summary():
+    return F.concat(F.col("n_memories").cast("string"), F.lit(" memories about "), "grp")
+
+
 def layers(facts: DataFrame) -> DataFrame:
     g = clustered(facts).groupBy("layer").agg(F.count("*").alias("n_memories"), _mean())
-    summary = F.concat(F.col("n_memories").cast("string"), F.lit(" memories in layer '"), "layer", F.lit("'"))
-    return g.select(F.concat(F.lit("layer_"), "layer").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("depth"), "layer", F.initcap("layer").alias("title"), summary.alias("summary"), "n_memories", "confidence")
+    return g.select(F.concat(F.lit("layer_"), "layer").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("depth"), "layer", F.initcap("layer").alias("title"), _layer_summary().alias("summary"), "n_memories", "confidence")
 
 
 def clusters(facts: DataFrame) -> DataFrame:
     g = clustered(facts).groupBy("layer", "grp").agg(F.count("*").alias("n_memories"), _mean())
     return g.select(
         F.concat(F.lit("cluster_"), "layer", F.lit("_"), "grp").alias("node_id"), F.concat(F.lit("layer_"), "layer").alias("parent_id"), F.lit(2).alias("depth"), "layer",
-        X.cluster_title(F.col("grp")).alias("title"), F.concat(F.col("n_memories").cast("string"), F.lit(" memories about "), "grp").alias("summary"), "n_memories", "confidence",
+        X.cluster_title(F.col("grp")).alias("title"), _cluster_summary().alias("summary"), "n_memories", "confidence",
     )
 
 
+def labels(facts: DataFrame) -> DataFrame:
+    """(layer, grp, title, summary) of the layers (grp is null) and the clusters, from one aggregate."""
+    g = clustered(facts).groupBy("layer", "grp").agg(F.count("*").alias("n_memories"))
+    both = g.groupBy("layer").agg(F.sum("n_memories").alias("n_memories")).select("layer", F.lit(None).cast("string").alias("grp"), F.initcap("layer").alias("title"), _layer_summary().alias("summary"))
+    return both.union(g.select("layer", "grp", X.cluster_title(F.col("grp")), _cluster_summary()))
+
+
 def leaves(facts: DataFrame) -> DataFrame:
     c = clustered(facts)
     return c.select(

@@ -62,13 +62,14 @@ def retrieve_naive(spark, sf):
 
 
 def tokenize_counts(spark, sf):
-    w = read(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    return w.groupBy(X.stem(X.synonym(F.col("w"))).alias("stem")).agg(F.sum("k").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    w = read(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
+    per_doc = X.stemmed(w, "word", "stem").groupBy("doc_id", "stem").agg(F.sum("k").alias("k"))
+    return per_doc.groupBy("stem").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
 
 
 def stem_dictionary(spark, sf):
     w = read(spark, sf, "documents").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
-    return w.select("word", X.stem(X.synonym(F.col("word"))).alias("stem"))
+    return X.stemmed(w, "word", "stem")
 
 
 def redact_facts(spark, sf):

@@ -30,3 +30,30 @@ def test_collect_nodes_has_no_limit(spark, tmp_path):
     part.write.parquet(str(tmp_path / "part.parquet"))
     ranks = {r.query_id: (r.n, r.last) for r in queries.collect_nodes(spark, str(tmp_path)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()}
     assert ranks["a"] == (n, n)
+
+
+def test_retrieval_compiles_and_scans_little(spark, sf):
+    """No plan falls back from generated code, and a retrieval reads the facts a few times only."""
+    from lamina.operators import retrieve
+
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("retrieve_batch", "health_report", "tokenize_counts", "stem_dictionary", "cluster_summary"):
+            queries.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+    plan = queries.QUERIES["retrieve_batch"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 8, plan.count("FileScan parquet")
+    f, q = queries.facts(spark, sf), queries.asked(spark)
+    want = sorted(map(tuple, retrieve.keyword(f, q, 10).collect()))
+    assert sorted(map(tuple, retrieve.keyword(f, q, 10, retrieve.fact_tokens(f)).collect())) == want
+    # The bounded pairs give the same best as all pairs.
+    every = sorted((r.query_id, -r.score, r.id, r.content) for r in retrieve.scored(f, q).collect())
+    for k in {r[0] for r in every}:
+        seen, best = [], []
+        for _, s, i, content in (r for r in every if r[0] == k):
+            if content not in seen:
+                seen.append(content)
+                best.append((i, -s))
+        assert [(r[2], r[6]) for r in sorted(want) if r[0] == k] == [(i, s) for i, s in best[:10] if s >= 0.5 * best[0][1]]
