@@ -259,8 +259,8 @@ def test_embeddings_against_brute_force(spark):
     link = (x @ x.T >= 0.93) & (lab[:, None] == lab) & ~np.eye(len(x), dtype=bool)
     n = len(rows)
     odd = [(n, None, 0), (n + 1, [0.0] * 64, 0), (n + 2, rows[0][1], None), (n + 3, [float("inf")] * 64, 0), (n + 4, [1.0, None], 0), (n + 5, [], 0), (n + 6, [1e30] * 64, 1), (n + 7, [1.0] * 64, 1)]
-    for block in (1024, 4):
-        got = {r.vec_id: r for r in crosspoly.near_duplicates(spark.createDataFrame(rows + odd, VECTORS), block=block).collect()}
+    for block, hashes in ((1024, None), (4, 2), (1024, 3)):
+        got = {r.vec_id: r for r in crosspoly.near_duplicates(spark.createDataFrame(rows + odd, VECTORS), block=block, hashes=hashes).collect()}
         found = np.array([got[i].n_links for i in range(n)])
         assert (found <= link.sum(1)).all() and found.sum() >= 0.98 * link.sum() and link.sum() > 100
         if found.sum() == link.sum():
