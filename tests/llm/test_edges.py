@@ -237,7 +237,7 @@ def test_topk_equals_brute_force(spark, sf):
     g = np.random.default_rng(2)
     rows = [(i, [float(x) for x in g.integers(-3, 4, 8) / 64], 0) for i in range(300)] + [(300, None, 0), (301, [1.0, None] + [0.0] * 6, 0), (302, [float("nan")] * 8, 0), (303, [0.0] * 8, 0), (320, [0.0] * 8, 0), (400, [1.0, 2.0], 0), (420, [1.0, 3.0], 0), (440, [], 0), (None, [1.0] * 8, 0)]
     got = {}
-    for r in topk.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=20, query_block=4, row_block=64, start=2).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=20, row_block=64, start=2).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     good = {i: np.floor(64 * np.array(v, np.float64)).astype(int) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     for q in (i for i in good if i % 20 == 0):
@@ -246,6 +246,20 @@ def test_topk_equals_brute_force(spark, sf):
     assert topk.search(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    """Scores stay exact beyond 2^53, and end at the ends of a long."""
+    g = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in g.integers(-9, 10, 4)], 0) for i in range(60)]
+    rows += [(60, [1e30, 0.0, 0.0, 0.0], 0), (61, [0.0, -1e30, 0.0, 0.0], 0), (62, [2.0**40, 1.0, -(2.0**35), 3.0], 0), (80, [2.0**30, 2.0**33, 0.0, 1.0], 0), (81, [2.0**27 + 16, 1.0, 2.0**26, 5.0], 0)]
+    whole = {i: [max(-(1 << 62), min(1 << 62, int(64 * x))) for x in v] for i, v, _ in rows}
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=20, row_block=16, start=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 20, 40, 60, 80):
+        want = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:20]
+        assert got[q] == [(i, -s) for s, i in want], q
+
+
 def test_embeddings_against_brute_force(spark):
     g = np.random.default_rng(3)
     rows = []
