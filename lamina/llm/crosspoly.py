@@ -251,6 +251,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     known = slim(known.join(least, "group").join(counts, "cid", "left").select("cid", "component", (F.coalesce("n", F.lit(0)) + F.when(F.col("own") == NONE, F.col("w") - 1).otherwise(0)).alias("n")))
     per_row = rows.select("id", *same).join(hashed.select(*same, "cid"), same).select("id", "cid").join(light(known), "cid")
     named = per_row.groupBy("id").agg(F.sum("n").alias("n"), F.min("component").alias("component"))
-    out = vectors.select(F.col(key)).join(named, F.col(key) == F.col("id"), "left")
-    component = F.coalesce("component", F.col(key).cast("long"))
-    return out.select(F.col(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))
+    out = vectors.select(F.col(key).alias("key")).join(named, F.col("key") == F.col("id"), "left")
+    component = F.coalesce("component", F.col("key").cast("long"))
+    return out.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

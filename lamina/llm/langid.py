@@ -7,8 +7,9 @@ total is smallest wins. A text without a letter, or null, is `und`. The score is
 relative distance between the best and the second-best size, scaled to 0..1; a text whose
 score is below min_score is marked rejected.
 
-The sample is bounded: sample_docs labelled rows of each language, chosen by a seeded hash,
-and dict_bytes of their text. All rows of the table can be chosen.
+The sample is bounded: of each language sample_docs labelled rows, chosen by a seeded hash of the
+text, and of each row one piece of piece_chars characters, from a place in the whole text that a hash
+chooses. All pieces are used; they are the dictionary. Every row, and every part of it, can be chosen.
 
 Learned on no rows, every text is `und`; learned on one language, every text with a letter
 is that language with score 1. Ties go to the language first in name. Null labels teach
@@ -31,30 +32,26 @@ by_value(__name__)
 SURE = 0.25
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 256, dict_bytes: int = 48 << 10, seed: int = 7) -> dict[str, bytes]:
-    """{language: dictionary bytes} from a bounded sample of labelled rows.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 256, piece_chars: int = 192, seed: int = 7) -> dict[str, bytes]:
+    """{language: dictionary bytes} from a bounded sample of labelled rows: sample_docs pieces of piece_chars characters a language.
 
-    The number of languages bounds what reaches the driver: sample_docs rows of each, and
-    of each row at most dict_bytes of text.
+    The number of languages bounds what reaches the driver: about twice sample_docs pieces of each. Equal texts count once.
     """
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    order = F.xxhash64(F.lit(seed), "text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # A hash threshold keeps about twice the sample; the exact cut is made on those few rows.
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2.0 * sample_docs / n + 64.0 / n))) for k, n in sorted(counts.items())])
-    at = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.withColumn("at", at).where(F.col("at") < share).select("lang", "at", F.substring("text", 1, dict_bytes).alias("text")).distinct()
+    at = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))) + 1
+    piece = F.substring("text", start.cast("int"), F.lit(piece_chars))
+    few = rows.withColumn("at", at).where(F.col("at") < share).select("lang", "at", piece.alias("piece")).distinct()
     chosen: dict[str, list] = {}
-    for r in few.sort("lang", "at", "text").toLocalIterator():
+    for r in few.sort("lang", "at", "piece").toLocalIterator():
         if len(own := chosen.setdefault(r.lang, [])) < sample_docs:
-            own.append(r.text.encode())
-    out = {}
-    for k, texts in chosen.items():
-        each = max(256, dict_bytes // max(1, len(texts)) * 2)
-        out[k] = b"\n".join(t[:each].decode(errors="ignore").lower().encode() for t in texts)[:dict_bytes]
-    return out
+            own.append(r.piece.lower().encode())
+    return {k: b"\n".join(pieces) for k, pieces in chosen.items()}
 
 
 def classify(texts: list[str | None], dictionaries: dict[str, bytes], level: int, seg_bytes: int) -> list[tuple[str, float, float]]:

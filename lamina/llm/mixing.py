@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 GRID = 4096
 SPAN = 1 << 48
@@ -98,8 +98,12 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     part = rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).where("rest > 0").select("source", "n_tokens", "rest", "blocks", place(F.col("key"), F.col("epochs"), seed).alias("place"))
     part = part.withColumn("block", block_of(F.col("place"), F.col("blocks")))
     sums = part.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
-    run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("block")))
-    edge = cut(run.where("upto > rest and upto - n <= rest").select("source", "block", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left")))
+    # Over groups of blocks first, then over the blocks of the group where the budget ends: no sum runs over all blocks of a source.
+    sums = sums.withColumn("group", F.floor(F.col("block") / 4096))
+    groups = sums.groupBy("source", "group").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
+    near = _edge(groups, ["source"], "group").withColumnsRenamed({"source": "_source", "group": "_group"})
+    blocks = sums.drop("rest").join(_hint(near), F.col("source").eqNullSafe(F.col("_source")) & (F.col("group") == F.col("_group"))).withColumnRenamed("left", "rest")
+    edge = cut(_edge(blocks, ["source", "group"], "block").select("source", "block", "left"))
     ends = _hint(edge.withColumnsRenamed({"source": "_source", "block": "_block"}))
     inside = part.join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).select("source", "block", "place", "n_tokens", "left")
     over = inside.withColumn("upto", F.sum("n_tokens").over(W.partitionBy("source", "block").orderBy("place").rangeBetween(W.unboundedPreceding, W.currentRow))).where("upto > left")
@@ -109,6 +113,12 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return rows, cut(out.withColumn("stop", F.when(F.col("rest") == 0, 0).otherwise(F.coalesce("stop", F.lit(SPAN))).cast("long")))
 
 
+def _edge(sums: DataFrame, within: list[str], by: str) -> DataFrame:
+    """(within, by, left): where a running sum of n passes rest, and what of rest is left before it."""
+    run = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*within).orderBy(by)))
+    return run.where("upto > rest and upto - n <= rest").select(*within, *([] if by in within else [by]), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left"))
+
+
 def block_of(place: Column, blocks: Column) -> Column:
     """The block, of equal shares of an epoch's places. In double precision: exact enough, and alike everywhere."""
     return F.least(F.floor(place.cast("double") * blocks / F.lit(float(SPAN))).cast("int"), blocks - 1)
@@ -132,9 +142,12 @@ def schedule(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", **kw) -> DataFrame:
-    """The rows of docs, each as often as it is drawn, with the columns of docs. A scan and a join with one row per source."""
+    """The rows of docs, each as often as it is drawn, with the columns of docs, whatever their names. A scan and a join
+    with one row per source."""
     _, sources = plan(docs, key=key, source=source, **kw)
-    s = _hint(sources.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("stop").alias("_stop")))
-    drawn = docs.join(s, F.col(source).eqNullSafe(F.col("_source")))
-    last = (place(F.col(key), F.col("_epochs"), kw.get("seed", 17)) < F.col("_stop")).cast("int")
-    return drawn.withColumn("_n", F.col("_epochs") + last).withColumn("_k", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1), "_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = {c: unused(docs, f"_{c}") for c in ("source", "epochs", "stop", "n", "k")}
+    s = _hint(sources.select(*[F.col(c).alias(own[c]) for c in ("source", "epochs", "stop")]))
+    drawn = docs.join(s, F.col(source).eqNullSafe(F.col(own["source"])))
+    last = (place(F.col(key), F.col(own["epochs"]), kw.get("seed", 17)) < F.col(own["stop"])).cast("int")
+    times = F.when(F.col(own["n"]) > 0, F.sequence(F.lit(1), own["n"]))
+    return drawn.withColumn(own["n"], F.col(own["epochs"]) + last).withColumn(own["k"], F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])

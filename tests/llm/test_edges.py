@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -420,3 +421,87 @@ def test_decoding_round_trip_sha():
     data, offsets = bpe.token_table(RANKS)
     assert bpe.decode_ids(np.zeros(0, np.int64), data, offsets) == b"" and len(offsets) > 50_000
     assert hashlib.sha256(bpe.decode_ids(np.arange(10), data, offsets)).hexdigest()
+
+
+def test_language_equals_plain_zstandard(spark, sf):
+    """The sizes, the margin and the tie rule against zstandard used plainly, text after text."""
+    import zstandard
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 7 = 0")
+    learned = langid.fit(d.where(~langid.held_out()))
+    rows = {r.doc_id: r for r in langid.predict(d, learned).collect()}
+    for r in rows.values():
+        sizes = []
+        for name, content in learned.items():
+            coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            raw = (r.text or "").lower().encode()
+            sizes.append((sum(len(coder.compress(raw[i : i + 1024])) - len(coder.compress(b"")) for i in range(0, len(raw), 1024)), name))
+        (first, name), (second, _) = sorted(sizes)[:2]
+        letters = any(c.isalpha() for c in r.text or "")
+        assert r.lang_pred == (name if letters else "und")
+        assert r.score == (min(1.0, (second - first) / max(1, second) / langid.SURE) if letters else 0.0) and r.rejected == (not letters or r.score < 0.02)
+    same = langid.classify(["some text that is in neither"], {"b": b"x" * 64, "a": b"x" * 64}, 6, 1024)
+    assert same == [("a", 0.0, 0.0)]
+    # The pieces come from all of the texts, and the sample is bounded.
+    many = spark.createDataFrame([("z" * 5000 + f" tail{i} ", "q") for i in range(900)], "text string, lang string")
+    content = langid.fit(many, sample_docs=100, piece_chars=50)["q"]
+    assert len(content) <= 100 * 51 and content.count(b"\n") == 99
+
+
+def test_sharding_equals_plain_python(spark, tmp_path):
+    rows = [(i, None if i % 11 == 0 else "é" * (i % 13) + str(i % 5)) for i in range(900)] + [(7, "same")] * 700 + [(None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in sharding.digest(d, shards=7).collect()), key=str)
+    hashes = {(r.doc_id, r.text): (r.t, r.n) for r in d.distinct().select("*", F.xxhash64(F.lit(23), "doc_id", "text").alias("t"), F.xxhash64(F.lit(24), "doc_id", "text").alias("n")).collect()}
+    seen, keyed = {}, []
+    for r in rows:
+        seen[r] = seen.get(r, -1) + 1
+        keyed.append((*hashes[r], seen[r], r))
+    places = spark.createDataFrame([k[:3] for k in keyed], "t long, n long, c long").select("*", F.pmod(F.xxhash64("t", "n", "c"), F.lit(28)).alias("b")).collect()
+    bucket = {(p.t, p.n, p.c): p.b for p in places}
+    at, want = 0, []
+    for b in range(28):
+        own = sorted((k for k in keyed if bucket[k[:3]] == b), key=lambda k: k[:3])
+        g = np.random.Generator(np.random.PCG64([23, b]))
+        draws = g.integers(0, np.arange(len(own), 1, -1)) if len(own) > 1 else []
+        for k, j in zip(range(len(own) - 1, 0, -1), draws, strict=True):
+            own[k], own[j] = own[j], own[k]
+        for *_, (i, x) in own:
+            raw = (x or "").encode()
+            want.append((i, len(raw) + 8, zlib.crc32(raw), "rows", at % 7, at // 7, None))
+            at += 1
+    key = lambda r: (r[4], r[5])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted((tuple(r) for r in sharding.digest(d.repartition(4), shards=7).collect()), key=str) == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sharding.write(d, str(tmp_path / "out"), shards=7)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.shard, r.slot) for r in back.collect()) == sorted((r[4], r[5]) for r in got)
+    assert sorted((r.doc_id or -1, r.text or "") for r in back.collect()) == sorted((i or -1, x or "") for i, x in rows)
+
+
+CLASHING = ["_n", "_k", "_source", "_epochs", "_stop", "_size", "_tie", "_next", "_copy", "_bucket", "_first", "_at", "_part", "kept", "_kept", "place", "_rank", "ref", "label", "cid", "own", "w", "component", "group", "q", "least", "kind"]
+
+
+def test_clashing_columns_come_back(spark):
+    """Columns with the operators' own names keep their values, row by row."""
+    rows = [(i, f"text number {i} of some words that differ {i * 7}", f"s{i % 2}", *[f"{c}{i}" for c in CLASHING]) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    names, want = d.columns, sorted(rows)
+    mixed = mixing.mix(d, max_repeats=1.0)
+    assert mixed.columns == names and sorted(set(map(tuple, mixed.collect()))) == want
+    sharded = sharding.shard(d, shards=3)
+    assert sharded.columns == [*names, "shard", "slot"] and sorted(map(tuple, sharded.select(names).collect())) == want
+    once = jaccard.keep_one(d.union(d))
+    assert once.columns == names and sorted(map(tuple, once.collect())) == want
+    masked = secrets.mask(d)
+    assert masked.columns == names and sorted(map(tuple, masked.collect())) == want
+    lang = langid.predict(d, {"a": b"text number of some words", "b": b"zzz"})
+    assert sorted(map(tuple, lang.select(names).collect())) == want
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0], 1, f"x{i}") for i in range(9)], "id long, vector array<double>, label int, own string")
+    assert sorted(r.id for r in crosspoly.near_duplicates(v, key="id", vector="vector").collect()) == list(range(9))
+    assert topk.search(v, F.col("id") == 0, key="id", vector="vector", k=3).columns == ["query_id", "rank", "id", "score"]
