@@ -28,6 +28,7 @@ HEX = "[0-9a-f]{24,}+"
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
+CHUNK = 256
 #: Bits a character that a window must reach, by class.
 THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.6}
 #: Runs that are public by their form: UUIDs, numbers with separators, paths and hyphenated words with a number.
@@ -46,8 +47,6 @@ def _found(text: Column, pattern: str, order: int, kind: str, keep=None) -> Colu
     """array<struct<start, ord, kind, end, hit>> of the matches of pattern; the work is done only where there is one."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     item = "struct<start:int,ord:int,kind:string,end:int,hit:string>"
-    init = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-
     def step(acc, x):
         start = acc.at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
@@ -55,7 +54,13 @@ def _found(text: Column, pattern: str, order: int, kind: str, keep=None) -> Colu
         good = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"])
         return F.struct(end.alias("at"), F.when(good, F.array_append(acc.out, one)).otherwise(acc.out).alias("out"))
 
-    got = F.aggregate(zipped, init, step, lambda acc: acc.out)
+    # Matches are taken CHUNK at a time, each chunk from where it starts in the text, so no long array is copied for every match.
+    width = lambda acc, x: acc + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), F.size(zipped) - 1, F.lit(CHUNK)), lambda i: F.slice(zipped, i + 1, F.lit(CHUNK)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), width)), none, lambda acc, n: F.struct((acc.at + n).alias("at"), F.array_append(acc.out, acc.at).alias("out")), lambda acc: acc.out)
+    part = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(f"array<{item}>").alias("out")), step, lambda acc: acc.out)
+    got = F.flatten(F.zip_with(chunks, starts, part))
     return F.when(text.rlike(pattern), got).otherwise(F.array().cast(f"array<{item}>"))
 
 

@@ -1,0 +1,142 @@
+"""Every stage of the pipeline, and the whole of it, against a brute-force version in plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import corpus_pipeline as pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from lamina.llm import langid, secrets
+from tests.llm.test_edges import brute_spans, components, entropy_windows, sets_of
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf):
+    """Rows of the test table in several languages, near copies of some, and edge cases."""
+    out = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 13 = 0 and n_chars < 4000").orderBy("doc_id").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    g, key = np.random.default_rng(8), "qWx3rTyUiOp4SdFgHjKl"
+    for i, (_, text, lang, source, _) in enumerate(out[:30]):
+        words = (text or "").split(" ")
+        for at in g.integers(0, len(words), len(words) // 60):
+            words[at] = "changed"
+        copy = " ".join(words) + (f" password={key}{i} and {key}{i}zz" if i % 3 else "")
+        out.append((10_000 + i, copy, lang, source, len(copy)))
+    return out + [(20_000, None, None, None, None), (20_001, "", "en", "s", 0), (20_002, "12 34", "en", "s", 5), (10_001, out[-1][1], "en", None, 3)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def plain(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def brute_languages(spark, rows):
+    docs = frame(spark, rows)
+    learned = langid.fit(docs.where(~langid.held_out()))
+    got = [(r, langid.classify([r[1]], learned, 6, 1024)[0]) for r in rows]
+    return [(i, t, name, s, n) for (i, t, _, s, n), (name, score, _) in got if name != "und" and score >= 0.02]
+
+
+def brute_near(rows):
+    sets = sets_of([r[1] for r in rows], 5)
+    link = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = components(len(rows), link)
+    least = {}
+    for k, (i, *_) in zip(group, rows, strict=True):
+        least[k] = min(least.get(k, i), i)
+    return [r for k, r in zip(group, rows, strict=True) if r[0] == least[k]]
+
+
+def brute_mask(text):
+    if not text:
+        return text
+    taken = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
+    base = list(taken)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+        if any(re.search(p, m[0]) for p in (p.replace("++", "+").replace("*+)", "*)").replace("}+", "}") for p in secrets.ALLOW + secrets.CAMEL)) or any(a <= m.start() and m.end() <= b for a, b in base):
+            continue
+        kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "entropy_base64"
+        at = np.flatnonzero(entropy_windows(m[0], secrets.WINDOW) >= secrets.THRESHOLD[kind] - 1e-9)
+        if len(at):
+            taken.append((m.start() + int(at[0]), m.start() + int(at[-1]) + secrets.WINDOW))
+    out, end, inside = [], 0, False
+    for a, b in sorted(taken):
+        if a > end or not inside:
+            out += [text[end:a], "[SECRET]"]
+        end, inside = max(end, b), True
+    return "".join(out) + text[end:]
+
+
+def brute_mix(rows):
+    n = {k: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1 for k, r in enumerate(rows)}
+    tokens = Counter()
+    for k, r in enumerate(rows):
+        tokens[r[3]] += n[k]
+    total = sum(tokens.values())
+    for grid in range(4097):  # the least exponent at which no source is seen more than twice when every one is seen whole
+        power = {s: (t / total) ** (grid / 4096) for s, t in tokens.items()}
+        if max(power[s] / t for s, t in tokens.items()) * max(t / power[s] for s, t in tokens.items()) <= 2 + 1e-9:
+            break
+    most = max(t / power[s] for s, t in tokens.items())
+    out = []
+    for s, t in tokens.items():
+        repeats = round(power[s] * most / t, 9)
+        epochs, rest = math.floor(repeats), math.floor((repeats - math.floor(repeats)) * t + 1e-6)
+        own = [k for k, r in enumerate(rows) if r[3] == s]
+        place = {k: int(hashlib.md5(f"17:{epochs}:{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:12], 16) for k in own}
+        for k in own:
+            last = sum(n[j] for j in own if place[j] <= place[k]) <= rest
+            out += [rows[k]] * (epochs + last)
+    return out
+
+
+def brute_encoding(rows):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    from lamina.llm.bpe import load_ranks
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    out = []
+    for i, t, lang, source, _ in rows:
+        ids = coder.encode_ordinary(t or "")
+        out.append((i, lang, source, len(ids), ids, hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
+
+
+def test_stages_and_run_equal_brute_force(spark, rows, tmp_path):
+    docs, sf = frame(spark, rows), str(tmp_path)
+    want = brute_languages(spark, rows)
+    assert plain(pipeline.languages(spark, docs, sf)) == sorted(want, key=str) and 0 < len(want) < len(rows)
+    kept = brute_near(want)
+    assert plain(pipeline.near_duplicates(spark, frame(spark, want), sf)) == sorted(kept, key=str) and len(kept) < len(want)
+    masked = [(i, brute_mask(t), lang, s, len(brute_mask(t))) for i, t, lang, s, _ in kept]
+    assert plain(pipeline.secret_scan(spark, frame(spark, kept), sf)) == sorted(masked, key=str) and any("[SECRET]" in r[1] for r in masked)
+    mixed = brute_mix(masked)
+    assert plain(pipeline.mixture(spark, frame(spark, masked), sf)) == sorted(mixed, key=str) and len(masked) < len(mixed) <= 2 * len(masked)
+    coded = brute_encoding(mixed)
+    assert plain(pipeline.encoding(spark, frame(spark, mixed), sf)) == sorted(coded, key=str)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    assert plain(pipeline.run(spark, sf)) == sorted(coded, key=str)
+
+
+def test_masking_long_logs(spark):
+    """Many matches in one text take time in proportion to them."""
+    import time
+
+    text = "".join(f"password=abc{k:06d} x\n" for k in range(20_000))
+    began = time.time()
+    r = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r.n_assign == 20_000 and r.spans.split(",")[-1] == f"assign:{len(text) - 21}:{len(text) - 3}"
+    assert hashlib.sha256(brute_spans(text).encode()).hexdigest() == r.base_sha256 and time.time() - began < 60
+
+
+def test_mixing_edges_of_null_rows(spark):
+    assert plain(pipeline.mixture(spark, frame(spark, [(1, "a", None, None, 1)]), "")) == [(1, "a", None, None, 1)]
