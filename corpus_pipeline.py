@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
 returns a DataFrame. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty and long texts, repeated rows and empty tables: a null
+text or one without letters is in no known language and goes with the first stage; repeated rows
+are one group of near duplicates, of which one row stays; rows with a null id stay as they
+are; a null source is a source of its own; a null text has no tokens. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -53,17 +58,27 @@ STAGES = [
     ("byte-level BPE", encoding),
 ]
 
-#: SQL can't express the compression classifier or the encoding; tests hold every stage against a brute-force version.
+#: SQL can't express the compression classifier or the encoding; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result but the last is written to the shared folder and read again."""
+    """Apply the stages to documents; each result but the last is written to the shared folder and read again.
+
+    A stage's input is removed when its output is written; the last stage's stays, as the result is read from it.
+    """
     docs, to = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             out.write.parquet(f"{to}/{k}")
             out = spark.read.parquet(f"{to}/{k}")
+            if k:
+                _remove(spark, f"{to}/{k - 1}")
         docs = out
     return docs
