@@ -189,6 +189,17 @@ def reassemble(rank_file: str, pattern: str, keep: list[str]):
     return run
 
 
+def _dealt(docs: DataFrame, rank_file: str, text: str, keep: list[str], pattern: str, block_bytes: int, buckets: int | None):
+    """Texts and encoded words, both grouped by block, and the schema of what reassemble() makes of them."""
+    n = buckets or shuffle_partitions(docs.sparkSession)
+    rows = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text).alias("text"))
+    words = rows.select("text").mapInArrow(word_rows(block_bytes, n, pattern), "block long, bucket int, words binary")
+    ids = words.repartition(n, "bucket").mapInArrow(encode_words(rank_file, pattern), "block long, words binary, ids binary")
+    texts = rows.mapInArrow(text_rows(block_bytes), "block long, rows binary")
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return texts.groupBy("block").cogroup(ids.groupBy("block")), schema
+
+
 def encode(docs: DataFrame, rank_file: str, text: str = "text", keep: list[str] | None = None, pattern: str = PATTERN, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
     """The columns `keep` (doc_id) of every row, with n_tokens long and ids array<int>.
 
@@ -197,13 +208,17 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", keep: list[str]
     is a block of its own.
     """
     keep = ["doc_id"] if keep is None else keep
-    n = buckets or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text).alias("text"))
-    words = rows.select("text").mapInArrow(word_rows(block_bytes, n, pattern), "block long, bucket int, words binary")
-    ids = words.repartition(n, "bucket").mapInArrow(encode_words(rank_file, pattern), "block long, words binary, ids binary")
-    texts = rows.mapInArrow(text_rows(block_bytes), "block long, rows binary")
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble(rank_file, pattern, keep), schema)
+    groups, schema = _dealt(docs, rank_file, text, keep, pattern, block_bytes, buckets)
+    return groups.applyInArrow(reassemble(rank_file, pattern, keep), schema)
+
+
+def round_trip(docs: DataFrame, rank_file: str, text: str = "text", keep: list[str] | None = None, pattern: str = PATTERN, block_bytes: int = 8 << 20, buckets: int | None = None, digest: bool = False, keep_ids: bool = False) -> DataFrame:
+    """decode(encode(docs)), where a block's ids are decoded by the worker that has just put them together."""
+    keep = ["doc_id"] if keep is None else keep
+    groups, schema = _dealt(docs, rank_file, text, keep, pattern, block_bytes, buckets)
+    out = decoded_schema(schema, digest, keep_ids)
+    there, back = reassemble(rank_file, pattern, keep), decoder(rank_file, out.names, digest, keep_ids)
+    return groups.applyInArrow(lambda texts, words: pa.Table.from_batches(back(there(texts, words).to_batches())), out)
 
 
 def token_table(rank_file: str) -> tuple[np.ndarray, np.ndarray]:
@@ -222,20 +237,21 @@ def decode_ids(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> bytes:
     return data[np.repeat(offsets[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
 
 
-def decode(encoded: DataFrame, rank_file: str, digest: bool = False, keep_ids: bool = False) -> DataFrame:
-    """Every row with `decoded` binary joined from the token-byte table; ids that are null decode to nothing.
-
-    With digest, ids and bytes are replaced by ids_sha256 (of the decimal ids joined by
-    commas) and decoded_sha256; with keep_ids as well, ids stay and decoded_sha256 is beside
-    them. An id outside the table is an error.
-    """
+def decoded_schema(schema: T.StructType, digest: bool, keep_ids: bool) -> T.StructType:
     drop = {"decoded", "ids_sha256", "decoded_sha256", *(["ids"] if digest and not keep_ids else [])}
-    kept = [f for f in encoded.schema.fields if f.name not in drop]
-    names = [f.name for f in kept]
+    added = [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")[keep_ids:]] if digest else [T.StructField("decoded", T.BinaryType())]
+    return T.StructType([*[f for f in schema.fields if f.name not in drop], *added])
+
+
+def decoder(rank_file: str, names: list[str], digest: bool, keep_ids: bool):
+    """Batches with ids -> batches with the columns `names`; the token-byte table is made once a task."""
+    table: list = []
 
     def run(batches):
-        data, offsets = token_table(rank_file)
-        decimal = [str(i) for i in range(len(offsets) - 1)]
+        if not table:
+            data, offsets = token_table(rank_file)
+            table.extend((data, offsets, [str(i) for i in range(len(offsets) - 1)]))
+        data, offsets, decimal = table
         for batch in batches:
             out, shas = [], []
             for x in batch.column("ids"):
@@ -244,10 +260,20 @@ def decode(encoded: DataFrame, rank_file: str, digest: bool = False, keep_ids: b
                 if digest and not keep_ids:
                     shas.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 out.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-            new = [(pa.array(out, pa.string()), "decoded_sha256")] if digest else [(pa.array(out, pa.binary()), "decoded")]
+            new = {"decoded_sha256": pa.array(out, pa.string())} if digest else {"decoded": pa.array(out, pa.binary())}
             if digest and not keep_ids:
-                new.insert(0, (pa.array(shas, pa.string()), "ids_sha256"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[a for a, _ in new]], [*names, *[c for _, c in new]])
+                new["ids_sha256"] = pa.array(shas, pa.string())
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    added = [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")[keep_ids:]] if digest else [T.StructField("decoded", T.BinaryType())]
-    return encoded.mapInArrow(run, T.StructType([*kept, *added]))
+    return run
+
+
+def decode(encoded: DataFrame, rank_file: str, digest: bool = False, keep_ids: bool = False) -> DataFrame:
+    """Every row with `decoded` binary joined from the token-byte table; ids that are null decode to nothing.
+
+    With digest, ids and bytes are replaced by ids_sha256 (of the decimal ids joined by
+    commas) and decoded_sha256; with keep_ids as well, ids stay and decoded_sha256 is beside
+    them. An id outside the table is an error.
+    """
+    out = decoded_schema(encoded.schema, digest, keep_ids)
+    return encoded.mapInArrow(decoder(rank_file, out.names, digest, keep_ids), out)

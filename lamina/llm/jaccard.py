@@ -597,10 +597,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
     Null and empty texts link with nothing and stay; an empty table gives no rows.
     """
     groups = join(docs, key, **kw)
-    kept, place = unused(docs, "kept"), unused(docs, "place")
-    ids = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(kept)).distinct()
-    once = docs.join(ids, F.col(key) == F.col(kept)).select(docs.columns)
-    if once.groupBy(key).count().where("count > 1").limit(1).count():
-        rank = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*once.columns)))
-        once = once.withColumn(place, rank).where(F.col(place) == 1).drop(place)
-    return once.union(docs.where(F.col(key).isNull()))
+    most = kw.get("broadcast_rows", 1_000_000)
+    gone, place = unused(docs, "gone"), unused(docs, "place")
+    ids = slim(groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(gone)).agg(F.max(F.col(key) == F.col("component_id")).alias("first")).where("not first").select(gone))
+    ids = F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    once = docs.join(ids, F.col(key) == F.col(gone), "left_anti")
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        rank = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+        once = once.where(F.col(key).isNotNull()).withColumn(place, rank).where(F.col(place) == 1).drop(place).union(once.where(F.col(key).isNull()))
+    return once

@@ -50,8 +50,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    return bpe.decode(ids, ranks, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,9 @@ def test_bpe_equals_the_library(spark, docs, sf):
     assert len(rows) == d.count()
     for r in rows:
         assert r.ids == e.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids) and bytes(r.decoded) == (r.text or "").encode()
+    for how in ({}, {"digest": True}, {"digest": True, "keep_ids": True}):
+        once, twice = bpe.round_trip(d, RANKS, keep=["doc_id", "text"], block_bytes=50_000, **how), bpe.decode(bpe.encode(d, RANKS, keep=["doc_id", "text"]), RANKS, **how)
+        assert once.schema == twice.schema and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     with pytest.raises(Exception, match="not in the token-byte table"):
         bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), RANKS).collect()
 
