@@ -47,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256): the token ids of every document, and the digest of the bytes they decode to."""
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"]), ranks, digest=True, keep_ids=True)
+    return bpe.round_trip(docs, ranks, keep=["doc_id", "lang", "source"], digest=True, keep_ids=True)
 
 
 STAGES = [
