@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, shuffle_partitions
+from .common import by_value, shuffle_partitions, tidy
 
 by_value(__name__)
 
@@ -73,19 +73,20 @@ def _blocks(batches, block_bytes):
     """(block number, table of whole rows): rows in order, about block_bytes of text each."""
     part, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        sizes = np.cumsum(np.diff(np.frombuffer(text.cast(pa.large_string()).buffers()[1], np.int64)[text.offset :][: len(text) + 1]) if len(text) else np.zeros(0, np.int64))
+        text = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+        sizes = np.cumsum(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])) if len(text) else np.zeros(0, np.int64)
         at = 0
         while at < batch.num_rows:
             before = int(sizes[at - 1]) if at else 0
-            n = max(1, int(np.searchsorted(sizes, before + block_bytes - size, "right")) - at)
-            n = min(n, batch.num_rows - at)
+            n = int(np.searchsorted(sizes, before + block_bytes - size, "right")) - at
+            if n <= 0 and held:  # the next row has no place: wherever batches end, blocks end at the same rows
+                yield part | k, pa.Table.from_batches(held)
+                k, held, size = k + 1, [], 0
+                continue
+            n = max(1, n)
             held.append(batch.slice(at, n))
             size += int(sizes[at + n - 1]) - before
             at += n
-            if size >= block_bytes or at < batch.num_rows:
-                yield part | k, pa.Table.from_batches(held)
-                k, held, size = k + 1, [], 0
     if held:
         yield part | k, pa.Table.from_batches(held)
 
@@ -173,7 +174,8 @@ def reassemble(rank_file: str, pattern: str, keep: list[str]):
                 if missing := [w for w in dict.fromkeys(words) if w not in index]:
                     core = core or _core(rank_file, pattern)
                     more = [core.encode_single_piece(w.encode()) for w in missing]
-                    index.update((w, len(index) + i) for i, w in enumerate(missing))
+                    known = len(index)
+                    index.update((w, known + i) for i, w in enumerate(missing))
                     count = np.append(count, [len(m) for m in more])
                     ids = np.append(ids, np.array([i for m in more for i in m], np.int32))
                     first = np.cumsum(count) - count
@@ -193,9 +195,9 @@ def _dealt(docs: DataFrame, rank_file: str, text: str, keep: list[str], pattern:
     """Texts and encoded words, both grouped by block, and the schema of what reassemble() makes of them."""
     n = buckets or shuffle_partitions(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text).alias("text"))
-    words = rows.select("text").mapInArrow(word_rows(block_bytes, n, pattern), "block long, bucket int, words binary")
-    ids = words.repartition(n, "bucket").mapInArrow(encode_words(rank_file, pattern), "block long, words binary, ids binary")
-    texts = rows.mapInArrow(text_rows(block_bytes), "block long, rows binary")
+    words = rows.select("text").mapInArrow(tidy(word_rows(block_bytes, n, pattern)), "block long, bucket int, words binary")
+    ids = words.repartition(n, "bucket").mapInArrow(tidy(encode_words(rank_file, pattern)), "block long, words binary, ids binary")
+    texts = rows.mapInArrow(tidy(text_rows(block_bytes)), "block long, rows binary")
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return texts.groupBy("block").cogroup(ids.groupBy("block")), schema
 
@@ -276,4 +278,4 @@ def decode(encoded: DataFrame, rank_file: str, digest: bool = False, keep_ids: b
     them. An id outside the table is an error.
     """
     out = decoded_schema(encoded.schema, digest, keep_ids)
-    return encoded.mapInArrow(decoder(rank_file, out.names, digest, keep_ids), out)
+    return encoded.mapInArrow(tidy(decoder(rank_file, out.names, digest, keep_ids)), out)

@@ -25,6 +25,30 @@ def few(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+#: Bytes of one Arrow batch, unless the session sets its own: what JVM and Python hold of a batch doesn't follow the length of texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def tidy(run):
+    """A function for mapInArrow, whose worker gives memory back to the system at the end of a task, as it may idle long."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

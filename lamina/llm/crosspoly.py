@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, components, cut, few, slim
+from .common import by_value, components, cut, few, slim, tidy
 from .topk import valid_vectors
 
 by_value(__name__)
@@ -216,7 +216,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     plain = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     kind, wide = plain.schema["label"].dataType.simpleString(), plain.schema["vector"].dataType.elementType.simpleString() != "float"
     light = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
-    rows = cut(plain.mapInArrow(_valid(wide), f"id long, label {kind}, dim int, v binary"))
+    rows = cut(plain.mapInArrow(tidy(_valid(wide)), f"id long, label {kind}, dim int, v binary"))
     if hashes is None:
         hashes, most = 2, rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
         while most > 1024 * 64**hashes:
@@ -227,7 +227,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.join(light(repeated), "id", "left").withColumn("own", F.coalesce("own", F.lit(NONE)))
     same = ["label", "dim", "v", "own"]
     classes = rows.groupBy(*same).agg(F.count("*").alias("w"), F.min("id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
-    hashed = cut(classes.mapInArrow(_hash(tables, hashes, probes, seed), f"label {kind}, dim int, v binary, own long, w long, rep long, cid long, codes binary"))
+    hashed = cut(classes.mapInArrow(tidy(_hash(tables, hashes, probes, seed)), f"label {kind}, dim int, v binary, own long, w long, rep long, cid long, codes binary"))
     # (table, bucket) of every probe, from the packed codes, in SQL: 8 bytes each, most significant first.
     # A class enters a bucket once, whichever of its probes lead there.
     place = f"named_struct('table', cast(floor(slot / {probes}) as int), 'bucket', cast(conv(hex(substring(codes, slot * 8 + 1, 8)), 16, 10) as bigint))"
@@ -241,7 +241,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     jobs = jobs.withColumn("job", F.xxhash64(*keys, "i", "j")).drop("label", "dim").join(hashed.select("cid", "dim", "w", "own", "codes", "v"), "cid")
     order = ["job", "table", "bucket", "dim", "i", "j", "side", "cid"]
     dealt = jobs.repartition("job").sortWithinPartitions(*order).select("cid", "w", "own", "dim", "table", "bucket", "i", "j", "side", "job", "codes", "v")
-    found = slim(dealt.mapInArrow(_job(cosine, tables, probes), "cid long, n long, low long").groupBy("cid", "low").agg(F.sum("n").alias("n")))
+    found = slim(dealt.mapInArrow(tidy(_job(cosine, tables, probes)), "cid long, n long, low long").groupBy("cid", "low").agg(F.sum("n").alias("n")))
     # Rows of a repeated key are one node of the links.
     kin = hashed.where(F.col("own") != NONE).select("own", "cid").join(hashed.where(F.col("own") != NONE).groupBy("own").agg(F.min("cid").alias("low")), "own").select("cid", "low")
     reach = components(found.select("cid", "low").union(kin), "cid", "low").select(F.col("node").alias("cid"), F.col("component").alias("group"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, few
+from .common import by_value, few, tidy
 
 by_value(__name__)
 
@@ -249,7 +249,7 @@ def extract(pages: DataFrame, column: str = "html", **kw) -> DataFrame:
             texts = [main_text(x, **kw) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)
 
 
 def digest(pages: DataFrame, **kw) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, components, cut, few, slim, unused
+from .common import by_value, components, cut, few, slim, tidy, unused
 
 by_value(__name__)
 
@@ -454,7 +454,7 @@ class _Join:
 
     def __init__(self, members, texts, words, num, den, capacity, leaves, broadcast_rows):
         self.members, self.texts = members, texts
-        self.points = cut(texts.select("ref", "n", "point"))
+        self.points = slim(texts.select("ref", "n", "point"), 50_000)
         self.words, self.num, self.den, self.capacity, self.leaves, self.broadcast_rows = words, num, den, capacity, leaves, broadcast_rows
 
     def light(self, df):
@@ -472,14 +472,14 @@ class _Join:
 
     def verify(self, stars):
         """(a, b, linked) of (hub, leaf), on the shingles of their texts."""
-        said = self.meet(slim(stars), self.texts.select("ref", "text")).select("hub", "leaf", "text").mapInArrow(_linked(self.words, self.num, self.den), "a long, b long, linked boolean")
+        said = self.meet(slim(stars), self.texts.select("ref", "text")).select("hub", "leaf", "text").mapInArrow(tidy(_linked(self.words, self.num, self.den)), "a long, b long, linked boolean")
         return slim(said.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
 
     def leaders(self):
         """(hub, leaf): of every cell all sets hang on the most central one, as far as their points admit a link."""
         best = self.members.groupBy("cell").agg(F.max_by("ref", "score").alias("hub"))
         stars = self.members.join(self.light(slim(best)), "cell").where("ref <> hub").select("hub", F.col("ref").alias("leaf")).distinct()
-        return self.meet(slim(stars), self.points).select("hub", "leaf", "n", "point").mapInArrow(_bounded(self.num, self.den), "hub long, leaf long")
+        return self.meet(slim(stars), self.points).select("hub", "leaf", "n", "point").mapInArrow(tidy(_bounded(self.num, self.den)), "hub long, leaf long")
 
     def candidates(self, label, only_best: bool):
         """(a, b) of different labels in one cell that may link, by the trees; a cell of two has been seen through its leader."""
@@ -488,7 +488,7 @@ class _Join:
         order = ("cell", "label", "n", "ref")
         open_rows = slim(named.join(self.light(slim(mixed)), "cell")).join(self.points.select("ref", "point"), "ref")
         packed = open_rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "point")
-        blocks = cut(packed.mapInArrow(_pack(self.capacity), "cell long, block long, low long, high long, label long, top array<int>, data binary"))
+        blocks = slim(packed.mapInArrow(tidy(_pack(self.capacity)), "cell long, block long, low long, high long, label long, top array<int>, data binary"), 500)
         heads = slim(blocks.drop("data"))
         cells = heads.groupBy("cell").count().where("count > 1").select("cell")
         heads = heads.join(cells, "cell", "left_semi")
@@ -502,7 +502,7 @@ class _Join:
         if pairs.take(1):
             side = lambda k, c: blocks.select(F.col("block").alias(k), F.col("data").alias(c))
             alone = alone.union(side("i", "one").join(pairs, "i").join(side("j", "two"), "j").select("one", "two"))
-        found = alone.mapInArrow(_searched(self.num, self.den, only_best), "a long, b long, close double")
+        found = alone.mapInArrow(tidy(_searched(self.num, self.den, only_best)), "a long, b long, close double")
         if only_best:
             ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q"), "close"), F.struct(F.col("b").alias("p"), F.col("a").alias("q"), "close"))).alias("x")).select("x.*")
             found = ends.groupBy("p").agg(F.max_by("q", "close").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
@@ -542,7 +542,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    both = cut(rows.mapInArrow(_digests(words, to_arrow_type(kind)), f"key {kind.simpleString()}, n long, ra long, rb long, slice int, counts binary"))
+    both = slim(rows.mapInArrow(tidy(_digests(words, to_arrow_type(kind))), f"key {kind.simpleString()}, n long, ra long, rb long, slice int, counts binary"))
     digests = both.where("slice = -1")
     slices = both.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
     df = np.zeros(1 << DF_BITS, np.uint32)
@@ -556,13 +556,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # A class of equal sets has a number of its own (ref) from here on; its digest is needed no more.
     classes = digests.where("ra is not null and key is not null").groupBy("ra", "rb").agg(F.min("key").alias("rep"))
     classes = cut(classes.withColumn("ref", F.monotonically_increasing_id()))
-    tokens = rows.select("text").mapInArrow(_prefixes(words, num, den, table, hot), "tok long, salt long, ra long, rb long, n int")
+    tokens = rows.select("text").mapInArrow(tidy(_prefixes(words, num, den, table, hot)), "tok long, salt long, ra long, rb long, n int")
     # One shuffle by shingle: where no salt splits it, only sets stay that share it with one near enough in size.
     own, sized = W.partitionBy("tok", "salt"), W.partitionBy("tok", "salt").orderBy("n")
     ends = {"a0": F.min("ra"), "a1": F.max("ra"), "b0": F.min("rb"), "b1": F.max("rb")}
     several = "(a0 < a1 or b0 < b1)"
     seen = tokens.withColumns({"before": F.lag("n").over(sized), "after": F.lead("n").over(sized)}).withColumns({c: x.over(own) for c, x in ends.items()})
-    seen = cut(seen.where(f"salt >= 0 or {several} and ({den}L * before >= {num}L * n or {den}L * n >= {num}L * after)").select("tok", "salt", "ra", "rb", "n"))
+    seen = slim(seen.where(f"salt >= 0 or {several} and ({den}L * before >= {num}L * n or {den}L * n >= {num}L * after)").select("tok", "salt", "ra", "rb", "n"))
     split = seen.where("salt >= 0")
     split = split.join(light(slim(split.groupBy("tok").agg(*[x.alias(c) for c, x in ends.items()]).where(several).select("tok"))), "tok").select("tok", "ra", "rb", "n")
     refs = light(classes.select("ra", "rb", "ref"))
@@ -579,7 +579,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     if members.take(1):
         taking = slim(members.select("ref").distinct().join(classes, "ref"))
         texts = rows.join(light(taking), F.col("key") == F.col("rep")).select("ref", "ra", "rb", "text").where("text is not null")
-        texts = cut(texts.mapInArrow(_zip_text(words), "ref long, n long, point binary, text binary"))
+        texts = cut(texts.mapInArrow(tidy(_zip_text(words)), "ref long, n long, point binary, text binary"))
         reach = _Join(members, texts, words, num, den, capacity, leaves, broadcast_rows).labels().join(classes.select("ref", "rep"), "ref")
         least = reach.groupBy("label").agg(F.min("rep").alias("component"))
         named = classes.join(reach.join(light(slim(least)), "label").select("ref", "component"), "ref", "left")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, few
+from .common import by_value, few, tidy
 
 by_value(__name__)
 
@@ -93,7 +93,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
             got = classify(batch.column(text).to_pylist(), dictionaries, level, seg_bytes)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < min_score for g in got], pa.bool_())], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, few
+from .common import by_value, few, tidy
 
 by_value(__name__)
 
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
                     counts[j] = n
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, vocabulary: str, **kw) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, few
+from .common import by_value, cut, few, tidy
 
 by_value(__name__)
 
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
     Keys are of an integer type and not null (a row with a null key takes no part).
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector).alias("vector")).where("id is not null")
-    whole = cut(rows.mapInArrow(_quantise(scale), "id long, q boolean, dim int, v binary"))
+    whole = cut(rows.mapInArrow(tidy(_quantise(scale)), "id long, q boolean, dim int, v binary"))
     blocks = max(1, -(-whole.count() // row_block))
     block = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)).cast("int").alias("block")
     base = whole.select(block, F.lit(0).alias("kind"), "id", "dim", "v", F.lit(None).cast("long").alias("least"))
@@ -180,7 +180,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
 
     def meet(queries):
         both = base.union(queries.select("block", F.lit(1).alias("kind"), "id", "dim", "v", "least"))
-        return both.repartition(max(1, min(blocks, 1 << 20)), "block").sortWithinPartitions("block", "kind").mapInArrow(_blocks(k, start), "query_id long, id long, score long")
+        return both.repartition(max(1, min(blocks, 1 << 20)), "block").sortWithinPartitions("block", "kind").mapInArrow(tidy(_blocks(k, start)), "query_id long, id long, score long")
 
     own = cut(meet(asked.withColumn("least", F.lit(None).cast("long")).withColumn("block", block)))
     bound = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))

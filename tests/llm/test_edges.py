@@ -420,6 +420,34 @@ def test_sharding_laws(spark, sf):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.1
 
 
+def test_blocks_do_not_depend_on_batches(spark):
+    """Both passes over the texts cut the same blocks, whatever batches they come in; a word that is missing is encoded all the same."""
+    import pyarrow as pa
+    import tiktoken
+
+    g, texts = np.random.default_rng(4), []
+    texts = ["w " * int(n) for n in g.integers(0, 60, 300)] + [None, "x" * 900, ""]
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("T", (), {"partitionId": staticmethod(lambda: 3)})
+
+    real, bpe.TaskContext = bpe.TaskContext, Context
+    try:
+        cuts = [[t.num_rows for _, t in bpe._blocks((whole.slice(i, step) for i in range(0, len(texts), step)), 200)] for step in (1, 7, 64, 1000)]
+    finally:
+        bpe.TaskContext = real
+    assert all(c == cuts[0] for c in cuts) and sum(cuts[0]) == len(texts) and len(cuts[0]) > 20
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, whole.schema) as w:
+        w.write_batch(whole)
+    rows = bpe.reassemble(RANKS, P.PATTERN, ["text"])(pa.table({"rows": [sink.getvalue().to_pybytes()]}), pa.table({"words": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())}))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    assert rows.column("ids").to_pylist() == [e.encode_ordinary(x or "") for x in texts]
+
+
 def test_decoding_round_trip_sha():
     data, offsets = bpe.token_table(RANKS)
     assert bpe.decode_ids(np.zeros(0, np.int64), data, offsets) == b"" and len(offsets) > 50_000
