@@ -46,7 +46,7 @@ def load_counter(path: str):
         e = t.encode(text, add_special_tokens=False)
         return e.ids, e.offsets
 
-    return lambda texts: [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)], spans
+    return lambda texts: [len(x) for x in t.encode_batch_fast(texts, add_special_tokens=False)], spans
 
 
 def splice(text: str, low: int, high: int, left, right):
