@@ -52,11 +52,11 @@ def newest(memories: DataFrame, layer: str | None = None, limit: int | None = No
 
 
 def delete(memories: DataFrame, id: str) -> DataFrame:
-    return memories.where(F.col("id") != id)
+    return memories.where(~F.col("id").eqNullSafe(F.lit(id)))
 
 
 def delete_layer(memories: DataFrame, layer: str | None = None) -> DataFrame:
-    return memories.where(F.lit(False)) if layer is None else memories.where(F.col("layer") != layer)
+    return memories.where(F.lit(False)) if layer is None else memories.where(~F.col("layer").eqNullSafe(F.lit(layer)))
 
 
 def update(memories: DataFrame, id: str, column: str, value: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 
@@ -54,18 +55,38 @@ PREFIX = "gen_ai.memory"
 ATTRIBUTES = {"memory_id": "id", "layer": "layer", "memory_type": "type", "confidence": "confidence", "query": "query", "top_k": "top_k", "results_count": "results_count"}
 
 
+#: One attribute value: the field of its type is set, the others are null and left out of JSON.
+SCALARS = {"stringValue": "string", "boolValue": "boolean", "intValue": "string", "doubleValue": "double"}
+
+
+def any_value(value: Column, kind: T.DataType) -> Column:
+    """A value as struct<stringValue, boolValue, intValue, doubleValue, arrayValue>: integers as text, lists by their elements."""
+
+    def scalar(v, k):
+        own = "boolValue" if isinstance(k, T.BooleanType) else "intValue" if isinstance(k, T.IntegralType) else "doubleValue" if isinstance(k, T.FractionalType) else "stringValue"
+        return [F.when(F.lit(c == own), v.cast(t)).alias(c) for c, t in SCALARS.items()]
+
+    item = f"struct<{','.join(f'{c}:{t}' for c, t in SCALARS.items())}>"
+    if isinstance(kind, T.ArrayType):
+        held = F.struct(F.transform(value, lambda v: F.struct(*scalar(v, kind.elementType))).alias("values"))
+        return F.struct(*[F.lit(None).cast(t).alias(c) for c, t in SCALARS.items()], held.alias("arrayValue"))
+    return F.struct(*scalar(value, kind), F.lit(None).cast(f"struct<values:array<{item}>>").alias("arrayValue"))
+
+
 def otlp(spans: DataFrame, system: str = "lamina") -> DataFrame:
-    """Spans in OTLP form: traceId, spanId, name, kind, times in nanoseconds, attributes (own ones win), status."""
+    """Spans in OTLP form: traceId, spanId, parentSpanId, name, kind, times in nanoseconds, typed attributes by key (own ones win), status."""
     start = (F.col("timestamp") * 1_000_000_000).cast("long")
     end = start + (F.col("duration_ms") * 1_000_000).cast("long")
-    named = [F.struct(F.lit(f"{PREFIX}.{name}").alias("key"), F.col(c).cast("string").alias("value")) for c, name in ATTRIBUTES.items()]
-    fixed = [F.struct(F.lit("gen_ai.system").alias("key"), F.lit(system).alias("value")), F.struct(F.lit(f"{PREFIX}.operation").alias("key"), F.col("operation").alias("value")), F.struct(F.lit(f"{PREFIX}.backend").alias("key"), F.lit("spark").alias("value"))]
-    own = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
-    base = F.filter(F.array(*fixed, *named), lambda x: x["value"].isNotNull() & ~F.coalesce(F.map_contains_key(own, x["key"]), F.lit(False)))
-    every = F.concat(base, F.transform(F.map_entries(own), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
-    values = F.transform(F.array_sort(every), lambda x: F.struct(x["key"].alias("key"), F.struct(x["value"].alias("stringValue")).alias("value")))
+    text = T.StringType()
+    fixed = {"gen_ai.system": (F.lit(system), text), f"{PREFIX}.operation": (F.col("operation"), text), f"{PREFIX}.backend": (F.lit("spark"), text)}
+    named = fixed | {f"{PREFIX}.{name}": (F.col(c), spans.schema[c].dataType) for c, name in ATTRIBUTES.items()}
+    own_type = spans.schema["attributes"].dataType
+    own = F.coalesce("attributes", F.create_map().cast(own_type))
+    base = F.array(*[F.when(v.isNotNull() & ~F.coalesce(F.map_contains_key(own, F.lit(k)), F.lit(False)), F.struct(F.lit(k).alias("key"), any_value(v, t).alias("value"))) for k, (v, t) in named.items()])
+    more = F.transform(F.map_entries(own), lambda x: F.struct(x["key"].alias("key"), any_value(x["value"], own_type.valueType).alias("value")))
+    values = F.array_sort(F.concat(F.array_compact(base), more), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
     return spans.select(
-        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.concat(F.lit(f"{PREFIX}."), "operation").alias("name"), F.lit(1).alias("kind"),
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), F.concat(F.lit(f"{PREFIX}."), "operation").alias("name"), F.lit(1).alias("kind"),
         start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"), values.alias("attributes"),
         F.struct(F.when(F.col("status") == "ok", 1).otherwise(2).alias("code"), F.coalesce("error_message", F.lit("")).alias("message")).alias("status"), F.col("service_name").alias("serviceName"),
     )

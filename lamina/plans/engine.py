@@ -114,7 +114,7 @@ class Engine:
 
     def recall(self, query: str, top_k: int = 5, layer: str | None = None, as_of: datetime | None = None, record: bool = True) -> dict:
         """{facts, trace, confidence, sources}; recorded as provenance."""
-        key = (query, layer, top_k, self.state.version())
+        key = (query, layer, top_k, self.state.tables(self.state.version()).get("memories"))  # new for each commit of facts, not of records
         if (held := self.cache.get(key)) is not None:
             return held
         m = self.memories(layer)
@@ -125,7 +125,6 @@ class Engine:
             found = self.spark.createDataFrame([(row.query_id, s["rank"], s["id"], s["layer"], s["content"], s["confidence"]) for s in out["sources"]], "query_id string, rank int, id string, layer string, content string, confidence double")
             rec = provenance.record(found, self.spark.createDataFrame([(row.query_id, query)], "query_id string, query string"), self._now(as_of), searched=m.count())
             self.state.commit(provenance=self.state.read("provenance").unionByName(rec))
-            key = (query, layer, top_k, self.state.version())
         self.cache.set(key, out)
         return out
 
@@ -147,13 +146,25 @@ class Engine:
             return self.recall(query, top_k)
         return {"facts": [r.content for r in rows], "trace": ["root"] + [r.layer for r in rows[:1]], "confidence": 0.8, "sources": [r.asDict() for r in rows]}
 
-    def decay(self, days: float = 1) -> DataFrame:
+    def decay(self, days: float = 1, dry_run: bool = False) -> DataFrame:
+        """The report of what changes; nothing is written in a dry run."""
         new, report = lifecycle.decay(self.memories(), days)
+        if dry_run:
+            return report
         report = report.cache()
         report.count()
         self.state.commit(memories=new)
         return report
 
+    def decay_if_due(self, min_hours: float = 24.0, as_of: datetime | None = None) -> bool:
+        """Decay by one day if the last call that decayed, or the first call, is min_hours ago; whether a fact changed."""
+        at = as_of or datetime.now()
+        last = self.__dict__.setdefault("last_decay", at)
+        if (at - last).total_seconds() < min_hours * 3600:
+            return False
+        self.last_decay = at
+        return self.decay().limit(1).count() > 0
+
     def reinforce(self, id: str, amount: float = 0.1, as_of: datetime | None = None) -> bool:
         known = store.get(self.memories(), id).limit(1).count() > 0
         if known:

@@ -147,6 +147,16 @@ SQL = {
     "span_stats": f"with {SPANS} select 'all' as kind, '' as name, count(*) as n, round(sum(duration_ms), 3) as duration_ms, count(*) filter (status = 'error') as errors from sp union all select 'operation', operation, count(*), round(sum(duration_ms), 3), count(*) filter (status = 'error') from sp group by operation union all select 'layer', layer, count(*), round(sum(duration_ms), 3), count(*) filter (status = 'error') from sp where layer is not null group by layer",
     "span_totals": f"with {SPANS} select count(*) as total_spans, round(sum(duration_ms), 3) as total_duration_ms, round(avg(duration_ms), 3) as avg_duration_ms, count(*) filter (status = 'error') as error_count, round(count(*) filter (status = 'error') / count(*), 4) as error_rate from sp",
     "span_otlp": f"with {SPANS} select trace_id as traceId, span_id as spanId, 'gen_ai.memory.' || operation as name, (timestamp::bigint * 1000000000)::varchar as startTimeUnixNano, (timestamp::bigint * 1000000000 + trunc(duration_ms * 1000000)::bigint)::varchar as endTimeUnixNano, case status when 'ok' then 1 else 2 end as code, case when layer is null then 3 else 4 end as n_attributes from sp",
+    "span_attributes": f"""with {SPANS}, r as (select *, span_id::bigint % 5 = 0 as own from sp), a as (
+  select span_id, 'gen_ai.system' as key, 'lamina' as s, '' as i, -1.0::double as d from r
+  union all select span_id, 'gen_ai.memory.operation', operation, '', -1 from r
+  union all select span_id, 'gen_ai.memory.backend', 'spark', '', -1 from r
+  union all select span_id, 'gen_ai.memory.layer', case when own then 'own' else layer end, '', -1 from r where own or layer is not null
+  union all select span_id, 'extra', operation, '', -1 from r where own
+  union all select span_id, 'gen_ai.memory.confidence', '', '', round(duration_ms / 100, 6) from r where duration_ms is not null
+  union all select span_id, 'gen_ai.memory.top_k', '', (span_id::bigint % 10)::varchar, -1 from r
+  union all select span_id, 'gen_ai.memory.query', 'q' || span_id, '', -1 from r where span_id::bigint % 3 = 0)
+select span_id as spanId, key, s as stringValue, i as intValue, d as doubleValue from a""",
     "span_invalid": f"with {SPANS} select id from sp where duration_ms / 100 < 0 or duration_ms / 100 > 1",
     "scope_counts": "with c as (select conv_id, role, count(*) as n from conversations group by all), b as (select conv_id, count(*) as n, min(turn) as a, max(turn) as z from conversations group by conv_id) select b.conv_id as span, b.n as n_operations, a as first, z as last, (select string_agg(role || '=' || c.n, ',' order by role) from c where c.conv_id = b.conv_id) as by_operation from b",
     "health_report": f"{RECORDS}, m as (select count(*) as memory_count, {', '.join(f'count(*) filter ({c}) as {k}_count' for k, c in FIND.items())} from f), {SPANS}, ls as (select * from sp order by timestamp desc, id limit 1000), z as (select m.*, (select count(distinct memory_id) from src) as covered_memories, (select count(*) from rec) as provenance_records, (select count(*) from rec where avg_confidence < 0.5) as low_confidence_retrievals, (select count(*) from ls) as spans, (select count(*) from ls where status = 'error') as error_spans from m), y as (select *, round(covered_memories / memory_count, 6) as coverage, concat_ws(',', case when expired_count > 0 then 'expired' end, case when low_confidence_count > 0 then 'low_confidence' end, case when risky_source_count > 0 then 'risky_sources' end, case when secret_finding_count > 0 then 'secret_findings' end, case when provenance_records = 0 then 'missing_provenance' when covered_memories / memory_count < 0.5 then 'low_provenance_coverage' end, case when error_spans > 0 then 'otel_errors' end) as warnings from z) select *, case warnings when '' then 'ok' else 'warn' end as status from y",

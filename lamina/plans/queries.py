@@ -258,6 +258,14 @@ def span_otlp(spark, sf):
     return o.select("traceId", "spanId", "name", "startTimeUnixNano", "endTimeUnixNano", F.col("status.code").cast("long").alias("code"), F.size("attributes").cast("long").alias("n_attributes"))
 
 
+def span_attributes(spark, sf):
+    number = F.col("span_id").cast("int")
+    s = spans(spark, sf).withColumns({"confidence": F.col("duration_ms") / 100, "top_k": number % 10, "query": F.when(number % 3 == 0, F.concat(F.lit("q"), "span_id"))})
+    s = s.withColumn("attributes", F.when(number % 5 == 0, F.create_map(F.lit("gen_ai.memory.layer"), F.lit("own"), F.lit("extra"), F.col("operation"))))
+    a = O.otlp(s).select("spanId", F.explode("attributes").alias("a")).select("spanId", "a.key", "a.value.*")
+    return a.select("spanId", "key", *[F.coalesce(c, F.lit("")).alias(c) for c in ("stringValue", "intValue")], F.coalesce(F.round("doubleValue", 6), F.lit(-1.0)).alias("doubleValue"))
+
+
 def span_invalid(spark, sf):
     s = spans(spark, sf).withColumn("confidence", F.col("duration_ms") / 100)
     return O.split_valid(s)[1].select("id")
@@ -311,7 +319,7 @@ CATALOGUE = [
     retrieve_keyword, retrieve_batch, retrieve_results, retrieve_naive, tokenize_counts, stem_dictionary, redact_facts, secret_scan, pii_labels, extract_patterns, extract_heuristic, cluster_assign,
     cluster_summary, tree_nodes, tree_incremental, tree_descendants, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
     decay_apply, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
-    provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_invalid, scope_counts, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
+    provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
     checkpoint_latest, last_turn_capture, sessionize, window_counts,
 ]
 QUERIES = {f.__name__: f for f in CATALOGUE}
