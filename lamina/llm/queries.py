@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
+from . import bpe, centroids, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
 from .common import table
 from .sql import SQL  # noqa: F401
 
@@ -61,9 +61,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op6_ngram_jaccard, op7_exact_topk, op8_byte_bpe, op9_html_text, op10_embedding_dedup,
+        op13_centroid_clusters,
     )
 }

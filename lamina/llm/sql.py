@@ -122,4 +122,28 @@ select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(low, vec_id)::bigint
 from embeddings left join degrees on a = vec_id left join reach on node = vec_id
 """
 
-SQL = {"op2_secret_scan": OP2, "op3_source_mixing": OP3, "op6_ngram_jaccard": OP6, "op7_exact_topk": OP7, "op10_embedding_dedup": OP10}
+def _round(n: int, rounds: int) -> str:
+    """Assignment of every vector to the centroids of round n and, but for the last round, the next centroids."""
+    near = f"""near{n} as (
+  select vec, vec_id, v, arg_min(k, (d, k)) as k, min(d) as d
+  from (select vec, vec_id, v, k, list_inner_product(list_transform(range(1, 65), lambda i: v[i] - c[i]), list_transform(range(1, 65), lambda i: v[i] - c[i])) as d from vectors cross join means{n}) group by vec, vec_id, v)"""
+    if n == rounds:
+        return near
+    return near + f""",
+means{n + 1} as (
+  select k, coalesce(s, c) as c from means{n} left join (
+    select k, list_transform(range(1, 65), lambda i: floor(list_sum(list_transform(vs, lambda v: v[i])) / len(vs))) as s from (select k, list(v) as vs from near{n} group by k)) using (k))"""
+
+
+OP13 = f"""
+with vectors as (
+  select row_number() over () as vec, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings where len(embedding) = 64 and {FINITE}),
+means0 as (select row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as k, v as c from vectors qualify k < 40),
+{", ".join(_round(n, 5) for n in range(6))},
+whole as (select sum(d) as d from near5), sums as (select k, sum(d) as d from near5 group by k)
+select vec_id, n.k::integer as cluster, n.d::bigint as distance, s.d::bigint as cluster_inertia, w.d::bigint as inertia,
+  sha256(array_to_string(list_transform(c, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256
+from near5 n join means5 m using (k) join sums s using (k) cross join whole w
+"""
+
+SQL = {"op2_secret_scan": OP2, "op3_source_mixing": OP3, "op6_ngram_jaccard": OP6, "op7_exact_topk": OP7, "op10_embedding_dedup": OP10, "op13_centroid_clusters": OP13}
