@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
-from .common import table
+from . import bpe, centroids, cobucket, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
+from .common import shared_dir, table
 from .sql import SQL  # noqa: F401
 
 
@@ -61,6 +63,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, lines, n = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), 300
+    root = f"{shared_dir(spark)}/pair-{uuid.uuid4().hex}"
+    b = F.coalesce(cobucket.bucket("sale_id", n, "line"), F.lit(n + 1))
+    first = cobucket.lay_out(sales, F.when(b % 3 == 1, b - 1).otherwise(b), n + 2, "sale_id", f"{root}/sales")
+    second = cobucket.lay_out(lines, F.coalesce(cobucket.bucket("item_id", n), F.lit(0)), n, "sale_id", f"{root}/sale_lines")
+    schemas = {"sales": sales.schema, "sale_lines": lines.schema}
+    lineage, finals = cobucket.co_bucket(spark, root, "sales", "sale_lines", first, second, schemas, "sale_id", n, "line")
+    return cobucket.digest(spark, finals, lineage, schemas, "sales", "sale_lines", "sale_id")
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
 
@@ -69,6 +82,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op6_ngram_jaccard, op7_exact_topk, op8_byte_bpe, op9_html_text, op10_embedding_dedup,
-        op13_centroid_clusters,
+        op12_co_bucketed_pair, op13_centroid_clusters,
     )
 }
