@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, cobucket, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
+from . import bpe, centroids, cobucket, crosspoly, html, jaccard, katz, langid, mixing, secrets, sharding, tokencount, topk
 from .common import shared_dir, table
 from .sql import SQL  # noqa: F401
 
@@ -63,6 +63,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), ~katz.held_out())
+
+
 def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, lines, n = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), 300
     root = f"{shared_dir(spark)}/pair-{uuid.uuid4().hex}"
@@ -82,6 +86,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_source_mixing, op4_sharding, op5_token_counts, op6_ngram_jaccard, op7_exact_topk, op8_byte_bpe, op9_html_text, op10_embedding_dedup,
-        op12_co_bucketed_pair, op13_centroid_clusters,
+        op11_katz_scores, op12_co_bucketed_pair, op13_centroid_clusters,
     )
 }
