@@ -162,15 +162,14 @@ def lay_out(df: DataFrame, number: Column, n: int, key: str, path: str, fanout:
 
 def known_keys(right: DataFrame, left: DataFrame, key: str, known: str) -> DataFrame:
     """right with a boolean `known`: whether left has the key; false for null."""
-    spark, total = right.sparkSession, right.count()
+    total = right.count()
     have = left.select(F.col(key).alias("_k")).where("_k is not null").distinct()
     counts = right.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where(f"_k is not null and _n * {HOT} > {total}")
-    hot = counts.join(have.withColumn("_have", F.lit(True)), "_k", "left").select("_k", F.coalesce("_have", F.lit(False)).alias("_have"))
-    few = spark.createDataFrame(hot.collect(), hot.schema)  # fewer than HOT rows
+    hot = {r[0]: r[1] for r in counts.join(have.withColumn("_have", F.lit(True)), "_k", "left").select("_k", F.coalesce("_have", F.lit(False))).collect()}  # fewer than HOT keys
     names = [F.col(c) for c in right.columns]
-    some = right.where(F.col(key).isNotNull())
-    cold = some.join(F.broadcast(few), F.col(key) == F.col("_k"), "left_anti").join(have, F.col(key) == F.col("_k"), "left").select(*names, F.col("_k").isNotNull().alias(known))
-    warm = some.join(F.broadcast(few), F.col(key) == F.col("_k")).select(*names, F.col("_have").alias(known))
+    some, among = right.where(F.col(key).isNotNull()), F.col(key).isin(*hot)
+    cold = some.where(~among).join(have, F.col(key) == F.col("_k"), "left").select(*names, F.col("_k").isNotNull().alias(known))
+    warm = some.where(among).select(*names, F.col(key).isin(*[k for k, there in hot.items() if there]).alias(known))
     return cold.unionByName(warm).unionByName(right.where(F.col(key).isNull()).select(*names, F.lit(False).alias(known)))
 
 
