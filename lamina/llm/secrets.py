@@ -9,12 +9,13 @@ is reported from the first to the last window whose Shannon entropy reaches the
 threshold, unless the allow list suppresses the run or a base span contains it.
 
 Positions are code points, end exclusive. A null or empty text has no spans. Every row is
-scanned by itself: no shuffle, no Python; repeated rows are scanned again.
+scanned by itself: no shuffle, no Python; repeated rows are scanned again. No rows give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +32,28 @@ WINDOW = 20
 CHUNK = 256
 #: Bits a character that a window must reach, by class.
 THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.6}
-#: Runs that are public by their form: UUIDs, numbers with separators, paths and hyphenated words with a number.
-ALLOW = (
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "^[0-9+/_-]+$",
-    "^[+/_-]*([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8})([+/_-]+([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8}))*$",
-)
+#: A word, capitals or up to 8 digits, between separators or ends of the run.
+WORD = "(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?![A-Za-z0-9])"
+#: What words in camel case of two or more small letters don't have.
+NOT_CAMEL = "[0-9]|[A-Z](?![a-z])|(?<![a-z])[a-z](?![a-z])"
 
-#: Words in camel case. The SQL of op2_secret_scan needs no such entry: it takes no run without a digit.
-CAMEL = ("^[+/_-]*([A-Z]?[a-z]{2,}+[+/_-]*+)+$",)
-DIGITLESS = ("^[A-Za-z+/_-]+$",)
+
+def words(run: Column) -> Column:
+    """Whether all that stands between separators is a word, capitals or a short number, as in paths and hyphenated names.
+
+    Words are deleted and what is left is looked at: a pattern that repeats a group would recurse for each word, and a
+    long run would overflow the stack.
+    """
+    return ~F.regexp_replace(run, WORD, "").rlike("[A-Za-z0-9]")
+
+
+def camel(run: Column) -> Column:
+    """Whether a run is of words in camel case."""
+    return run.rlike("[a-z]") & ~run.rlike(NOT_CAMEL)
+
+
+#: Runs that are public by their form, as patterns without repeated groups or as functions of the run: UUIDs, numbers with separators, paths and hyphenated words with a number, words in camel case.
+ALLOW = ("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "^[0-9+/_-]+$", words, camel)
 
 
 def _found(text: Column, pattern: str, order: int, kind: str, keep=None) -> Column:
@@ -87,7 +100,7 @@ def _windows(run: Column, window: int, threshold: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(run["chars"]) - 1), init, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def spans(text: Column, allow: tuple[str, ...] = ALLOW + CAMEL, window: int = WINDOW) -> tuple[Column, Column]:
+def spans(text: Column, allow: tuple[str | Callable[[Column], Column], ...] = ALLOW, window: int = WINDOW) -> tuple[Column, Column]:
     """(base, runs): arrays of struct<start, ord, kind, end, hit>, not sorted; runs are the candidates of the entropy kinds."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(
@@ -95,7 +108,7 @@ def spans(text: Column, allow: tuple[str, ...] = ALLOW + CAMEL, window: int = WI
         _found(text, ACCESS, 1, "access"),
         _found(text, HEX, 2, "hex"),
     )
-    public = lambda h: ~F.coalesce(*[h.rlike(p) for p in allow]) if len(allow) == 1 else ~_any([h.rlike(p) for p in allow]) if allow else F.lit(True)
+    public = lambda h: ~_any([h.rlike(p) if isinstance(p, str) else p(h) for p in allow]) if allow else F.lit(True)
     return base, _found(text, RUN, 3, "run", public)
 
 
@@ -106,7 +119,7 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW + CAMEL, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allow: tuple[str | Callable[[Column], Column], ...] = ALLOW, window: int = WINDOW) -> DataFrame:
     """Every row with `base` and `found`: arrays of struct<start int, ord int, kind string, end int>, sorted by start, then kind.
 
     base has the pattern kinds only; found has all kinds. Columns of these names are replaced.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ALLOW, THRESHOLD, WINDOW, WORDS
+from .secrets import THRESHOLD, WINDOW, WORDS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,14 +32,19 @@ def _matches(name: str, pattern: str, kind: str, order: int, keep: str) -> str:
 
 
 ASSIGN = f"(?i:{WORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-PUBLIC = " or ".join(f"regexp_matches(hit, {_quoted(p)})" for p in ALLOW)
+#: Public forms as whole patterns: UUIDs, numbers with separators, words and short numbers between separators, camel case.
+FORMS = (
+    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[0-9+/_-]+",
+    "[+/_-]*([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8})([+/_-]+([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8}))*", "[+/_-]*([A-Z]?[a-z]{2,}[+/_-]*)+",
+)
+PUBLIC = " or ".join(f"regexp_full_match(hit, {_quoted(p)})" for p in FORMS)
 
 OP2 = f"""
 with bodies as (select doc_id as key, row_number() over () as doc_id, coalesce(text, '') as body from documents),
 {_matches("assigned", ASSIGN, "assign", 0, f"length(regexp_extract(hit, {_quoted(ASSIGN)}, 1)) >= 6")},
 {_matches("access", "AKIA[A-Z0-9]+", "access", 1, "length(hit) >= 20")},
 {_matches("hexes", "[0-9a-f]+", "hex", 2, "length(hit) >= 24")},
-{_matches("runs", "[A-Za-z0-9+/_-]+", "run", 3, f"length(hit) >= {WINDOW} and regexp_matches(hit, '[0-9]') and not ({PUBLIC})")},
+{_matches("runs", "[A-Za-z0-9+/_-]+", "run", 3, f"length(hit) >= {WINDOW} and not ({PUBLIC})")},
 base as (select * from assigned union all select * from access union all select * from hexes),
 free as (select r.*, regexp_full_match(r.hit, '[0-9a-fA-F]+') as is_hex from runs r where not exists (select 1 from base b where b.doc_id = r.doc_id and b.start <= r.start and b.stop >= r.stop)),
 windows as (select doc_id, start, is_hex, hit, unnest(range(0, length(hit) - {WINDOW} + 1)) as i from free),

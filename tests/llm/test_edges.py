@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, crosspoly, html, jaccard, langid, mixing, secrets, sharding, tokencount, topk
+from lamina.llm import bpe, crosspoly, html, jaccard, langid, mixing, secrets, sharding, sql, tokencount, topk
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 LONG = "alpha beta gamma delta " * 4000 + "password=abcdef12345" + "x" * 70_000
@@ -101,19 +101,43 @@ def test_entropy_equals_brute_force(spark):
     for i, r in enumerate(runs):
         hexa = re.fullmatch("[0-9a-fA-F]+", r)
         kind = "entropy_hex" if hexa else "entropy_base64"
-        public = any(re.search(p, r) for p in secrets.ALLOW)
+        public = any(re.fullmatch(p, r) for p in sql.FORMS)
         at = np.flatnonzero(entropy_windows(r, 20) >= secrets.THRESHOLD[kind] - 1e-9)
         assert got[i] == ("" if public or not len(at) else f"{kind}:{at[0] + 2}:{at[-1] + 22}"), r
 
 
 def test_keys_without_a_digit(spark):
-    """They are found unless the allow list suppresses them, as that of op2_secret_scan does."""
+    """They are found, unless they are words."""
     key = "qWxErTyUiOpASdfGhJkLzXcVbNm"
     words = ["counterrevolutionaries", "someLongCamelCaseIdentifierName", "Well-known/words_without-digits"]
     d = spark.createDataFrame([(0, f"x {key} y"), *[(i, w) for i, w in enumerate(words, 1)]], "doc_id long, text string")
     assert [r.text for r in secrets.mask(d).orderBy("doc_id").collect()] == ["x [SECRET] y", *words]
     assert [r.spans for r in secrets.digest(d).orderBy("doc_id").collect()] == ["entropy_base64:2:29", "", "", ""]
-    assert all(r.spans == "" for r in secrets.digest(d, allow=secrets.ALLOW + secrets.DIGITLESS).collect())
+    assert secrets.digest(d, allow=()).where("spans = ''").count() == 0  # all are measured
+
+
+def test_allow_list_equals_whole_patterns(spark):
+    """Words and camel case are told without repeated groups, as long runs would overflow the stack of a recursive matcher."""
+    rng = np.random.default_rng(3)
+    runs = ["".join(rng.choice(list("aaabcABC019-/_+"), int(n))) for n in rng.integers(20, 26, 3000)]
+    runs += ["".join(rng.choice(["Ab", "abc", "Abc", "X", "-", "12", "AB", "a"], 8)) + "-" * 12 for _ in range(2000)]
+    d = spark.createDataFrame([(r,) for r in runs], "run string")
+    rows = d.select("run", secrets.words(F.col("run")).alias("words"), secrets.camel(F.col("run")).alias("camel")).collect()
+    words = re.compile("(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8})")
+    for r in rows:
+        assert r.words == all(words.fullmatch(p) for p in re.split("[+/_-]+", r.run)), r.run
+        assert r.camel == bool(re.fullmatch(sql.FORMS[3], r.run)), r.run
+    assert 0 < sum(r.words for r in rows) < len(rows) and 0 < sum(r.camel for r in rows) < len(rows)
+
+
+@pytest.mark.parametrize("unit", ["a-", "Abc", "A", "1-", "a/b1/", "aB3xY9"])
+def test_runs_of_a_megabyte(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.digest(d).first().spans
+    masked = secrets.mask(d).first().text
+    assert (spans == "") == (masked == text)
+    assert (spans == "") == (unit not in ("aB3xY9",)), spans
 
 
 def test_token_counts_equal_the_library(spark, sf):

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from lamina.llm import langid, secrets
+from lamina.llm import langid, secrets, sql
 from tests.llm.test_edges import brute_spans, components, entropy_windows, sets_of
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,7 +62,7 @@ def brute_mask(text):
     taken = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
     base = list(taken)
     for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
-        if any(re.search(p, m[0]) for p in (p.replace("++", "+").replace("*+)", "*)").replace("}+", "}") for p in secrets.ALLOW + secrets.CAMEL)) or any(a <= m.start() and m.end() <= b for a, b in base):
+        if any(re.fullmatch(p, m[0]) for p in sql.FORMS) or any(a <= m.start() and m.end() <= b for a, b in base):
             continue
         kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "entropy_base64"
         at = np.flatnonzero(entropy_windows(m[0], secrets.WINDOW) >= secrets.THRESHOLD[kind] - 1e-9)
