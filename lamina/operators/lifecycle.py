@@ -20,6 +20,18 @@ def decayed(c: Column, rate: Column, floor: Column, days: Column) -> Column:
     return F.when((c >= 1.0) | (rate <= 0) | (days <= 0), c).otherwise(F.greatest(c * F.pow(1 - rate, days), floor))
 
 
+def aged(memories: DataFrame, days: Column, rules=None) -> DataFrame:
+    """memories as of `days` after their confidence was written: a null layer, one without a rule and explicit facts stay."""
+    rate, floor = rule(F.col("layer"), 0, rules), rule(F.col("layer"), 1, rules)
+    return memories.withColumn("confidence", F.when(floor >= 1.0, F.col("confidence")).otherwise(decayed(F.col("confidence"), rate, floor, days)))
+
+
+def days_between(start: Column, end: Column) -> Column:
+    """Days with fractions, not below 0."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.greatest((micros(end) - micros(start)) / F.lit(86_400_000_000.0), F.lit(0.0))
+
+
 def decay(memories: DataFrame, days: float = 1, rules=None) -> tuple[DataFrame, DataFrame]:
     """(new rows, report of what changed: memory_id, layer, old_confidence, new_confidence)."""
     rate, floor = rule(F.col("layer"), 0, rules), rule(F.col("layer"), 1, rules)

@@ -35,10 +35,15 @@ def conform(df: DataFrame, schema: T.StructType, **defaults: Column) -> DataFram
     return df.select([(F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def rows(new: DataFrame, as_of: Column) -> DataFrame:
+    """Rows to insert, redacted. Rows without id, source, confidence or time get a uuid, manual, 1 and as_of."""
+    made = conform(new, MEMORY, id=F.uuid(), source=F.lit("manual"), confidence=F.lit(1.0), created_at=as_of, tags=F.array().cast("array<string>"))
+    return made.withColumn("content", X.redact(F.col("content")))
+
+
 def insert(memories: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of new, redacted, beside the old ones. New rows without id, source, confidence or time get a uuid, manual, 1 and as_of."""
-    rows = conform(new, MEMORY, id=F.uuid(), source=F.lit("manual"), confidence=F.lit(1.0), created_at=as_of, tags=F.array().cast("array<string>"))
-    return memories.unionByName(rows.withColumn("content", X.redact(F.col("content"))))
+    """Rows of new, as rows() makes them, beside the old ones."""
+    return memories.unionByName(rows(new, as_of))
 
 
 def get(memories: DataFrame, id: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Engine:
     """Calls return plain values or DataFrames; as_of, where it matters, is explicit and is now if left out."""
 
     def __init__(self, spark: SparkSession, path: str, rules: Rules | None = None, cache_ttl: float = 300, service: str = "lamina", traced: bool = True):
-        self.spark, self.state, self.rules, self.cache = spark, State(spark, path), rules or Rules(), Cache(cache_ttl)
+        self.spark, self.state, self.rules, self.cache = spark, State(spark, path, aged={"memories": lifecycle.aged}), rules or Rules(), Cache(cache_ttl)
         self.service, self.traced, self.trace, self.pending = service, traced, uuid.uuid4().hex, []
 
     def memories(self, layer: str | None = None) -> DataFrame:
@@ -74,9 +74,18 @@ class Engine:
         """Write the waiting spans and keep the newest."""
         if self.pending:
             rows = [tuple(p.get(f.name) for f in store.SPAN) for p in self.pending]
-            new = self.spark.createDataFrame(rows, store.SPAN)
-            self.state.commit(otel_spans=store.prune(self.state.read("otel_spans").unionByName(new), keep)[0])
+            self.state.append(otel_spans=self.spark.createDataFrame(rows, store.SPAN).coalesce(1))
             self.pending = []
+            if self.state.rows("otel_spans") > keep:
+                self.prune("otel_spans", keep)
+
+    def prune(self, table: str = "otel_spans", keep: int = 10_000) -> int:
+        """Delete all but the newest rows of spans or provenance; the number deleted."""
+        return self.state.discard(table, lambda rows: store.prune(rows, keep, key="_place")[1])
+
+    def truncate(self, table: str) -> int:
+        """Delete all rows of the trigger log, provenance, spans or the tree; the number deleted."""
+        return self.state.delete(table, F.lit(True))
 
     def remember(self, content: str, layer: str = "session", source: str = "manual", confidence: float = 1.0, tags=(), as_of: datetime | None = None, expire: bool = True) -> str:
         id = uuid.uuid4().hex
@@ -84,7 +93,7 @@ class Engine:
         new = self.spark.createDataFrame([(id, layer, content, source, float(confidence), list(tags))], "id string, layer string, content string, source string, confidence double, tags array<string>")
         if expire:
             new = new.withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days))
-        self._traced("store", lambda: self.state.commit(memories=store.insert(self.memories(), new, now)), memory_id=id, layer=layer if layer in ("project", "session", "user") else None)
+        self._traced("store", lambda: self.state.append(memories=store.rows(new, now).coalesce(1)), memory_id=id, layer=layer if layer in ("project", "session", "user") else None)
         return id
 
     def learn(self, texts: DataFrame, as_of: datetime | None = None, markers: bool = False) -> int:
@@ -92,29 +101,33 @@ class Engine:
         clean = texts.withColumn("content", X.redact(F.col("content")))
         found = extract.by_marker(clean, confidence=self.rules.confidence) if markers else extract.by_pattern(clean, never=self.rules.never, confidence=self.rules.confidence)
         now = self._now(as_of)
-        return self.state.commit(memories=store.insert(self.memories(), found.drop("key", "line_no").withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days)), now))
+        return self.state.append(memories=store.rows(found.drop("key", "line_no").withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days)), now))
 
     def forget(self, id: str) -> bool:
         known = store.get(self.memories(), id).limit(1).count() > 0
         if known:
-            self._traced("delete", lambda: self.state.commit(memories=store.delete(self.memories(), id)), memory_id=id)
+            self._traced("delete", lambda: self.state.delete("memories", F.col("id") == id), memory_id=id)
         return known
 
     def clear(self, layer: str | None = None) -> int:
-        return self.state.commit(memories=store.delete_layer(self.memories(), layer))
+        """The number of facts deleted."""
+        return self._traced("delete", lambda: self.state.delete("memories", F.lit(True) if layer is None else F.col("layer") == layer), layer=layer if layer in ("project", "session", "user") else None)
 
-    def set_layer(self, id: str, layer: str) -> int:
-        return self._traced("update", lambda: self.state.commit(memories=store.update(self.memories(), id, "layer", F.lit(layer))), memory_id=id)
+    def _set(self, id: str, **columns) -> bool:
+        return self._traced("update", lambda: self.state.update("memories", F.col("id") == id, **columns), memory_id=id)
 
-    def set_confidence(self, id: str, confidence: float) -> int:
-        return self._traced("update", lambda: self.state.commit(memories=store.update(self.memories(), id, "confidence", F.lit(float(confidence)))), memory_id=id)
+    def set_layer(self, id: str, layer: str) -> bool:
+        return self._set(id, layer=F.lit(layer))
 
-    def touch(self, id: str, as_of: datetime | None = None) -> int:
-        return self.state.commit(memories=store.update(self.memories(), id, "created_at", self._now(as_of)))
+    def set_confidence(self, id: str, confidence: float) -> bool:
+        return self._set(id, confidence=F.lit(float(confidence)))
+
+    def touch(self, id: str, as_of: datetime | None = None) -> bool:
+        return self._set(id, created_at=self._now(as_of))
 
     def recall(self, query: str, top_k: int = 5, layer: str | None = None, as_of: datetime | None = None, record: bool = True) -> dict:
         """{facts, trace, confidence, sources}; recorded as provenance."""
-        key = (query, layer, top_k, self.state.tables(self.state.version()).get("memories"))  # new for each commit of facts, not of records
+        key = (query, layer, top_k, self.state.changed("memories"))  # new for each commit of facts, not of records
         if (held := self.cache.get(key)) is not None:
             return held
         m = self.memories(layer)
@@ -124,7 +137,7 @@ class Engine:
         if record:
             found = self.spark.createDataFrame([(row.query_id, s["rank"], s["id"], s["layer"], s["content"], s["confidence"]) for s in out["sources"]], "query_id string, rank int, id string, layer string, content string, confidence double")
             rec = provenance.record(found, self.spark.createDataFrame([(row.query_id, query)], "query_id string, query string"), self._now(as_of), searched=m.count())
-            self.state.commit(provenance=self.state.read("provenance").unionByName(rec))
+            self.state.append(provenance=rec.coalesce(1))
         self.cache.set(key, out)
         return out
 
@@ -147,36 +160,34 @@ class Engine:
         return {"facts": [r.content for r in rows], "trace": ["root"] + [r.layer for r in rows[:1]], "confidence": 0.8, "sources": [r.asDict() for r in rows]}
 
     def decay(self, days: float = 1, dry_run: bool = False) -> DataFrame:
-        """The report of what changes; nothing is written in a dry run."""
-        new, report = lifecycle.decay(self.memories(), days)
-        if dry_run:
-            return report
-        report = report.cache()
-        report.count()
-        self.state.commit(memories=new)
+        """The report of what changes. The days are recorded and no fact is written: reads age facts by what was recorded after them."""
+        v = self.state.version()
+        report = lifecycle.decay(self.state.read("memories", v), days)[1]
+        if not dry_run:
+            self.state.write(v, age={"memories": float(days)})
         return report
 
     def decay_if_due(self, min_hours: float = 24.0, as_of: datetime | None = None) -> bool:
-        """Decay by one day if the last call that decayed, or the first call, is min_hours ago; whether a fact changed."""
+        """Decay by the time since the last decay on record, if that is min_hours or more; whether a fact changed. The first call puts the time on record."""
         at = as_of or datetime.now()
-        last = self.__dict__.setdefault("last_decay", at)
-        if (at - last).total_seconds() < min_hours * 3600:
-            return False
-        self.last_decay = at
-        return self.decay().limit(1).count() > 0
+
+        def change(v: int) -> int:
+            last = self.state.record(v)["notes"].get("decayed_at")
+            passed = (at - datetime.fromisoformat(last)).total_seconds() if last else 0.0
+            if last and passed < min_hours * 3600:
+                return 0
+            days = passed / 86400
+            report = lifecycle.decay(self.state.read("memories", v), days)[1]
+            self.state.write(v, age={"memories": days} if days else None, note={"decayed_at": at.isoformat()})
+            return int(days > 0 and not report.isEmpty())
+
+        return bool(self.state.retried(change))
 
     def reinforce(self, id: str, amount: float = 0.1, as_of: datetime | None = None) -> bool:
-        known = store.get(self.memories(), id).limit(1).count() > 0
-        if known:
-            self._traced("update", lambda: self.state.commit(memories=lifecycle.reinforce(self.memories(), [id], self._now(as_of), amount)), memory_id=id)
-        return known
+        return self._set(id, confidence=F.least(F.col("confidence") + amount, F.lit(1.0)), created_at=self._now(as_of).cast("timestamp_ntz"))
 
     def expire(self, as_of: datetime | None = None) -> int:
-        kept, gone = lifecycle.expire(self.memories(), self._now(as_of))
-        n = gone.count()
-        if n:
-            self.state.commit(memories=kept)
-        return n
+        return self._traced("delete", lambda: self.state.delete("memories", lifecycle.expired(self._now(as_of))))
 
     def trigger(self, event: str, as_of: datetime | None = None) -> list[str]:
         m, log, ran = consolidate.fire(event, self.memories(), self.state.read("triggers_log"), self._now(as_of), self.rules.triggers)
@@ -200,9 +211,9 @@ class Engine:
 
     def tree(self) -> DataFrame:
         """The stored tree, built again where the facts are newer than it."""
-        at = self.state.tables()
-        n = lambda t: int(at.get(t, "/v0-").rsplit("/v", 1)[1].split("-")[0])
-        if n("tree_nodes") <= n("memories"):
+        record = self.state.record()["tables"]
+        changed = lambda t: record.get(t, {"changed": 0})["changed"]
+        if changed("tree_nodes") <= changed("memories"):
             self.state.commit(tree_nodes=tree.build(self.memories()))
         return self.state.read("tree_nodes")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import values as V
-from ..sources.derived import AS_OF, FACTS
+from ..sources.derived import ADJACENCY, AS_OF, FACTS
 from .queries import ASKED
 
 TS = "(timestamp '2024-01-01 00:00:00' + to_minutes(p_partkey*17))"
@@ -100,6 +100,15 @@ NEVER = holds("content", V.NEVER_FORGET)
 JOINED = "string_agg(content, '; ' order by created_at, id)"
 FIRST = "select layer, content, min_by(created_at, (created_at, id)) as created_at, min_by(id, (created_at, id)) as id from f where content <> '' group by layer, content"
 
+ADJACENT = f"with recursive adj as ({ADJACENCY.format(part='part')})"
+#: Nodes below roots with the list of their order keys from the root; lists sort as the tree is walked.
+WALK = "walk as (select node, parent, node as root, 0 as depth, [(name, node)] as keys from adj where parent is null union all select a.node, a.parent, w.root, w.depth + 1, list_append(w.keys, (a.name, a.node)) from adj a join walk w on a.parent = w.node)"
+#: The same for the tree of facts, with paths of ids.
+NODE_WALK = "walk as (select node_id as node, 0 as depth, [(title, node_id)] as keys, node_id as path from nodes where parent_id = '' union all select a.node_id, w.depth + 1, list_append(w.keys, (a.title, a.node_id)), w.path || '/' || a.node_id from nodes a join walk w on a.parent_id = w.node)"
+NODE_UP = "up as (select node_id as node, parent_id as top from nodes where parent_id <> '' union all select u.node, n.parent_id from up u join nodes n on u.top = n.node_id where n.parent_id <> '')"
+SIZED = "size as (select node, 1 + coalesce(n, 0) as n from walk left join (select top as node, count(*) as n from up group by top) using (node))"
+ENTERED = "entered as (select *, row_number() over (order by keys) as enter from walk)"
+
 SQL = {
     "retrieve_keyword": f"{found(1, 5)} select query_id, rank, id, layer, content, round(confidence, 6) as confidence, round(score, 6) as score from top",
     "retrieve_batch": f"{found(len(ASKED), 10)} select query_id, rank, id, layer, content, round(confidence, 6) as confidence, round(score, 6) as score from top",
@@ -117,6 +126,10 @@ SQL = {
     "tree_nodes": f"with {BASE}, {NODES} select * from nodes",
     "tree_incremental": f"with f as (select * from ({FACT}) where layer <> 'user' or id like '%1'), fc as (select *, {GROUP} as grp from f), {NODES} select layer, depth, count(*) as n, sum(n_memories)::bigint as memories from nodes group by layer, depth",
     "tree_descendants": f"with {BASE} select 'root' as node_id, count(*) as n_leaves from fc union all select 'layer_' || layer, count(*) from fc group by layer union all select 'cluster_' || layer || '_' || grp, count(*) from fc group by layer, grp",
+    "hierarchy_resolve": f"{ADJACENT}, top as (select node, node as root, 0 as depth, case when parent is null then 'ok' else 'orphan' end as status from adj where parent is null or parent not in (select node from adj) union all select a.node, t.root, t.depth + 1, t.status from adj a join top t on a.parent = t.node) select node, coalesce(root, -1)::bigint as root, coalesce(depth, -1)::bigint as depth, coalesce(status, 'cycle') as status from adj left join top using (node)",
+    "hierarchy_intervals": f"{ADJACENT}, {WALK}, up as (select node, parent as top from walk where parent is not null union all select u.node, w.parent from up u join walk w on u.top = w.node where w.parent is not null), {SIZED}, {ENTERED} select node, depth::bigint as depth, enter, enter + n - 1 as leave from entered join size using (node)",
+    "tree_intervals": f"with recursive {BASE}, {NODES}, {NODE_WALK}, {NODE_UP}, {SIZED}, {ENTERED} select node, depth::bigint as depth, enter, enter + n - 1 as leave, path from entered join size using (node)",
+    "tree_lines": f"with recursive {BASE}, {NODES}, {NODE_WALK}, {ENTERED} select enter, repeat('  ', e.depth) || case when e.depth = 3 then '[mem] ' || left(title, 50) else '[dir] ' || title || case when confidence < 1 then ' (conf: ' || confidence::varchar || ')' else '' end end as line from entered e join nodes on node = node_id",
     "tree_leaves": f"with {BASE} select 'mem_' || id as node_id, layer from f",
     "tree_stripped": f"with {BASE}, {NODES} select node_id, {redacted('title')} as title, {redacted('summary')} as summary, n_memories as memory_count from nodes",
     "collect_nodes": f"with {BASE}, h as (select 'a' as query_id, id, min(case when layer = 'project' then 0 else 1 end) as pos from fc where (layer = 'project' and grp = 'team') or layer = 'user' group by id union all select 'b', id, 0 from fc where layer = 'user' and grp = 'tasks') select query_id, row_number() over (partition by query_id order by pos, id) as rank, id from h",

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import consolidate as C
 from ..operators import extract as E
+from ..operators import hierarchy as H
 from ..operators import lifecycle as L
 from ..operators import provenance as P
 from ..operators import reports as R
@@ -18,7 +19,7 @@ from ..operators import retrieve as Q
 from ..operators import store as S
 from ..operators import telemetry as O
 from ..operators import tree as T
-from ..sources.derived import AS_OF, facts, read, spans, triggers
+from ..sources.derived import AS_OF, adjacency, facts, read, spans, triggers
 from ..streaming import sessions as ST
 
 ASKED = [
@@ -117,6 +118,27 @@ def tree_descendants(spark, sf):
     return T.members(n, n.where("depth < 3").select("node_id")).groupBy("node_id").agg(F.count("*").alias("n_leaves"))
 
 
+def hierarchy_resolve(spark, sf):
+    h = H.resolve(adjacency(spark, sf), "node", "parent")
+    return h.select("node", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("root", "depth")], "status")
+
+
+def hierarchy_intervals(spark, sf):
+    return H.intervals(adjacency(spark, sf), "node", "parent", order=["name"]).select("node", "depth", "enter", "leave")
+
+
+def tree_intervals(spark, sf):
+    return H.intervals(T.build(facts(spark, sf)), order=["title"], label="node_id").select("node", "depth", "enter", "leave", "path")
+
+
+def tree_lines(spark, sf):
+    """The tree for a terminal: inner nodes by title, leaves shortened."""
+    n = T.build(facts(spark, sf))
+    label = F.when(F.col("depth") == 3, F.concat(F.lit("[mem] "), F.substring("title", 1, 50))).otherwise(F.concat(F.lit("[dir] "), "title", F.when(F.col("confidence") < 1, F.concat(F.lit(" (conf: "), F.round("confidence", 2).cast("string"), F.lit(")"))).otherwise("")))
+    said = n.select(F.col("node_id").alias("node"), label.alias("said"))
+    return H.lines(H.intervals(n, order=["title"]).join(said, "node"), F.col("said"))
+
+
 def tree_leaves(spark, sf):
     return T.leaf_nodes(T.build(facts(spark, sf))).select("node_id", "layer")
 
@@ -317,7 +339,7 @@ def window_counts(spark, sf):
 
 CATALOGUE = [
     retrieve_keyword, retrieve_batch, retrieve_results, retrieve_naive, tokenize_counts, stem_dictionary, redact_facts, secret_scan, pii_labels, extract_patterns, extract_heuristic, cluster_assign,
-    cluster_summary, tree_nodes, tree_incremental, tree_descendants, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
+    cluster_summary, tree_nodes, tree_incremental, tree_descendants, hierarchy_resolve, hierarchy_intervals, tree_intervals, tree_lines, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
     decay_apply, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
     provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
     checkpoint_latest, last_turn_capture, sessionize, window_counts,

@@ -63,3 +63,17 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(commit, "consolidate session -> project").otherwise("summarize session -> user").alias("action"),
         F.transform(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int")), lambda i: F.concat(F.lit("f"), (F.col("event_id") + i).cast("string"))).alias("memories_affected"), F.col("ts").alias("timestamp"),
     )
+
+
+#: A deep adjacency out of part: chains of some hundred nodes below each thousandth, with orphans and cycles.
+ADJACENCY = """
+select p_partkey as node, case when p_partkey % 1000 = 0 then null
+ when p_partkey % 211 = 1 then -p_partkey
+ when p_partkey % 309 = 5 then p_partkey + 3
+ else p_partkey - least(p_partkey % 1000, 1 + p_partkey % 3) end as parent, p_name as name
+from {part}
+"""
+
+
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ADJACENCY, part=read(spark, sf_dir, "part"))

@@ -24,7 +24,7 @@ def duck(sf_dir):
     import duckdb
 
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         p = f"{sf_dir}/{t}.parquet"
         if os.path.exists(p):
             c.execute(f"create view {t} as select * from read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
