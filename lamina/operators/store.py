@@ -27,7 +27,8 @@ TRIGGER = schema("id string, event string, action string, memories_affected stri
 PROVENANCE = schema("id string, query string, timestamp timestamp_ntz, method string, tree_version int, total_memories_searched long, avg_confidence double, sources sources", sources=T.ArrayType(SOURCE))
 SPAN = schema("id string, trace_id string, span_id string, operation string, timestamp double, duration_ms double, memory_id string, layer string, memory_type string, confidence double, query string, top_k int, results_count int, status string, error_message string, attributes map, service_name string")
 NODE = schema("node_id string, parent_id string, depth int, layer string, title string, summary string, n_memories long, confidence double")
-TABLES = {"memories": MEMORY, "triggers_log": TRIGGER, "provenance": PROVENANCE, "otel_spans": SPAN, "tree_nodes": NODE}
+ANSWER = schema("key string, version long, answered_at timestamp_ntz, answer string")
+TABLES = {"memories": MEMORY, "triggers_log": TRIGGER, "provenance": PROVENANCE, "otel_spans": SPAN, "tree_nodes": NODE, "answers": ANSWER}
 
 
 def conform(df: DataFrame, schema: T.StructType, **defaults: Column) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import consolidate, extract, lifecycle, provenance, reports, retrieve, store, telemetry, tree
+from ..operators import answers, consolidate, extract, lifecycle, provenance, reports, retrieve, store, telemetry, tree
 from ..sources.config import Rules
+from ..sources.shared import cut
 from ..sources.state import State
 
 
@@ -144,6 +145,24 @@ class Engine:
     def recall_many(self, queries: DataFrame, top_k: int = 5, layer: str | None = None) -> DataFrame:
         return retrieve.results(self.memories(layer), queries, top_k)
 
+    def recall_stored(self, queries: DataFrame, top_k: int = 5, layer: str | None = None, as_of: datetime | None = None, ttl: float = 300.0) -> DataFrame:
+        """(query_id, status, facts, trace, confidence) of queries (query_id, query): stored answers where there are fresh ones, the rest retrieved in one plan and stored for any engine on this state."""
+        now, version = self._now(as_of), F.lit(self.state.changed("memories")).cast("long")
+        asked = queries.select("query_id", "query", F.lit(layer).cast("string").alias("layer"), F.lit(top_k).alias("top_k"))
+        met = cut(answers.split(asked, self.state.read("answers"), version, now, ttl))
+        rest, kind = met.where("status <> 'hit'"), "facts array<string>, trace array<string>, confidence double"
+        if not rest.isEmpty():
+            found = retrieve.results(self.memories(layer), rest.select("query_id", "query"), top_k)
+            made = cut(rest.select("query_id", "key", "status").join(found.select("query_id", F.to_json(F.struct("facts", "trace", "confidence")).alias("answer")), "query_id"))
+            self.state.append(answers=made.dropDuplicates(["key"]).select("key", version.alias("version"), now.alias("answered_at"), "answer"))
+            met = met.where("status = 'hit'").select("query_id", "status", "answer").unionByName(made.select("query_id", "status", "answer"))
+        return met.withColumn("x", F.from_json("answer", kind)).select("query_id", "status", "x.facts", "x.trace", "x.confidence")
+
+    def evict_answers(self, as_of: datetime | None = None, ttl: float = 300.0, most: int = 10_000) -> int:
+        """Delete stored answers of older facts, older than ttl, superseded, or beyond the newest `most`; their number."""
+        version = F.lit(self.state.changed("memories")).cast("long")
+        return self.state.discard("answers", lambda rows: answers.evict(rows, self._now(as_of), ttl, most, version)[1])
+
     def recall_by_model(self, query: str, model: Callable[[str], str], top_k: int = 5) -> dict:
         """A model sees the stripped inner nodes and names some; any failure, or no facts, means keyword retrieval."""
         m = self.memories()

@@ -100,6 +100,9 @@ NEVER = holds("content", V.NEVER_FORGET)
 JOINED = "string_agg(content, '; ' order by created_at, id)"
 FIRST = "select layer, content, min_by(created_at, (created_at, id)) as created_at, min_by(id, (created_at, id)) as id from f where content <> '' group by layer, content"
 
+QUESTIONS = "qs as (select conv_id || '-' || turn as query_id, left(text, 12) as query, ['project', 'session', 'user', null][turn % 4 + 1] as layer, turn % 2 * 5 + 5 as top_k, conv_id from conversations)"
+PARTS = "concat_ws('|', coalesce(length(query) || ':' || query, '-'), coalesce(length(layer) || ':' || layer, '-'), coalesce(length(top_k::varchar) || ':' || top_k, '-'), {v})"
+ANSWERS = f"{QUESTIONS}, an as (select sha256({PARTS.format(v='version')}) as key, version, answered_at, 'answer of ' || query_id as answer from (select *, case when conv_id % 6 = 0 then 1 else 2 end as version, timestamp '2024-01-14 20:00:00' + to_minutes((conv_id % 240)::bigint) as answered_at from qs where conv_id % 2 = 0 and query is not null)), late as (select * from an qualify row_number() over (partition by key order by answered_at desc, version, answer) = 1), old as (select *, answered_at >= {NOW} - interval '7200' second as young from late)"
 ADJACENT = f"with recursive adj as ({ADJACENCY.format(part='part')})"
 #: Nodes below roots with the list of their order keys from the root; lists sort as the tree is walked.
 WALK = "walk as (select node, parent, node as root, 0 as depth, [(name, node)] as keys from adj where parent is null union all select a.node, a.parent, w.root, w.depth + 1, list_append(w.keys, (a.name, a.node)) from adj a join walk w on a.parent = w.node)"
@@ -141,6 +144,9 @@ SQL = {
     "store_stats": f"with {BASE}, {NODES}, {TRIG} select 'memories' as \"table\", count(*) as rows from f union all select 'tree_nodes', count(*) from nodes union all select 'triggers_log', count(*) from tr union all select 'otel_spans', count(*) from events",
     "insert_redacted": f"with {BASE}, x as (select layer, case when layer = 'user' then 'manual' else source end as source, case when layer = 'user' then {redacted('content')} else content end as content from f) select layer, source, count(*) as n, count(*) filter (contains(content, '[REDACTED_')) as redacted from x group by layer, source",
     "decay_apply": f"with {BASE}, d as (select id, layer, confidence as o, case when {FLOOR} >= 1 or confidence >= 1 or {RATE} <= 0 then confidence else greatest(confidence * pow(1 - {RATE}, 3), {FLOOR}) end as n from f) select id as memory_id, layer, round(o, 6) as old_confidence, round(n, 6) as new_confidence from d where n <> o",
+    "decay_on_read": f"with {BASE}, d as (select *, greatest(epoch_us({NOW}) - epoch_us(created_at), 0) / 86400000000.0::double as days from f) select id, layer, round(case when {FLOOR} >= 1 or confidence >= 1 or {RATE} <= 0 or days <= 0 then confidence else greatest(confidence * pow(1 - {RATE}, days), {FLOOR}) end, 6) as confidence from d",
+    "answers_split": f"with {ANSWERS}, k as (select query_id, sha256({PARTS.format(v='2')}) as key from qs) select query_id, case when young is null then 'miss' when young then 'hit' else 'stale' end as status, case when young then answer else '' end as answer from k left join old using (key)",
+    "answers_evicted": f"with {ANSWERS}, kept as (select key, answered_at from old where young and version = 2 order by answered_at desc, key limit 40) select an.key, strftime(an.answered_at, {FMT}) as answered_at, case when o.key is null or o.answered_at <> an.answered_at then 'superseded' when an.version <> 2 then 'version' when not young then 'age' when k.key is null then 'size' else 'kept' end as reason, an.answer from an left join old o on o.key = an.key and o.answered_at = an.answered_at left join kept k on k.key = an.key",
     "decay_flagged": f"with {BASE} select id, layer, confidence from f where confidence < {FLOOR}",
     "reinforce": f"with {BASE} select id, round(case when source = 'manual' then least(confidence + 0.1, 1.0) else confidence end, 6) as confidence, strftime(case when source = 'manual' then {NOW} else created_at end, {FMT}) as created_at from f",
     "expire": f"with {BASE} select layer, count(*) as n, case when {FIND['expired']} then 'expired' else 'kept' end as state from f group by all",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import answers as A
 from ..operators import consolidate as C
 from ..operators import extract as E
 from ..operators import hierarchy as H
@@ -188,6 +189,37 @@ def decay_apply(spark, sf):
     return L.decay(facts(spark, sf), 3)[1].select("memory_id", "layer", F.round("old_confidence", 6).alias("old_confidence"), F.round("new_confidence", 6).alias("new_confidence"))
 
 
+def decay_on_read(spark, sf):
+    """Confidence as of now from the time it was written at, each fact by its own elapsed days."""
+    f = L.aged(facts(spark, sf), L.days_between(F.col("created_at"), now()))
+    return f.select("id", "layer", F.round("confidence", 6).alias("confidence"))
+
+
+def _questions(spark, sf) -> DataFrame:
+    """Questions out of conversations: a turn's first words, for one of three layers or all."""
+    c = read(spark, sf, "conversations")
+    layer = F.element_at(F.array(F.lit("project"), F.lit("session"), F.lit("user"), F.lit(None)), (F.col("turn") % 4 + 1).cast("int"))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.substring("text", 1, 12).alias("query"), layer.alias("layer"), (F.col("turn") % 2 * 5 + 5).cast("int").alias("top_k"), "conv_id", "turn")
+
+
+def _answers(spark, sf) -> DataFrame:
+    """Answers given to the questions of each second conversation, at facts of version 1 or 2, a minute apart."""
+    q = _questions(spark, sf).where("conv_id % 2 = 0 and query is not null")
+    version = F.when(F.col("conv_id") % 6 == 0, 1).otherwise(2).cast("long")
+    at = (F.lit("2024-01-14 20:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("conv_id") % 240).cast("int")))
+    return q.select(A.key(version).alias("key"), version.alias("version"), at.alias("answered_at"), F.concat(F.lit("answer of "), "query_id").alias("answer"))
+
+
+def answers_split(spark, sf):
+    got = A.split(_questions(spark, sf).drop("conv_id", "turn"), _answers(spark, sf), F.lit(2), now(), ttl=7200)
+    return got.select("query_id", "status", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def answers_evicted(spark, sf):
+    kept, gone = A.evict(_answers(spark, sf), now(), ttl=7200, most=40, version=F.lit(2))
+    return gone.select("key", stamp("answered_at"), "reason", "answer").unionByName(kept.select("key", stamp("answered_at"), F.lit("kept").alias("reason"), "answer"))
+
+
 def decay_flagged(spark, sf):
     return L.flagged(facts(spark, sf)).select("id", "layer", "confidence")
 
@@ -340,7 +372,7 @@ def window_counts(spark, sf):
 CATALOGUE = [
     retrieve_keyword, retrieve_batch, retrieve_results, retrieve_naive, tokenize_counts, stem_dictionary, redact_facts, secret_scan, pii_labels, extract_patterns, extract_heuristic, cluster_assign,
     cluster_summary, tree_nodes, tree_incremental, tree_descendants, hierarchy_resolve, hierarchy_intervals, tree_intervals, tree_lines, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
-    decay_apply, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
+    decay_apply, decay_on_read, answers_split, answers_evicted, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
     provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
     checkpoint_latest, last_turn_capture, sessionize, window_counts,
 ]

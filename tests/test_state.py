@@ -131,3 +131,22 @@ def test_decay_is_kept_in_the_state(spark, tmp_path):
     assert b.memories().where("id = 'm0'").first().confidence == pytest.approx(0.475)
     b.decay(1000)
     assert {r.confidence for r in b.memories().collect()} == {0.3}  # the floor
+
+
+def test_stored_answers(spark, tmp_path):
+    """Answers are found by any engine on the state until the facts change or they are too old; others are evicted."""
+    path = str(tmp_path / "m")
+    e = Engine(spark, path)
+    e.state.append(memories=facts(spark, 30, layer="project"))
+    asked = spark.createDataFrame([("a", "fact number 7"), ("b", "fact number 7"), ("c", "zebra"), ("d", None)], "query_id string, query string")
+    said = lambda engine, at: {r.query_id: (r.status, tuple(r.facts)) for r in engine.recall_stored(asked, 3, as_of=at, ttl=60).collect()}
+    first = said(e, T0)
+    assert {v[0] for v in first.values()} == {"miss"} and first["a"][1] == first["b"][1] != () and first["c"][1] == ()
+    again = said(Engine(spark, path), T0 + timedelta(seconds=30))
+    assert again == {k: ("hit", v[1]) for k, v in first.items()} and e.state.rows("answers") == 3
+    assert {v[0] for v in said(e, T0 + timedelta(seconds=90)).values()} == {"stale"} and e.state.rows("answers") == 6
+    assert e.evict_answers(T0 + timedelta(seconds=100), ttl=60) == 3 and e.state.rows("answers") == 3
+    assert e.evict_answers(T0 + timedelta(seconds=100), ttl=60, most=1) == 2
+    e.remember("fact number 7 is another one", "project", as_of=T0)
+    assert {v[0] for v in said(e, T0 + timedelta(seconds=100)).values()} == {"miss"}
+    assert e.evict_answers(T0 + timedelta(seconds=100), ttl=60) == 1  # of the facts before
