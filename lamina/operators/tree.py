@@ -115,9 +115,13 @@ def cluster_with_model(facts: DataFrame, model, size: int = 20) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
+    # Facts are dealt by hash to bins of about 16 batches and numbered within a bin, so no task sees a whole layer.
     c = clustered(facts)
-    nth = F.row_number().over(W.partitionBy("layer").orderBy("id")) - 1
-    b = c.withColumn("batch", F.floor(nth / size).cast("int")).select("layer", "batch", "id", "grp", X.redact(F.substring("content", 1, 200)).alias("shown"))
+    bins = c.groupBy("layer").agg(F.ceil(F.count("*") / (16.0 * size)).alias("bins"))
+    c = c.join(F.broadcast(bins), "layer").withColumn("bin", F.pmod(F.xxhash64("id", "content"), F.col("bins")).cast("int"))
+    nth = F.row_number().over(W.partitionBy("layer", "bin").orderBy("id", "content")) - 1
+    batch = F.concat_ws(".", F.col("bin").cast("string"), F.floor(nth / size).cast("string"))
+    b = c.withColumn("batch", batch).select("layer", "batch", "id", "grp", X.redact(F.substring("content", 1, 200)).alias("shown"))
 
     def run(pdf):
         import json
@@ -138,4 +142,4 @@ def cluster_with_model(facts: DataFrame, model, size: int = 20) -> DataFrame:
         rows = rows or list(zip(pdf["grp"], pdf["id"], strict=True))
         return pd.DataFrame({"layer": pdf["layer"].iloc[0], "batch": pdf["batch"].iloc[0], "name": [r[0] for r in rows], "memory_id": [r[1] for r in rows]})
 
-    return b.groupBy("layer", "batch").applyInPandas(run, "layer string, batch int, name string, memory_id string")
+    return b.groupBy("layer", "batch").applyInPandas(run, "layer string, batch string, name string, memory_id string")

@@ -169,7 +169,8 @@ class Engine:
         nodes = tree.build(m)
         try:
             shown = tree.stripped(nodes.where("depth < 3")).select(F.to_json(F.struct("*")).alias("j")).collect()
-            said = model("Query: " + query + "\n" + "\n".join(r.j for r in shown))
+            asked = self.spark.range(1).select(X.redact(F.lit(query))).first()[0]
+            said = model("Query: " + asked + "\n" + "\n".join(r.j for r in shown))
             chosen = retrieve.chosen_nodes(self.spark.createDataFrame([("q", said)], "query_id string, reply string"))
             rows = retrieve.by_nodes(m, nodes, chosen, top_k).orderBy("rank").collect()
         except Exception:  # the model is not ours

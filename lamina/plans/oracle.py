@@ -127,7 +127,7 @@ SQL = {
     "cluster_assign": f"with {BASE} select id, layer, grp from fc",
     "cluster_summary": f"with {BASE}, {NODES} select node_id, title, summary, n_memories, confidence from cn",
     "tree_nodes": f"with {BASE}, {NODES} select * from nodes",
-    "tree_incremental": f"with f as (select * from ({FACT}) where layer <> 'user' or id like '%1'), fc as (select *, {GROUP} as grp from f), {NODES} select layer, depth, count(*) as n, sum(n_memories)::bigint as memories from nodes group by layer, depth",
+    "tree_incremental": f"with f as (select * replace (case when layer = 'user' then 'we use ' || content else content end as content) from ({FACT})), fc as (select *, {GROUP} as grp from f), {NODES} select layer, depth, count(*) as n, sum(n_memories)::bigint as memories from nodes group by layer, depth",
     "tree_descendants": f"with {BASE} select 'root' as node_id, count(*) as n_leaves from fc union all select 'layer_' || layer, count(*) from fc group by layer union all select 'cluster_' || layer || '_' || grp, count(*) from fc group by layer, grp",
     "hierarchy_resolve": f"{ADJACENT}, top as (select node, node as root, 0 as depth, case when parent is null then 'ok' else 'orphan' end as status from adj where parent is null or parent not in (select node from adj) union all select a.node, t.root, t.depth + 1, t.status from adj a join top t on a.parent = t.node) select node, coalesce(root, -1)::bigint as root, coalesce(depth, -1)::bigint as depth, coalesce(status, 'cycle') as status from adj left join top using (node)",
     "hierarchy_intervals": f"{ADJACENT}, {WALK}, up as (select node, parent as top from walk where parent is not null union all select u.node, w.parent from up u join walk w on u.top = w.node where w.parent is not null), {SIZED}, {ENTERED} select node, depth::bigint as depth, enter, enter + n - 1 as leave from entered join size using (node)",
@@ -178,7 +178,7 @@ SQL = {
 select span_id as spanId, key, s as stringValue, i as intValue, d as doubleValue from a""",
     "span_invalid": f"with {SPANS} select id from sp where duration_ms / 100 < 0 or duration_ms / 100 > 1",
     "scope_counts": "with c as (select conv_id, role, count(*) as n from conversations group by all), b as (select conv_id, count(*) as n, min(turn) as a, max(turn) as z from conversations group by conv_id) select b.conv_id as span, b.n as n_operations, a as first, z as last, (select string_agg(role || '=' || c.n, ',' order by role) from c where c.conv_id = b.conv_id) as by_operation from b",
-    "health_report": f"{RECORDS}, m as (select count(*) as memory_count, {', '.join(f'count(*) filter ({c}) as {k}_count' for k, c in FIND.items())} from f), {SPANS}, ls as (select * from sp order by timestamp desc, id limit 1000), z as (select m.*, (select count(distinct memory_id) from src) as covered_memories, (select count(*) from rec) as provenance_records, (select count(*) from rec where avg_confidence < 0.5) as low_confidence_retrievals, (select count(*) from ls) as spans, (select count(*) from ls where status = 'error') as error_spans from m), y as (select *, round(covered_memories / memory_count, 6) as coverage, concat_ws(',', case when expired_count > 0 then 'expired' end, case when low_confidence_count > 0 then 'low_confidence' end, case when risky_source_count > 0 then 'risky_sources' end, case when secret_finding_count > 0 then 'secret_findings' end, case when provenance_records = 0 then 'missing_provenance' when covered_memories / memory_count < 0.5 then 'low_provenance_coverage' end, case when error_spans > 0 then 'otel_errors' end) as warnings from z) select *, case warnings when '' then 'ok' else 'warn' end as status from y",
+    "health_report": f"{RECORDS}, m as (select count(*) as memory_count, {', '.join(f'count(*) filter ({c}) as {k}_count' for k, c in FIND.items())} from f), {SPANS}, ls as (select * from sp), z as (select m.*, (select count(distinct memory_id) from src) as covered_memories, (select count(*) from rec) as provenance_records, (select count(*) from rec where avg_confidence < 0.5) as low_confidence_retrievals, (select count(*) from ls) as spans, (select count(*) from ls where status = 'error') as error_spans from m), y as (select *, round(covered_memories / memory_count, 6) as coverage, concat_ws(',', case when expired_count > 0 then 'expired' end, case when low_confidence_count > 0 then 'low_confidence' end, case when risky_source_count > 0 then 'risky_sources' end, case when secret_finding_count > 0 then 'secret_findings' end, case when provenance_records = 0 then 'missing_provenance' when covered_memories / memory_count < 0.5 then 'low_provenance_coverage' end, case when error_spans > 0 then 'otel_errors' end) as warnings from z) select *, case warnings when '' then 'ok' else 'warn' end as status from y",
     "health_samples": f"with {BASE}, h as ({' union all '.join(f'select {lit(k)} as category, * from f where {c}' for k, c in FIND.items())}) select category, row_number() over (partition by category order by created_at desc, id) as rank, id, layer, source, left(content, 120) as preview from h qualify rank <= 5",
     "heatmap_layer": f"with {BASE} select layer, count(*) as n, round(100 * count(*) / (select count(*) from f), 4) as percent from f group by layer",
     "heatmap_tags": f"with {BASE}, t as (select layer as tag from f union all select source from f) select tag, count(*) as n from t group by tag order by n desc, tag limit 10",

@@ -111,7 +111,8 @@ def tree_nodes(spark, sf):
 
 def tree_incremental(spark, sf):
     f = facts(spark, sf)
-    return T.rebuild_layer(T.build(f), f.where("layer <> 'user' or id like '%1'"), "user").groupBy("layer", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.sum("n_memories").alias("memories"))
+    changed = f.withColumn("content", F.when(F.col("layer") == "user", F.concat(F.lit("we use "), "content")).otherwise(F.col("content")))
+    return T.rebuild_layer(T.build(f), changed, "user").groupBy("layer", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.sum("n_memories").alias("memories"))
 
 
 def tree_descendants(spark, sf):
@@ -332,7 +333,7 @@ def scope_counts(spark, sf):
 
 
 def health_report(spark, sf):
-    return R.health(facts(spark, sf), _records(spark, sf), spans(spark, sf), now(), newest=1000)  # as its SQL
+    return R.health(facts(spark, sf), _records(spark, sf), spans(spark, sf), now())
 
 
 def health_samples(spark, sf):

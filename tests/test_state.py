@@ -150,3 +150,35 @@ def test_stored_answers(spark, tmp_path):
     e.remember("fact number 7 is another one", "project", as_of=T0)
     assert {v[0] for v in said(e, T0 + timedelta(seconds=100)).values()} == {"miss"}
     assert e.evict_answers(T0 + timedelta(seconds=100), ttl=60) == 1  # of the facts before
+
+
+def test_truncations_pruning_and_traces(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "m"))
+    a = e.remember("we use the FastAPI framework", "project", as_of=T0)
+    e.recall("framework", as_of=T0)
+    assert e.touch(a, T0) and e.reinforce(a, as_of=T0) and not e.touch("no") and e.expire(T0) == 0
+    e.flush()
+    assert [r.operation for r in e.state.read("otel_spans").orderBy("timestamp").collect()] == ["store", "retrieve", "update", "update", "update", "delete"]
+    e._span("store", 0.0)
+    e.flush(keep=3)
+    assert e.state.rows("otel_spans") == 3 == e.state.read("otel_spans").count() and e.state.read("otel_spans").where("timestamp = 0").count() == 0
+    assert e.truncate("provenance") == 1 and e.truncate("otel_spans") == 3 and e.truncate("triggers_log") == 0
+    assert e.clear("project") == 1 and e.clear() == 0
+    seen = []
+    e.remember("a fact on the parser of mail", "project")
+    e.recall_by_model("parser for dev7@example.com", lambda p: seen.append(p) or "no json")
+    assert "dev7@example.com" not in seen[0] and "[REDACTED_EMAIL]" in seen[0]
+
+
+def test_model_clusters_without_a_window_by_layer(spark):
+    from lamina.operators import tree
+
+    f = facts(spark, 100).unionByName(facts(spark, 1, 200, "user"))
+    made = tree.cluster_with_model(f, lambda p: "oops", size=4)
+    rows = made.collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.layer, r.batch] = sizes.get((r.layer, r.batch), 0) + 1
+    assert len(rows) == 101 and max(sizes.values()) <= 4
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(layer" in plan and "bin#" in plan.split("Window [row_number()")[1][:200]
