@@ -106,5 +106,6 @@ def scope_stats(operations: DataFrame) -> DataFrame:
 
 
 def latest_span(spans: DataFrame, name: str) -> DataFrame:
-    """The latest completed span of a name: spans has (name, end_time, …)."""
-    return spans.where((F.col("name") == name) & F.col("end_time").isNotNull()).orderBy(F.desc("end_time")).limit(1)
+    """The latest completed span of a name: spans has (name, end_time, …). Of equally late ones that with the largest columns, from left to right."""
+    rest = [F.desc(c) for c, t in spans.dtypes if not t.startswith("map")]
+    return spans.where((F.col("name") == name) & F.col("end_time").isNotNull()).orderBy(F.desc("end_time"), *rest).limit(1)

@@ -178,6 +178,25 @@ SQL = {
 select span_id as spanId, key, s as stringValue, i as intValue, d as doubleValue from a""",
     "span_invalid": f"with {SPANS} select id from sp where duration_ms / 100 < 0 or duration_ms / 100 > 1",
     "scope_counts": "with c as (select conv_id, role, count(*) as n from conversations group by all), b as (select conv_id, count(*) as n, min(turn) as a, max(turn) as z from conversations group by conv_id) select b.conv_id as span, b.n as n_operations, a as first, z as last, (select string_agg(role || '=' || c.n, ',' order by role) from c where c.conv_id = b.conv_id) as by_operation from b",
+    "scope_spans": f"""with ev as (select user_id::varchar as scope, ts as "at", event_id as seq, case event_type when 'signup' then 'open' when 'purchase' then 'close' else 'operation' end as kind,
+   case event_type when 'view' then 'retrieve' when 'click' then 'search' when 'error' then 'delete' end as operation, case when event_type in ('view', 'click', 'error') then case event_id % 4 when 0 then 'project' when 1 then 'session' when 2 then 'user' end end as layer
+  from events where user_id is not null and ts is not null and event_id is not null and event_type is not null),
+ g as (select *, case when "at" - lag("at") over w <= interval '2' day then 0 else 1 end as fresh from ev window w as (partition by scope order by "at", seq)),
+ r as (select *, sum(fresh) over (partition by scope order by "at", seq) as run from g),
+ s as (select *, sum(case kind when 'open' then 1 when 'close' then -1 else 0 end) over (partition by scope, run order by "at", seq) as net, max("at") over (partition by scope, run) as last_at from r),
+ d as (select *, net - least(0, min(net) over (partition by scope, run order by "at", seq)) as depth from s),
+ o as (select *, lead(seq) over w as next_seq, lead("at") over w as next_at from d where kind = 'open' window w as (partition by scope, run, depth order by "at", seq)),
+ c as (select o.scope, o.seq, min_by(k."at", (k."at", k.seq)) as closed from o join d k on k.scope = o.scope and k.run = o.run and k.kind = 'close' and k.depth = o.depth - 1 and (k."at", k.seq) > (o."at", o.seq) group by all),
+ p as (select o.scope, o.seq, max_by(u.seq, (u."at", u.seq)) as parent from o join o u on u.scope = o.scope and u.run = o.run and u.depth = o.depth - 1 and (u."at", u.seq) < (o."at", o.seq) group by all),
+ m as (select k.scope, max_by(o.seq, (o."at", o.seq)) as span, k.operation, k.layer, k.seq from d k join o on k.scope = o.scope and k.run = o.run and k.kind = 'operation' and k.depth = o.depth and (k."at", k.seq) > (o."at", o.seq) group by all),
+ n as (select scope, span, count(*) as n from m group by all),
+ bo as (select scope, span, string_agg(operation || '=' || n, ',' order by operation) as t from (select scope, span, operation, count(*) as n from m where operation is not null group by all) group by all),
+ bl as (select scope, span, string_agg(layer || '=' || n, ',' order by layer) as t from (select scope, span, layer, count(*) as n from m where layer is not null group by all) group by all),
+ f as (select o.*, c.closed, p.parent, case when c.closed is not null then 'closed' when timestamp '2024-01-31 00:00:00' - last_at > interval '2' day then 'abandoned' else 'active' end as status
+  from o left join c using (scope, seq) left join p using (scope, seq))
+select f.scope, f.seq as span, 'task ' || (f.seq % 7) as name, coalesce(f.parent, -1) as parent, f.depth::bigint as depth, strftime(f."at", '%Y-%m-%d %H:%M:%S.%f') as start,
+ coalesce(strftime(case f.status when 'closed' then f.closed when 'abandoned' then last_at end, '%Y-%m-%d %H:%M:%S.%f'), '') as "end", f.status, coalesce(n.n, 0) as n_operations, coalesce(bo.t, '') as by_operation, coalesce(bl.t, '') as by_layer
+from f left join n on n.scope = f.scope and n.span = f.seq left join bo on bo.scope = f.scope and bo.span = f.seq left join bl on bl.scope = f.scope and bl.span = f.seq""",
     "health_report": f"{RECORDS}, m as (select count(*) as memory_count, {', '.join(f'count(*) filter ({c}) as {k}_count' for k, c in FIND.items())} from f), {SPANS}, ls as (select * from sp), z as (select m.*, (select count(distinct memory_id) from src) as covered_memories, (select count(*) from rec) as provenance_records, (select count(*) from rec where avg_confidence < 0.5) as low_confidence_retrievals, (select count(*) from ls) as spans, (select count(*) from ls where status = 'error') as error_spans from m), y as (select *, round(covered_memories / memory_count, 6) as coverage, concat_ws(',', case when expired_count > 0 then 'expired' end, case when low_confidence_count > 0 then 'low_confidence' end, case when risky_source_count > 0 then 'risky_sources' end, case when secret_finding_count > 0 then 'secret_findings' end, case when provenance_records = 0 then 'missing_provenance' when covered_memories / memory_count < 0.5 then 'low_provenance_coverage' end, case when error_spans > 0 then 'otel_errors' end) as warnings from z) select *, case warnings when '' then 'ok' else 'warn' end as status from y",
     "health_samples": f"with {BASE}, h as ({' union all '.join(f'select {lit(k)} as category, * from f where {c}' for k, c in FIND.items())}) select category, row_number() over (partition by category order by created_at desc, id) as rank, id, layer, source, left(content, 120) as preview from h qualify rank <= 5",
     "heatmap_layer": f"with {BASE} select layer, count(*) as n, round(100 * count(*) / (select count(*) from f), 4) as percent from f group by layer",

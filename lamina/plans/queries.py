@@ -17,10 +17,11 @@ from ..operators import lifecycle as L
 from ..operators import provenance as P
 from ..operators import reports as R
 from ..operators import retrieve as Q
+from ..operators import scopes as N
 from ..operators import store as S
 from ..operators import telemetry as O
 from ..operators import tree as T
-from ..sources.derived import AS_OF, adjacency, facts, read, spans, triggers
+from ..sources.derived import AS_OF, adjacency, facts, read, scope_events, spans, triggers
 from ..streaming import sessions as ST
 
 ASKED = [
@@ -332,6 +333,14 @@ def scope_counts(spark, sf):
     return O.scope_counts(c).select("span", "n_operations", "first", "last", flat.alias("by_operation"))
 
 
+def scope_spans(spark, sf):
+    """Nested spans of all scopes as of the end of January; a scope is left after two days without an event."""
+    s = N.completed(scope_events(spark, sf), idle=172_800, as_of=F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), bucket=86_400)
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    exact = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")).alias(c)
+    return s.select("scope", "span", "name", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("depth").cast("long").alias("depth"), exact("start"), exact("end"), "status", "n_operations", flat("by_operation"), flat("by_layer"))
+
+
 def health_report(spark, sf):
     return R.health(facts(spark, sf), _records(spark, sf), spans(spark, sf), now())
 
@@ -374,7 +383,7 @@ CATALOGUE = [
     retrieve_keyword, retrieve_batch, retrieve_results, retrieve_naive, tokenize_counts, stem_dictionary, redact_facts, secret_scan, pii_labels, extract_patterns, extract_heuristic, cluster_assign,
     cluster_summary, tree_nodes, tree_incremental, tree_descendants, hierarchy_resolve, hierarchy_intervals, tree_intervals, tree_lines, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
     decay_apply, decay_on_read, answers_split, answers_evicted, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
-    provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
+    provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, scope_spans, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
     checkpoint_latest, last_turn_capture, sessionize, window_counts,
 ]
 QUERIES = {f.__name__: f for f in CATALOGUE}

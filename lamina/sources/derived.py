@@ -77,3 +77,15 @@ from {part}
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ADJACENCY, part=read(spark, sf_dir, "part"))
+
+
+def scope_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open, operation and close events of scopes, out of events: a user's signups open, purchases close, the rest are operations."""
+    e = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "purchase", "close").otherwise("operation")
+    operation = F.when(F.col("event_type") == "view", "retrieve").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "error", "delete")
+    layer = F.when(F.col("event_id") % 4 == 0, "project").when(F.col("event_id") % 4 == 1, "session").when(F.col("event_id") % 4 == 2, "user")
+    return e.select(
+        F.col("user_id").cast("string").alias("scope"), F.col("ts").cast("timestamp_ntz").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"),
+        F.when(kind == "open", F.concat(F.lit("task "), (F.col("event_id") % 7).cast("string"))).alias("name"), operation.alias("operation"), F.when(kind == "operation", layer).alias("layer"),
+    )
