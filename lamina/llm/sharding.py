@@ -29,6 +29,9 @@ from .common import by_value, unused
 
 by_value(__name__)
 
+#: Copies of one record that a task makes at a time.
+COPIES = 4096
+
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     """A permutation of n positions; all draws are made at once."""
@@ -65,7 +68,10 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 23, text: str = "text",
     repeated = rows.groupBy(own["tie"], own["next"]).count().where("count > 1").select(own["tie"], own["next"])
     if repeated.take(1):
         many = rows.join(repeated, [own["tie"], own["next"]], "left_semi").groupBy(*columns, own["tie"], own["next"]).agg(F.count("*").alias(own["copy"]))
-        many = many.withColumn(own["copy"], F.explode(F.sequence(F.lit(0).cast("long"), F.col(own["copy"]) - 1)))
+        # Copies are made from ranges of numbers, which are dealt to tasks first, so no task makes all copies of a record.
+        many = many.withColumns({own["part"]: F.explode(F.sequence(F.lit(0).cast("long"), F.col(own["copy"]) - 1, F.lit(COPIES).cast("long")))})
+        many = many.repartition(F.xxhash64(own["tie"], own["next"], own["part"]))
+        many = many.withColumn(own["copy"], F.explode(F.sequence(F.col(own["part"]), F.least(F.col(own["part"]) + COPIES, F.col(own["copy"])) - 1)))
         rows = rows.join(repeated, [own["tie"], own["next"]], "left_anti").withColumn(own["copy"], F.lit(0).cast("long")).select(*columns, own["tie"], own["next"], own["copy"]).union(many.select(*columns, own["tie"], own["next"], own["copy"]))
     else:
         rows = rows.withColumn(own["copy"], F.lit(0).cast("long"))

@@ -506,6 +506,14 @@ def test_language_equals_plain_zstandard(spark, sf):
     assert len(content) <= 100 * 51 and content.count(b"\n") == 99
 
 
+def test_sharding_one_record_many_times(spark):
+    """Copies of one record are made by many tasks and lie in all shards."""
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, -1, id) as doc_id", "if(id % 3 = 0, 'same', string(id)) as text")
+    got = sharding.shard(df, 24)
+    n = got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.count_if(F.col("doc_id") == -1).alias("same")).collect()
+    assert {r.n for r in n} == {2500} and all(r.last == 2499 and r.slots == 2500 and 600 < r.same < 1100 for r in n) and len(n) == 24
+
+
 def test_sharding_equals_plain_python(spark, tmp_path):
     rows = [(i, None if i % 11 == 0 else "é" * (i % 13) + str(i % 5)) for i in range(900)] + [(7, "same")] * 700 + [(None, None)] * 3
     d = spark.createDataFrame(rows, "doc_id long, text string")
