@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 WORDS = "password|passwd|secret|token|api_?key"
 ASSIGN = f"((?i:{WORDS}))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -30,6 +32,7 @@ RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 CHUNK = 256
+PIECE = 4096
 #: Bits a character that a window must reach, by class.
 THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.6}
 #: A word, capitals or up to 8 digits, between separators or ends of the run.
@@ -112,6 +115,24 @@ def spans(text: Column, allow: tuple[str | Callable[[Column], Column], ...] = AL
     return base, _found(text, RUN, 3, "run", public)
 
 
+def _chunks(spans: Column) -> Column:
+    """An array of arrays of CHUNK spans, in order; none for an empty one."""
+    starts = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.size(spans) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(spans, i + 1, F.lit(CHUNK)))
+
+
+def _free(runs: Column, base: Column) -> Column:
+    """The runs that no base span contains. CHUNK runs at a time meet the base spans of their stretch of the text, not all of them."""
+
+    def part(c):
+        low, high = c[0]["start"], F.get(c, F.size(c) - 1)["end"]
+        near = F.filter(base, lambda b: (b["start"] < high) & (b["end"] > low))
+        return F.struct(c.alias("runs"), near.alias("near"))
+
+    met = F.transform(_chunks(runs), part)
+    return F.flatten(F.transform(met, lambda m: F.filter(m["runs"], lambda r: ~F.exists(m["near"], lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))))
+
+
 def _any(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:
@@ -128,9 +149,9 @@ def scan(docs: DataFrame, text: str = "text", allow: tuple[str | Callable[[Colum
     item = "array<struct<start:int,ord:int,kind:string,end:int>>"
     df = docs.drop("base", "found", "_runs").withColumns({"base": base, "_runs": runs})
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
-    free = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    chars = F.transform(free, lambda r: F.struct(r["start"].alias("start"), F.split(r["hit"], "").alias("chars"), r["hit"].rlike("^[0-9a-fA-F]+$").alias("hex")))
-    df = df.withColumn("_runs", F.when(F.size("_runs") > 0, chars))
+    df = df.withColumn("_runs", F.when(F.size("_runs") > 0, _free(F.col("_runs"), F.col("base"))))
+    chars = F.transform("_runs", lambda r: F.struct(r["start"].alias("start"), F.split(r["hit"], "").alias("chars"), r["hit"].rlike("^[0-9a-fA-F]+$").alias("hex")))
+    df = df.withColumn("_runs", chars)
     limit = lambda r: F.when(r["hex"], THRESHOLD["entropy_hex"]).otherwise(THRESHOLD["entropy_base64"])
     seen = F.transform("_runs", lambda r: F.struct(r["start"].alias("start"), r["hex"].alias("hex"), _windows(r, window, limit(r)).alias("w")))
     named = F.transform(
@@ -155,14 +176,36 @@ def digest(docs: DataFrame, **kw) -> DataFrame:
 
 def mask(docs: DataFrame, text: str = "text", label: str = "[SECRET]", **kw) -> DataFrame:
     """Every row with each stretch that spans cover replaced by label, where spans that overlap or touch count as one. Nothing else changes."""
+    own = unused(docs, "_cover")
     found = scan(docs, text, **kw)
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        fresh = x["start"] > acc.at
-        out = F.concat(acc.out, F.substring(F.col(text), acc.at + 1, x["start"] - acc.at), F.lit(label))
-        out = F.when(fresh | (acc.at == 0), out).otherwise(acc.out)
-        return F.struct(F.greatest(acc.at, x["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("found", init, step, lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.at + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("found") > 0, masked).otherwise(F.col(text))).select(docs.columns)
+    # Spans that overlap or touch make one stretch; they come sorted by start, so the furthest end so far tells where one ends.
+    none = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def merge(acc, x):
+        one = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        longer = F.array(F.struct(F.element_at(acc.out, -1)["start"].alias("start"), F.greatest(acc["end"], x["end"]).alias("end")))
+        fresh = x["start"] > acc["end"]
+        out = F.when(fresh, F.concat(acc.out, one)).when(x["end"] > acc["end"], F.concat(F.slice(acc.out, F.lit(1), F.size(acc.out) - 1), longer)).otherwise(acc.out)
+        return F.struct(F.greatest(acc["end"], x["end"]).alias("end"), out.alias("out"))
+
+    # Stretches are made CHUNK spans at a time, so no long array is copied for every span; stretches of neighbouring chunks that meet are one.
+    parts = F.transform(_chunks(F.col("found")), lambda c: F.aggregate(c, none, merge, lambda acc: acc.out))
+    found = found.withColumn(own, F.when(F.size("found") > 0, F.flatten(parts)))
+    # The text is taken in pieces; each stretch is replaced in the piece where it starts and left out of the others.
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def piece(p, k):
+        low, high = k * PIECE, k * PIECE + F.length(p)
+        near = F.filter(F.col(own), lambda x: (x["start"] < high) & (x["end"] >= low))
+        init = F.struct(low.alias("at"), F.lit(-1).alias("end"), F.lit("").alias("out"))
+
+        def step(acc, x):
+            begins = (x["start"] >= low) & (x["start"] > acc["end"])
+            gap = F.when(x["start"] > acc.at, F.substring(p, acc.at - low + 1, x["start"] - acc.at)).otherwise("")
+            return F.struct(F.greatest(acc.at, x["end"]).alias("at"), F.greatest(acc["end"], x["end"]).alias("end"), F.concat(acc.out, gap, F.when(begins, label).otherwise("")).alias("out"))
+
+        rest = lambda acc: F.concat(acc.out, F.when(acc.at < high, F.substring(p, acc.at - low + 1, high - acc.at)).otherwise(""))
+        return F.aggregate(near, init, step, rest)
+
+    masked = F.array_join(F.transform(pieces, piece), "")
+    return found.withColumn(text, F.when(F.col(own).isNotNull(), masked).otherwise(F.col(text))).select(docs.columns)
