@@ -2,8 +2,7 @@
 
 Base kinds are patterns: `assign`, `access` and `hex`, leftmost and non-overlapping per
 kind. The method adds `entropy_hex` and `entropy_base64`: over candidate runs of 20 or more
-characters of the class, a window slides and keeps the count of every
-character; each step adds one character and removes one, which changes the sum of
+characters of the class, a window slides; each step adds one character and removes one, which changes two counts and the sum of
 c*log2(c) by four table look-ups, so a run costs time in proportion to its length. A run
 is reported from the first to the last window whose Shannon entropy reaches the class's
 threshold, unless the allow list suppresses the run or a base span contains it.
@@ -29,7 +28,6 @@ ASSIGN = f"((?i:{WORDS}))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "[0-9a-f]{24,}+"
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 CHUNK = 256
 PIECE = 4096
@@ -83,24 +81,23 @@ def _found(text: Column, pattern: str, order: int, kind: str, keep=None) -> Colu
 def _windows(run: Column, window: int, threshold: Column) -> Column:
     """struct<first, last>: start and end, within the run, of the windows that reach the threshold; -1 if none does."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET))
-    init = F.struct(zeros.alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), table.alias("f"))
-
-    def code(i):
-        return F.instr(F.lit(ALPHABET), F.get(run["chars"], i)) - 1
-
-    def step(acc, i):
-        add, gone = code(i), F.when(i >= window, code(i - window)).otherwise(-1)
-        ca, cg = F.get(acc.counts, add), F.get(acc.counts, gone)
+    init = F.struct(F.lit("").alias("seen"), F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), table.alias("f"))
+
+    def step(acc, add):
+        full = acc.i >= window
+        gone = F.when(full, F.substring(acc.seen, 1, 1)).otherwise("")
+        # The counts, within the last `window` characters, of the one that comes and the one that goes.
+        count = lambda c: F.length(acc.seen) - F.length(F.replace(acc.seen, c, F.lit("")))
+        ca, cg = count(add), count(gone)
         more = F.get(acc.f, ca + 1) - F.get(acc.f, ca)
-        less = F.when(gone >= 0, F.get(acc.f, cg - 1) - F.get(acc.f, cg)).otherwise(0.0)
+        less = F.when(full, F.get(acc.f, cg - 1) - F.get(acc.f, cg)).otherwise(0.0)
         s = F.when(add == gone, acc.s).otherwise(acc.s + more + less)
-        counts = F.transform(acc.counts, lambda c, k: c + (k == add).cast("int") - (k == gone).cast("int"))
-        hit = (i >= window - 1) & (F.lit(math.log2(window)) - s / window >= threshold - 1e-9)
-        first = F.when(hit & (acc["first"] < 0), i - (window - 1)).otherwise(acc["first"])
-        return F.struct(counts.alias("counts"), s.alias("s"), first.alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"), acc.f.alias("f"))
+        hit = (acc.i >= window - 1) & (F.lit(math.log2(window)) - s / window >= threshold - 1e-9)
+        first = F.when(hit & (acc["first"] < 0), acc.i - (window - 1)).otherwise(acc["first"])
+        seen = F.concat(F.when(full, F.substring(acc.seen, 2, window - 1)).otherwise(acc.seen), add)
+        return F.struct(seen.alias("seen"), (acc.i + 1).alias("i"), s.alias("s"), first.alias("first"), F.when(hit, acc.i + 1).otherwise(acc["last"]).alias("last"), acc.f.alias("f"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(run["chars"]) - 1), init, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(run["chars"], init, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def spans(text: Column, allow: tuple[str | Callable[[Column], Column], ...] = ALLOW, window: int = WINDOW) -> tuple[Column, Column]:
