@@ -43,12 +43,13 @@ def by_marker(df: DataFrame, key: str = "id", text: str = "content", layer: str
     return rows.select("key", "line_no", "layer", F.col("line").alias("content"), F.lit("heuristic").alias("source"), "confidence", F.array("layer", F.lit("auto-extracted")).alias("tags"))
 
 
-def from_replies(df: DataFrame, reply: str = "reply", layer: str = "layer", never=V.NEVER_FORGET, confidence=None) -> DataFrame:
+def from_replies(df: DataFrame, reply: str = "reply", layer: str = "layer", never=V.NEVER_FORGET, confidence=None, key: str | None = None) -> DataFrame:
     """Facts from JSON replies of a language model: {memories: [{content, confidence, tags}]}, also inside a json fence.
-    Short, secret or personal contents are left out; the confidence becomes the nearest level."""
+    Short, secret or personal contents are left out; the confidence becomes the nearest level. With key, that column comes first."""
     body = F.coalesce(F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), F.col(reply))
     parsed = F.from_json(body, "memories array<struct<content:string,confidence:double,tags:array<string>>>")
-    rows = df.select(layer, F.explode(parsed["memories"]).alias("m"))
+    kept = [key] if key else []
+    rows = df.select(*kept, layer, F.explode(parsed["memories"]).alias("m"))
     content = X.strip(F.col("m.content"))
     good = (F.length(content) >= 5) & ~X.holds_word(content, never) & (F.size(X.pii_labels(content)) == 0)
-    return rows.where(good).select(layer, content.alias("content"), F.lit("llm_extract").alias("source"), X.nearest_level(F.coalesce("m.confidence", F.lit(0.5)), confidence).alias("confidence"), F.coalesce("m.tags", F.array(F.col(layer))).alias("tags"))
+    return rows.where(good).select(*kept, layer, content.alias("content"), F.lit("llm_extract").alias("source"), X.nearest_level(F.coalesce("m.confidence", F.lit(0.5)), confidence).alias("confidence"), F.coalesce("m.tags", F.array(F.col(layer))).alias("tags"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answers, consolidate, extract, lifecycle, provenance, reports, retrieve, store, telemetry, tree
+from ..operators import answers, consolidate, dispatch, extract, lifecycle, provenance, reports, retrieve, store, telemetry, tree
 from ..sources.config import Rules
 from ..sources.shared import cut
 from ..sources.state import State
@@ -97,10 +97,10 @@ class Engine:
         self._traced("store", lambda: self.state.append(memories=store.rows(new, now).coalesce(1)), memory_id=id, layer=layer if layer in ("project", "session", "user") else None)
         return id
 
-    def learn(self, texts: DataFrame, as_of: datetime | None = None, markers: bool = False) -> int:
-        """Extract facts from (id, layer, content) texts, redacted first, and store them."""
+    def learn(self, texts: DataFrame, as_of: datetime | None = None, markers: bool = False, model: Callable[[str], str] | None = None, parallel: int = 4) -> int:
+        """Extract facts from (id, layer, content) texts, redacted first, and store them; with a model, by its replies where they hold facts."""
         clean = texts.withColumn("content", X.redact(F.col("content")))
-        found = extract.by_marker(clean, confidence=self.rules.confidence) if markers else extract.by_pattern(clean, never=self.rules.never, confidence=self.rules.confidence)
+        found = dispatch.extract(clean, model, parallel, self.rules.never, self.rules.confidence) if model else extract.by_marker(clean, confidence=self.rules.confidence) if markers else extract.by_pattern(clean, never=self.rules.never, confidence=self.rules.confidence)
         now = self._now(as_of)
         return self.state.append(memories=store.rows(found.drop("key", "line_no").withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days)), now))
 
@@ -142,8 +142,10 @@ class Engine:
         self.cache.set(key, out)
         return out
 
-    def recall_many(self, queries: DataFrame, top_k: int = 5, layer: str | None = None) -> DataFrame:
-        return retrieve.results(self.memories(layer), queries, top_k)
+    def recall_many(self, queries: DataFrame, top_k: int = 5, layer: str | None = None, model: Callable[[str], str] | None = None, parallel: int = 4) -> DataFrame:
+        """Answers of queries (query_id, query); with a model, that it calls on executors, by the nodes it names, else by keywords."""
+        m = self.memories(layer)
+        return retrieve.results(m, queries, top_k) if model is None else dispatch.recall(m, tree.build(m), queries, model, top_k, parallel)
 
     def recall_stored(self, queries: DataFrame, top_k: int = 5, layer: str | None = None, as_of: datetime | None = None, ttl: float = 300.0) -> DataFrame:
         """(query_id, status, facts, trace, confidence) of queries (query_id, query): stored answers where there are fresh ones, the rest retrieved in one plan and stored for any engine on this state."""
