@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from ..operators import scopes as N
 from ..operators import store as S
 from ..operators import telemetry as O
 from ..operators import tree as T
+from ..sources import checkpoints as K
 from ..sources.derived import AS_OF, adjacency, facts, read, scope_events, spans, triggers
+from ..sources.shared import shared_dir
 from ..streaming import sessions as ST
 
 ASKED = [
@@ -366,6 +369,18 @@ def checkpoint_latest(spark, sf):
     return R.latest_per(s.withColumn("o", F.struct("timestamp", "span")), "thread", "o", "checkpoint:").select("thread", "timestamp", "span")
 
 
+def checkpoint_store(spark, sf):
+    """Changes of clients put into a checkpoint store month by month, listed at the end; writes a store into a new folder."""
+    c = read(spark, sf, "client_changes")
+    text = K.content(F.struct("seq", "change_id", "segment", "city", "balance"), F.array("op"), F.struct("source"))
+    rows = c.select(F.concat(F.lit("client-"), F.col("client_id").cast("string")).alias("thread"), F.col("valid_at").alias("created_at"), text.alias("content"), F.trunc("valid_at", "month").alias("month"), "seq", "change_id")
+    store = K.Checkpoints(spark, f"{shared_dir(spark)}/checkpoints-{uuid.uuid4().hex}")
+    for r in rows.select("month").distinct().orderBy(F.asc_nulls_first("month")).collect():  # a few months
+        store.put(rows.where(F.col("month").eqNullSafe(F.lit(r.month))), order=("created_at", "seq", "change_id"))
+    v = F.from_json("values", "segment string, city string, balance double")
+    return store.list().select("thread", stamp("created_at"), F.get_json_object("metadata", "$.source").alias("source"), v["segment"].alias("segment"), v["city"].alias("city"), v["balance"].alias("balance"), F.col("next")[0].alias("next"))
+
+
 def last_turn_capture(spark, sf):
     t = R.last_turns(read(spark, sf, "conversations"))
     return t.select("conv_id", "turn", "role", X.redact(F.col("content")).alias("content"))
@@ -384,6 +399,8 @@ CATALOGUE = [
     cluster_summary, tree_nodes, tree_incremental, tree_descendants, hierarchy_resolve, hierarchy_intervals, tree_intervals, tree_lines, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
     decay_apply, decay_on_read, answers_split, answers_evicted, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
     provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, scope_spans, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
-    checkpoint_latest, last_turn_capture, sessionize, window_counts,
+    checkpoint_latest, checkpoint_store, last_turn_capture, sessionize, window_counts,
 ]
 QUERIES = {f.__name__: f for f in CATALOGUE}
+#: Queries that write files or streams: these have no SQL and are tested against brute force.
+WRITERS = frozenset({"checkpoint_store"})
