@@ -24,7 +24,8 @@ from ..operators import telemetry as O
 from ..operators import tree as T
 from ..sources import checkpoints as K
 from ..sources.derived import AS_OF, adjacency, facts, read, scope_events, spans, triggers
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, write_text_once
+from ..streaming import rules as RS
 from ..streaming import sessions as ST
 
 ASKED = [
@@ -381,6 +382,20 @@ def checkpoint_store(spark, sf):
     return store.list().select("thread", stamp("created_at"), F.get_json_object("metadata", "$.source").alias("source"), v["segment"].alias("segment"), v["city"].alias("city"), v["balance"].alias("balance"), F.col("next")[0].alias("next"))
 
 
+def rules_stream(spark, sf):
+    """Facts streamed in two micro-batches with the rules changed between them; writes into a new folder."""
+    at = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("source").isin("manual", "MCP", "external"), F.lit(True))
+    f = facts(spark, sf).select("id", "layer", "content", "source", "created_at")
+    sink = RS.Ruled(spark, f"{at}/rules.toml", f"{at}/out")
+    for rows, text in ((f.where(first), None), (f.where(~first), '[forget]\nnever = ["framework"]\nafter_days = {session = 1, project = 30}\n')):
+        if text is not None:
+            write_text_once(spark, sink.rules, text)
+        rows.write.mode("append").parquet(f"{at}/in")
+        sink.start(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/stream").awaitTermination()
+    return sink.read().select("id", "layer", stamp("expires_at"), "pinned", "rules_version", F.col("batch").cast("long").alias("batch"))
+
+
 def last_turn_capture(spark, sf):
     t = R.last_turns(read(spark, sf, "conversations"))
     return t.select("conv_id", "turn", "role", X.redact(F.col("content")).alias("content"))
@@ -399,8 +414,8 @@ CATALOGUE = [
     cluster_summary, tree_nodes, tree_incremental, tree_descendants, hierarchy_resolve, hierarchy_intervals, tree_intervals, tree_lines, tree_leaves, tree_stripped, collect_nodes, list_layer, below_confidence, recent_triggers, page_spans, prune_spans, store_stats, insert_redacted,
     decay_apply, decay_on_read, answers_split, answers_evicted, decay_flagged, reinforce, expire, should_forget, expiry_compute, consolidate_layer, trigger_fire, trigger_match, last_activity, inactivity, session_summary, reflection, provenance_report,
     provenance_breakdown, provenance_low_conf, provenance_imbalance, span_stats, span_totals, span_otlp, span_attributes, span_invalid, scope_counts, scope_spans, health_report, health_samples, heatmap_layer, heatmap_tags, timeline,
-    checkpoint_latest, checkpoint_store, last_turn_capture, sessionize, window_counts,
+    checkpoint_latest, checkpoint_store, rules_stream, last_turn_capture, sessionize, window_counts,
 ]
 QUERIES = {f.__name__: f for f in CATALOGUE}
 #: Queries that write files or streams: these have no SQL and are tested against brute force.
-WRITERS = frozenset({"checkpoint_store"})
+WRITERS = frozenset({"checkpoint_store", "rules_stream"})

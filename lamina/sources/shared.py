@@ -27,3 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     to = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store that Spark reads; None while it is missing."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole, unless it is there: it takes its name when it is complete."""
+    fs, p = _at(spark, path)
+    if fs.exists(p):
+        return
+    aside = _at(spark, f"{path}.{uuid.uuid4().hex}")[1]
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(aside, p):
+        fs.delete(aside, False)
