@@ -52,6 +52,8 @@ def stats(spans: DataFrame) -> DataFrame:
 
 
 PREFIX = "gen_ai.memory"
+#: The attribute that holds the id of the span in which a span was made.
+PARENT = "parent_span_id"
 ATTRIBUTES = {"memory_id": "id", "layer": "layer", "memory_type": "type", "confidence": "confidence", "query": "query", "top_k": "top_k", "results_count": "results_count"}
 
 
@@ -83,10 +85,10 @@ def otlp(spans: DataFrame, system: str = "lamina") -> DataFrame:
     own_type = spans.schema["attributes"].dataType
     own = F.coalesce("attributes", F.create_map().cast(own_type))
     base = F.array(*[F.when(v.isNotNull() & ~F.coalesce(F.map_contains_key(own, F.lit(k)), F.lit(False)), F.struct(F.lit(k).alias("key"), any_value(v, t).alias("value"))) for k, (v, t) in named.items()])
-    more = F.transform(F.map_entries(own), lambda x: F.struct(x["key"].alias("key"), any_value(x["value"], own_type.valueType).alias("value")))
+    more = F.transform(F.filter(F.map_entries(own), lambda x: x["key"] != PARENT), lambda x: F.struct(x["key"].alias("key"), any_value(x["value"], own_type.valueType).alias("value")))
     values = F.array_sort(F.concat(F.array_compact(base), more), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
     return spans.select(
-        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), F.concat(F.lit(f"{PREFIX}."), "operation").alias("name"), F.lit(1).alias("kind"),
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), (F.col("attributes")[PARENT].cast("string") if own_type.keyType == text and isinstance(own_type.valueType, T.StringType) else F.lit(None).cast("string")).alias("parentSpanId"), F.concat(F.lit(f"{PREFIX}."), "operation").alias("name"), F.lit(1).alias("kind"),
         start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"), values.alias("attributes"),
         F.struct(F.when(F.col("status") == "ok", 1).otherwise(2).alias("code"), F.coalesce("error_message", F.lit("")).alias("message")).alias("status"), F.col("service_name").alias("serviceName"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -42,12 +45,26 @@ class Cache:
         return {"hits": self.hits, "misses": self.misses, "size": len(self.held), "hit_rate": self.hits / n if n else 0.0}
 
 
+def traced(operation: str):
+    """A method as one span, told by its name."""
+
+    def of(method):
+        @wraps(method)
+        def call(self, *args, **kw):
+            with self._within(operation, method=method.__name__):
+                return method(self, *args, **kw)
+
+        return call
+
+    return of
+
+
 class Engine:
     """Calls return plain values or DataFrames; as_of, where it matters, is explicit and is now if left out."""
 
     def __init__(self, spark: SparkSession, path: str, rules: Rules | None = None, cache_ttl: float = 300, service: str = "lamina", traced: bool = True):
         self.spark, self.state, self.rules, self.cache = spark, State(spark, path, aged={"memories": lifecycle.aged}), rules or Rules(), Cache(cache_ttl)
-        self.service, self.traced, self.trace, self.pending = service, traced, uuid.uuid4().hex, []
+        self.service, self.traced, self.trace, self.pending, self.open = service, traced, uuid.uuid4().hex, [], threading.local()
 
     def memories(self, layer: str | None = None) -> DataFrame:
         m = self.state.read("memories")
@@ -56,20 +73,51 @@ class Engine:
     def _now(self, as_of: datetime | None):
         return F.lit((as_of or datetime.now()).isoformat(" ")).cast("timestamp_ntz")
 
+    @contextmanager
+    def _within(self, operation: str, **known):
+        """A span of what is done inside, also where it fails; calls inside it are its children. What the block gets may be added to.
+
+        Spans wait for flush(), so a call costs no write of its own. Contents are not recorded.
+        """
+        if not self.traced:
+            yield {}
+            return
+        stack = self.open.__dict__.setdefault("spans", [])  # of this thread
+        began, span, parent, more = time.time(), uuid.uuid4().hex[:16], stack[-1] if stack else None, {}
+        said = {"status": "ok"}
+        stack.append(span)
+        try:
+            yield more
+        except Exception as e:
+            said = {"status": "error", "error_message": str(e)[:200]}
+            raise
+        finally:
+            stack.pop()
+            found = said | known | more
+            attributes = {k: str(found.pop(k)) for k in ("method", "rows") if k in found} | ({telemetry.PARENT: parent} if parent else {})
+            self._span(operation, began, span_id=span, **found | ({"attributes": attributes} if attributes else {}))
+
     def _span(self, operation: str, began: float, status: str = "ok", **known) -> None:
-        """Spans wait for flush(), so a call costs no write of its own. Contents are not recorded."""
         if self.traced:
             self.pending.append({"id": uuid.uuid4().hex, "trace_id": self.trace, "span_id": uuid.uuid4().hex[:16], "operation": operation, "timestamp": began, "duration_ms": 1000 * (time.time() - began), "status": status, "service_name": self.service} | known)
 
     def _traced(self, operation: str, call: Callable, **known):
-        began = time.time()
-        try:
-            out = call()
-        except Exception as e:
-            self._span(operation, began, "error", error_message=str(e)[:200], **known)
-            raise
-        self._span(operation, began, **known)
-        return out
+        with self._within(operation, **known):
+            return call()
+
+    def new_trace(self) -> str:
+        """Spans from now on belong to a new trace; its id."""
+        self.trace = uuid.uuid4().hex
+        return self.trace
+
+    def start_tracing(self) -> str:
+        self.traced = True
+        return self.new_trace()
+
+    def stop_tracing(self) -> None:
+        """Write the waiting spans and record no more."""
+        self.flush()
+        self.traced = False
 
     def flush(self, keep: int = 10_000) -> None:
         """Write the waiting spans and keep the newest."""
@@ -86,7 +134,7 @@ class Engine:
 
     def truncate(self, table: str) -> int:
         """Delete all rows of the trigger log, provenance, spans or the tree; the number deleted."""
-        return self.state.delete(table, F.lit(True))
+        return self._traced("delete", lambda: self.state.delete(table, F.lit(True)), method=f"truncate {table}")
 
     def remember(self, content: str, layer: str = "session", source: str = "manual", confidence: float = 1.0, tags=(), as_of: datetime | None = None, expire: bool = True) -> str:
         id = uuid.uuid4().hex
@@ -99,10 +147,14 @@ class Engine:
 
     def learn(self, texts: DataFrame, as_of: datetime | None = None, markers: bool = False, model: Callable[[str], str] | None = None, parallel: int = 4) -> int:
         """Extract facts from (id, layer, content) texts, redacted first, and store them; with a model, by its replies where they hold facts."""
-        clean = texts.withColumn("content", X.redact(F.col("content")))
-        found = dispatch.extract(clean, model, parallel, self.rules.never, self.rules.confidence) if model else extract.by_marker(clean, confidence=self.rules.confidence) if markers else extract.by_pattern(clean, never=self.rules.never, confidence=self.rules.confidence)
-        now = self._now(as_of)
-        return self.state.append(memories=store.rows(found.drop("key", "line_no").withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days)), now))
+        with self._within("store", method="learn") as span:
+            clean = texts.withColumn("content", X.redact(F.col("content")))
+            found = dispatch.extract(clean, model, parallel, self.rules.never, self.rules.confidence) if model else extract.by_marker(clean, confidence=self.rules.confidence) if markers else extract.by_pattern(clean, never=self.rules.never, confidence=self.rules.confidence)
+            now, seen = self._now(as_of), Observation()
+            rows = store.rows(found.drop("key", "line_no").withColumn("expires_at", lifecycle.expiry(F.col("layer"), now, self.rules.ttl_days)), now)
+            v = self.state.append(memories=rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+            span["rows"] = seen.get["rows"]  # of the job that wrote them
+            return v
 
     def forget(self, id: str) -> bool:
         known = store.get(self.memories(), id).limit(1).count() > 0
@@ -133,7 +185,9 @@ class Engine:
             return held
         m = self.memories(layer)
         q = self.spark.createDataFrame([(uuid.uuid4().hex, query)], "query_id string, query string")
-        row = self._traced("retrieve", lambda: retrieve.results(m, q, top_k).first(), query=query, top_k=top_k)
+        with self._within("retrieve", query=query, top_k=top_k) as span:
+            row = retrieve.results(m, q, top_k).first()
+            span |= {"results_count": len(row.facts), "confidence": row.confidence}
         out = {"facts": row.facts, "trace": row.trace, "confidence": row.confidence, "sources": [s.asDict() for s in row.sources or []]}
         if record:
             found = self.spark.createDataFrame([(row.query_id, s["rank"], s["id"], s["layer"], s["content"], s["confidence"]) for s in out["sources"]], "query_id string, rank int, id string, layer string, content string, confidence double")
@@ -142,11 +196,20 @@ class Engine:
         self.cache.set(key, out)
         return out
 
+    def search(self, query: str, top_k: int = 5, layer: str | None = None) -> list[dict]:
+        """Ranked facts with their scores; a span of the search, no provenance."""
+        with self._within("search", query=query, top_k=top_k, layer=layer if layer in ("project", "session", "user") else None) as span:
+            q = self.spark.createDataFrame([("q", query)], "query_id string, query string")
+            found = [r.asDict() for r in retrieve.keyword(self.memories(layer), q, top_k).drop("query_id").collect()]
+            span["results_count"] = len(found)
+        return sorted(found, key=lambda r: r["rank"])
+
     def recall_many(self, queries: DataFrame, top_k: int = 5, layer: str | None = None, model: Callable[[str], str] | None = None, parallel: int = 4) -> DataFrame:
         """Answers of queries (query_id, query); with a model, that it calls on executors, by the nodes it names, else by keywords."""
         m = self.memories(layer)
         return retrieve.results(m, queries, top_k) if model is None else dispatch.recall(m, tree.build(m), queries, model, top_k, parallel)
 
+    @traced("retrieve")
     def recall_stored(self, queries: DataFrame, top_k: int = 5, layer: str | None = None, as_of: datetime | None = None, ttl: float = 300.0) -> DataFrame:
         """(query_id, status, facts, trace, confidence) of queries (query_id, query): stored answers where there are fresh ones, the rest retrieved in one plan and stored for any engine on this state."""
         now, version = self._now(as_of), F.lit(self.state.changed("memories")).cast("long")
@@ -165,6 +228,7 @@ class Engine:
         version = F.lit(self.state.changed("memories")).cast("long")
         return self.state.discard("answers", lambda rows: answers.evict(rows, self._now(as_of), ttl, most, version)[1])
 
+    @traced("retrieve")
     def recall_by_model(self, query: str, model: Callable[[str], str], top_k: int = 5) -> dict:
         """A model sees the stripped inner nodes and names some; any failure, or no facts, means keyword retrieval."""
         m = self.memories()
@@ -181,6 +245,7 @@ class Engine:
             return self.recall(query, top_k)
         return {"facts": [r.content for r in rows], "trace": ["root"] + [r.layer for r in rows[:1]], "confidence": 0.8, "sources": [r.asDict() for r in rows]}
 
+    @traced("update")
     def decay(self, days: float = 1, dry_run: bool = False) -> DataFrame:
         """The report of what changes. The days are recorded and no fact is written: reads age facts by what was recorded after them."""
         v = self.state.version()
@@ -189,6 +254,7 @@ class Engine:
             self.state.write(v, age={"memories": float(days)})
         return report
 
+    @traced("update")
     def decay_if_due(self, min_hours: float = 24.0, as_of: datetime | None = None) -> bool:
         """Decay by the time since the last decay on record, if that is min_hours or more; whether a fact changed. The first call puts the time on record."""
         at = as_of or datetime.now()
@@ -211,16 +277,19 @@ class Engine:
     def expire(self, as_of: datetime | None = None) -> int:
         return self._traced("delete", lambda: self.state.delete("memories", lifecycle.expired(self._now(as_of))))
 
+    @traced("update")
     def trigger(self, event: str, as_of: datetime | None = None) -> list[str]:
         m, log, ran = consolidate.fire(event, self.memories(), self.state.read("triggers_log"), self._now(as_of), self.rules.triggers)
         if ran:
             self.state.commit(memories=m, triggers_log=log)
         return ran
 
+    @traced("update")
     def consolidate(self, source: str = "session", target: str = "project", event: str = "manual", as_of: datetime | None = None) -> int:
         m, log = consolidate.move_logged(self.memories(), self.state.read("triggers_log"), source, target, event, f"consolidate {source} -> {target}", self._now(as_of))
         return self.state.commit(memories=m, triggers_log=log)
 
+    @traced("update")
     def reflect(self, force: bool = False, committed: Callable[[], bool] | None = None, summarise: Callable[[str], str] | None = None, as_of: datetime | None = None) -> str | None:
         """The event that led to reflection, or None."""
         now, m, log = self._now(as_of), self.memories(), self.state.read("triggers_log")
