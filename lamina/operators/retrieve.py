@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..sources.shared import meet
 from . import tree
 
+#: So many stems of queries are broadcast to the facts; more are shuffled with them.
+FEW = 100_000
+
 
 def token_rows(df: DataFrame, keys: list[str], text) -> DataFrame:
     """Distinct (keys, stem) of a text, for tables of few rows such as queries and node labels."""
@@ -50,13 +54,14 @@ def scored(facts: DataFrame, queries: DataFrame, index: DataFrame | None = None,
     """
     f = facts.select("id", F.coalesce("layer", F.lit("session")).alias("layer"), "content", F.coalesce("confidence", F.lit(0.5)).alias("confidence")).where("content is not null and content <> ''")
     q = token_rows(queries, ["query_id"], F.col("query"))
+    small = q.limit(FEW + 1).count() <= FEW
     keys, rest = ["query_id", "id"], ["layer", "content", "confidence"]
     if index is None:
         words = words_of(f, ["id", *rest])
-        met = words.join(q.withColumnRenamed("stem", "asked"), words.stem.eqNullSafe(F.col("asked"))).groupBy(*keys, *rest)  # a null-safe join pushes no copy of the stem below it
+        met = meet(words, q.withColumnRenamed("stem", "asked"), words.stem.eqNullSafe(F.col("asked")), small).groupBy(*keys, *rest)  # a null-safe join pushes no copy of the stem below it
         content = met.agg(*[F.size(F.collect_set(F.when(x, F.col("stem")))).alias(c) for c, x in (("c", ~F.col("head")), ("h", F.col("head")))])
     else:
-        content = q.join(index, "stem").groupBy(*keys).agg(F.sum("in_content").cast("int").alias("c"), F.sum("in_head").cast("int").alias("h")).join(f, "id").select(*keys, *rest, "c", "h")
+        content = meet(index, q, "stem", small).groupBy(*keys).agg(F.sum("in_content").cast("int").alias("c"), F.sum("in_head").cast("int").alias("h")).join(f.hint("merge"), "id").select(*keys, *rest, "c", "h")
     labels = tree.labels(facts)
     by_layer = label_hits(q, labels.where("grp is null"), ["layer"], "sl")
     by_cluster = label_hits(q, labels.where("grp is not null"), ["layer", "grp"], "sc")
@@ -68,7 +73,10 @@ def scored(facts: DataFrame, queries: DataFrame, index: DataFrame | None = None,
         rank = F.row_number().over(W.partitionBy("layer", "grp").orderBy("x.less", "x.id"))
         alone = first.withColumn("rank", rank).where(F.col("rank") <= max(1, best)).select("x.id", "layer", "grp", "content", (-F.col("x.less")).alias("confidence"))
     hit = by_layer.select("query_id", "layer", F.lit(None).cast("string").alias("g")).union(by_cluster.select("query_id", "layer", "grp"))
-    alone = alone.alias("f").join(hit.alias("t"), F.expr("f.layer = t.layer and (t.g is null or t.g = f.grp)")).select("query_id", *[f"f.{c}" for c in ("id", *rest)], F.lit(0).alias("c"), F.lit(0).alias("h"))
+    same = F.expr("f.layer = t.layer and (t.g is null or t.g = f.grp)")
+    alone, hit = alone.alias("f"), hit.alias("t")
+    met = meet(hit, alone, same, True) if best is not None and best <= 1000 else meet(alone, hit, same, small)
+    alone = met.select("query_id", *[f"f.{c}" for c in ("id", *rest)], F.lit(0).alias("c"), F.lit(0).alias("h"))
     rows = tree.clustered(content.unionByName(alone).groupBy(*keys, *rest).agg(F.max("c").alias("c"), F.max("h").alias("h")))
     rows = rows.join(by_layer, ["query_id", "layer"], "left").join(by_cluster, ["query_id", "layer", "grp"], "left")
     boost = F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in V.BOOST.items()], F.lit(1.0))

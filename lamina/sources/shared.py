@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def meet(many: DataFrame, few: DataFrame, on: str | Column, small: bool) -> DataFrame:
+    """many joined with few, which is broadcast if it is small; else both are shuffled.
+
+    Not left to the planner: it takes sizes from compressed files and knows none of rows made on the driver, so it would
+    broadcast the exploded words of all facts to be met by ten queries.
+    """
+    return many.join(F.broadcast(few), on) if small else many.hint("merge").join(few, on)
+
+
 def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -57,3 +57,22 @@ def test_retrieval_compiles_and_scans_little(spark, sf):
                 seen.append(content)
                 best.append((i, -s))
         assert [(r[2], r[6]) for r in sorted(want) if r[0] == k] == [(i, s) for i, s in best[:10] if s >= 0.5 * best[0][1]]
+
+
+def test_facts_are_not_broadcast(spark, sf):
+    """Few queries go to the words of facts, not these through the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
+    for name in ("retrieve_keyword", "retrieve_batch", "retrieve_results", "provenance_report", "provenance_breakdown", "provenance_low_conf", "provenance_imbalance"):
+        lines = plan(queries.QUERIES[name](spark, sf))
+        met = [x for x in lines if "Join" in x and "isnull(stem" in x]
+        assert met and all("BuildRight" in x for x in met), (name, met)
+
+
+def test_many_queries_are_shuffled(spark, sf, monkeypatch):
+    from lamina.operators import retrieve
+
+    f, q = queries.facts(spark, sf).where("id like '%7'"), queries.asked(spark)
+    rows = lambda: [sorted(map(tuple, df.collect())) for df in (retrieve.keyword(f, q, 10), retrieve.keyword(f, q, 10, retrieve.fact_tokens(f)), retrieve.scored(f, q))]
+    want = rows()
+    monkeypatch.setattr(retrieve, "FEW", 1)
+    assert all(want) and rows() == want
