@@ -29,7 +29,7 @@ def health(memories: DataFrame, records: DataFrame, spans: DataFrame, as_of: Col
     recent = lambda df: df if newest is None else df.orderBy(F.desc("timestamp"), "id").limit(newest)
     # One row for each source of a record, or one for a record without: its first row stands for the record.
     last = recent(records).select((provenance.average() < threshold).alias("low"), F.posexplode_outer("sources.memory_id").alias("pos", "id"))
-    known = last.join(memories.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
+    known = last.join(memories.select("id").distinct().withColumn("known", F.lit(True)).hint("merge"), "id", "left")  # ids of all facts are never broadcast
     first = F.coalesce("pos", F.lit(0)) == 0
     seen = known.agg(F.count_if(first).alias("provenance_records"), F.count_if(first & F.col("low")).alias("low_confidence_retrievals"), F.countDistinct(F.when(F.col("known"), F.col("id"))).alias("covered_memories"))
     late = recent(spans).agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("error_spans"))

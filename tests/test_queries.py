@@ -60,12 +60,14 @@ def test_retrieval_compiles_and_scans_little(spark, sf):
 
 
 def test_facts_are_not_broadcast(spark, sf):
-    """Few queries go to the words of facts, not these through the driver."""
+    """Few queries go to the words of facts, not these through the driver; nor do the ids of all facts."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
-    for name in ("retrieve_keyword", "retrieve_batch", "retrieve_results", "provenance_report", "provenance_breakdown", "provenance_low_conf", "provenance_imbalance"):
+    for name in ("retrieve_keyword", "retrieve_batch", "retrieve_results", "provenance_report", "provenance_breakdown", "provenance_low_conf", "provenance_imbalance", "health_report"):
         lines = plan(queries.QUERIES[name](spark, sf))
         met = [x for x in lines if "Join" in x and "isnull(stem" in x]
         assert met and all("BuildRight" in x for x in met), (name, met)
+    ids = [x for x in lines if "Join [id#" in x]
+    assert ids and all("SortMergeJoin" in x for x in ids), ids
 
 
 def test_many_queries_are_shuffled(spark, sf, monkeypatch):
