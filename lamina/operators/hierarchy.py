@@ -5,7 +5,8 @@ tree of depth d takes log2(d) joins, whether it is a memory tree of four levels
 looks up one row for each pointer; many rows with one pointer (a parent of a third of all nodes) are a skewed left
 side, which adaptive execution splits. Sums below a node are partial aggregates. Nothing is numbered by a window
 over all rows or over the children of one node: rows are dealt by ranges of (parent, order), summed by range, and the
-sums of the ranges, one row a partition, are the only thing that the driver sees.
+sums of the ranges, one row a partition, are the only thing that the driver sees. Joins of nodes are hinted to sort and
+shuffle: by the size of its compressed file a table of millions of nodes is small enough to be broadcast.
 
 A null or empty parent makes a root. Rows without an id are no nodes; of repeated ids the row with the smallest
 parent counts. `status` is ok below a root, orphan at and below a node whose parent is not there, cycle
@@ -31,7 +32,7 @@ def climb(rows: DataFrame, combine: dict[str, Callable[[Column, Column], Column]
     rows, done = cut(rows), 0
     while (most is None or done < most) and not rows.where("up is not null").isEmpty():
         above = rows.select(F.col("node").alias("_node"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in combine])
-        moved = rows.where("up is not null").join(above, F.col("up") == F.col("_node"))
+        moved = rows.where("up is not null").join(above.hint("merge"), F.col("up") == F.col("_node"))
         kept = [c for c in rows.columns if c not in combine and c != "up"]
         step = moved.select(*kept, F.col("_up").alias("up"), *[f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in combine.items()])
         rows, done = cut(rows.where("up is null").unionByName(step)), done + 1
@@ -43,7 +44,7 @@ def resolve(nodes: DataFrame, id: str = "node_id", parent: str = "parent_id") ->
     up = F.when(F.col(parent).cast("string") != "", F.col(parent))
     once = nodes.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("node")).agg(F.min(up).alias("parent"))
     known = once.select(F.col("node").alias("_there"))
-    first = once.join(known, F.col("parent") == F.col("_there"), "left")
+    first = once.join(known.hint("merge"), F.col("parent") == F.col("_there"), "left")
     top = F.col("_there").isNull()
     rows = first.select(
         "node", "parent", F.col("_there").alias("up"), F.when(top, F.col("node")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("parent").isNull(), "ok").when(top, "orphan").alias("status")
