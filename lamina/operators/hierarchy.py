@@ -78,9 +78,9 @@ def sizes(rows: DataFrame) -> DataFrame:
     while not at.where("up is not null").isEmpty():
         brought = at.where("up is not null").groupBy(F.col("up").alias("_node")).agg(F.sum("size").alias("_size"))
         above = at.select(F.col("node").alias("_n"), F.col("up").alias("_up"))
-        more = at.join(brought, F.col("node") == F.col("_node"), "left").select("node", "up", (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
-        at = cut(more.join(above, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), "size"))
-    return base.join(at.select("node", "size"), "node")
+        more = at.join(brought.hint("merge"), F.col("node") == F.col("_node"), "left").select("node", "up", (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
+        at = cut(more.join(above.hint("merge"), F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), "size"))
+    return base.join(at.select("node", "size").hint("merge"), "node")
 
 
 def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
@@ -105,12 +105,12 @@ def intervals(nodes: DataFrame, id: str = "node_id", parent: str = "parent_id",
     more = nodes.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("node")).agg(F.count("*").alias("_n"), *[F.min(c).alias(f"c_{c}") for c in kept]).drop("_n")
     if label in (id, parent):
         more = more.withColumn(f"c_{label}", F.col("node"))
-    found = resolve(nodes, id, parent).where("status = 'ok'").drop("status").join(more, "node").withColumn("up", F.col("parent"))
+    found = resolve(nodes, id, parent).where("status = 'ok'").drop("status").join(more.hint("merge"), "node").withColumn("up", F.col("parent"))
     sized = sizes(cut(found))
     by = [F.col("parent").asc_nulls_first(), *[F.col(f"c_{c}").asc_nulls_first() for c in order or []], F.col("node").asc()]
     placed = running(sized, by, "size", "before")
     least = placed.where("parent is not null").groupBy(F.col("parent").alias("_parent")).agg(F.min("before").alias("_first"))
-    steps = placed.join(least, F.col("parent") == F.col("_parent"), "left").withColumn("enter", F.col("before") - F.coalesce("_first", F.lit(0)) + 1)
+    steps = placed.join(least.hint("merge"), F.col("parent") == F.col("_parent"), "left").withColumn("enter", F.col("before") - F.coalesce("_first", F.lit(0)) + 1)
     out, combine = ["node", "parent", "root", "depth", "enter", "size"], {"enter": lambda own, above: own + above}
     if label:
         steps = steps.withColumn("path", F.coalesce(F.col(f"c_{label}").cast("string"), F.lit("")))
@@ -129,7 +129,7 @@ def below(labelled: DataFrame, chosen: DataFrame, few: int = 10_000) -> DataFram
     at = cut(labelled.join(tops, F.col("node") == F.col("_top")).select(F.col("_top").alias("top"), "node"))
     out = at
     while not at.isEmpty():
-        at = cut(at.join(edges, F.col("node") == F.col("_up")).select("top", F.col("_node").alias("node")))
+        at = cut(at.join(edges.hint("merge"), F.col("node") == F.col("_up")).select("top", F.col("_node").alias("node")))
         out = out.unionByName(at)
     return out
 
@@ -165,7 +165,7 @@ def nest(labelled: DataFrame, nodes: DataFrame, id: str = "node_id") -> DataFram
     A document holds its whole subtree, so it is as large as that; cut a forest into roots that fit a row first. nodes has (id, layer, title, summary, …).
     """
     kept = [c for c in ("layer", "title", "summary", "memory_ids", "confidence") if c in nodes.columns]
-    rows = cut(labelled.select("node", "parent", "root", "depth", "enter").join(nodes.select(F.col(id).alias("node"), *kept), "node"))
+    rows = cut(labelled.select("node", "parent", "root", "depth", "enter").join(nodes.select(F.col(id).alias("node"), *kept).hint("merge"), "node"))
     deepest = rows.agg(F.max("depth")).first()[0]
     made = None
     for d in range(deepest if deepest is not None else -1, -1, -1):
@@ -174,7 +174,7 @@ def nest(labelled: DataFrame, nodes: DataFrame, id: str = "node_id") -> DataFram
             level = level.withColumn("children", F.lit("[]"))
         else:
             own = made.groupBy(F.col("parent").alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("enter", "json"))), lambda c: c["json"]), ",").alias("c"))
-            level = level.join(own, F.col("node") == F.col("_p"), "left").withColumn("children", F.concat(F.lit("["), F.coalesce("c", F.lit("")), F.lit("]")))
+            level = level.join(own.hint("merge"), F.col("node") == F.col("_p"), "left").withColumn("children", F.concat(F.lit("["), F.coalesce("c", F.lit("")), F.lit("]")))
         head = F.to_json(F.struct(F.col("node").alias("id"), *kept))
         made = level.withColumn("_h", head).select("parent", "root", "enter", F.concat(F.expr("substring(_h, 1, length(_h) - 1)"), F.lit(',"children":'), F.col("children"), F.lit("}")).alias("json"))
         made = cut(made) if d % 16 == 0 else made

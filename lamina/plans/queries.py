@@ -143,7 +143,7 @@ def tree_lines(spark, sf):
     n = T.build(facts(spark, sf))
     label = F.when(F.col("depth") == 3, F.concat(F.lit("[mem] "), F.substring("title", 1, 50))).otherwise(F.concat(F.lit("[dir] "), "title", F.when(F.col("confidence") < 1, F.concat(F.lit(" (conf: "), F.round("confidence", 2).cast("string"), F.lit(")"))).otherwise("")))
     said = n.select(F.col("node_id").alias("node"), label.alias("said"))
-    return H.lines(H.intervals(n, order=["title"]).join(said, "node"), F.col("said"))
+    return H.lines(H.intervals(n, order=["title"]).join(said.hint("merge"), "node"), F.col("said"))
 
 
 def tree_leaves(spark, sf):

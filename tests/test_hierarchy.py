@@ -87,3 +87,14 @@ def test_documents_to_rows_and_back(spark):
     assert {(r.node_id, r.parent_id, r.position) for r in rows.collect()} >= {("r1", None, 0), ("l1", "r1", 0), ("d5", "r1", 1), ("d0", "d1", 0)}
     (made,) = H.nest(H.intervals(rows, order=["position"]), rows).collect()
     assert json.loads(made.json) == root
+
+
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    """No round of pointer doubling or sizes sends all nodes through the driver; only the sums of ranges are broadcast."""
+    plans, cut = [], H.cut
+    said = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(H, "cut", lambda df: plans.append(said(df)) or cut(df))
+    df = spark.range(64).selectExpr("id as node_id", "case when id % 16 > 0 then id - 1 end as parent_id", "'n' as name")
+    plans.append(said(H.intervals(df, order=["name"])))
+    joins = [x.strip() for p in plans for x in p.splitlines() if "Join" in x]
+    assert sum("SortMergeJoin" in x for x in joins) > 10 and all("SortMergeJoin" in x or "[_p#" in x for x in joins), joins
