@@ -10,36 +10,36 @@ from ..functions import text as X
 from ..functions import values as V
 
 
-def lines(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """(key, line_no, line) of the stripped lines of ten or more characters."""
-    cut = df.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", X.strip(F.col("line"))).where(F.length("line") >= 10)
+def lines(df: DataFrame, key: str = "id", text: str = "content", layer: str = "layer") -> DataFrame:
+    """(key, layer, line_no, line) of the stripped lines of ten or more characters, dealt evenly to tasks: short facts lie in few files, and the patterns take far longer than their reading."""
+    cut = df.select(F.col(key).alias("key"), F.col(layer).alias("layer"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut.withColumn("line", X.strip(F.col("line"))).where(F.length("line") >= 10).repartition(tasks)
 
 
-def candidate(line, never=V.NEVER_FORGET):
-    """struct<content, level, tag> of the first pattern whose content is acceptable, or null: a refused one passes to the next pattern."""
+def candidates(line, never=V.NEVER_FORGET):
+    """array<struct<content, level, tag>>: the acceptable content of each pattern, in their order. Contents are elements of an array, so each is extracted once, not once for each test."""
     found = []
     for pattern, group, level, tag in V.EXTRACTION:
         content = X.strip(F.nullif(F.regexp_extract(line, f"(?i){pattern}", group), F.lit("")), ". ;,\t")
-        good = (F.length(content) >= 10) & ~X.holds_word(content, never) & (F.size(X.pii_labels(content)) == 0)
-        found.append(F.when(good, F.struct(content.alias("content"), F.lit(level).alias("level"), F.lit(tag).alias("tag"))))
-    return F.coalesce(*found)
+        found.append(F.struct(content.alias("content"), F.lit(level).alias("level"), F.lit(tag).alias("tag")))
+    return F.filter(F.array(*found), lambda x: (F.length(x["content"]) >= 10) & ~X.holds_word(x["content"], never) & (F.size(X.pii_labels(x["content"])) == 0))
 
 
 def by_pattern(df: DataFrame, key: str = "id", text: str = "content", layer: str = "layer", never=V.NEVER_FORGET, confidence=None) -> DataFrame:
-    """(key, line_no, layer, content, source, confidence, tags); of equal first 50 characters in one text the first line stays."""
+    """(key, line_no, layer, content, source, confidence, tags) of the first pattern whose content is acceptable: a refused one passes to the next. Of equal first 50 characters in one text the first line stays."""
     levels = V.CONFIDENCE | (confidence or {})
-    rows = lines(df, key, text).withColumn("hit", candidate(F.substring("line", 1, 500), never)).where("hit is not null")
+    rows = lines(df, key, text, layer).select("key", "layer", "line_no", F.explode(F.slice(candidates(F.substring("line", 1, 500), never), 1, 1)).alias("hit"))
     first = F.row_number().over(W.partitionBy("key", F.lower(F.substring("hit.content", 1, 50))).orderBy("line_no"))
     level = F.coalesce(*[F.when(F.col("hit.level") == k, F.lit(float(v))) for k, v in levels.items()], F.lit(0.5))
-    kept = rows.withColumn("nth", first).where("nth = 1").join(df.select(F.col(key).alias("key"), F.col(layer).alias("layer")), "key")
+    kept = rows.withColumn("nth", first).where("nth = 1")
     return kept.select("key", "line_no", "layer", "hit.content", F.lit("heuristic_extract").alias("source"), level.alias("confidence"), F.array("layer", "hit.tag", "hit.level").alias("tags"))
 
 
 def by_marker(df: DataFrame, key: str = "id", text: str = "content", layer: str = "layer", confidence=None) -> DataFrame:
     """(key, line_no, layer, content, source, confidence, tags) of the lines whose markers give 0.5 or more."""
-    rows = lines(df, key, text).withColumn("confidence", X.line_confidence(F.col("line"), confidence)).where("confidence >= 0.5")
-    rows = rows.join(df.select(F.col(key).alias("key"), F.col(layer).alias("layer")), "key")
+    rows = lines(df, key, text, layer).withColumn("confidence", X.line_confidence(F.col("line"), confidence)).where("confidence >= 0.5")
     return rows.select("key", "line_no", "layer", F.col("line").alias("content"), F.lit("heuristic").alias("source"), "confidence", F.array("layer", F.lit("auto-extracted")).alias("tags"))
 
 

@@ -78,3 +78,13 @@ def test_many_queries_are_shuffled(spark, sf, monkeypatch):
     want = rows()
     monkeypatch.setattr(retrieve, "FEW", 1)
     assert all(want) and rows() == want
+
+
+def test_extraction_is_dealt_to_all_tasks(spark, sf):
+    """Facts of one small file meet the patterns in many tasks, and are not joined with themselves for their layer."""
+    from lamina.operators import extract
+
+    f = queries.facts(spark, sf)
+    assert f.rdd.getNumPartitions() < 8 <= extract.lines(f).rdd.getNumPartitions()
+    for name in ("extract_patterns", "extract_heuristic"):
+        assert "Join" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
