@@ -66,9 +66,22 @@ def stems(text: Column) -> Column:
     return F.transform(F.transform(words(text), synonym), stem)
 
 
+def words_in(df, text: Column, *keys: str):
+    """(keys, word) of every word of a text, as words() gives them, a row each; stop words are left out in generated code."""
+    every = F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word")
+    return df.select(*keys, every).where(~F.col("word").isin(*V.STOP_WORDS))
+
+
 def stemmed(df, word: str, to: str):
-    """df with the stem of a word in column `to`. In two steps: nested, the synonym's cases would stand in every case of the stem."""
-    return df.withColumn(to, synonym(F.col(word))).withColumn(to, stem(F.col(to)))
+    """df with the stem of a word in column `to`. In steps, the number of the rule that fits before its one cut: nested, or with a
+    cut in each case, the generated method is too long for the JVM to compile and is interpreted."""
+    w = F.col(to)
+    rule = F.when(F.lit(False), F.lit(0))
+    for i, (suffix, _) in enumerate(V.SUFFIXES, 1):
+        rule = rule.when(w.endswith(suffix) & (F.length(w) > len(suffix) + 2), F.lit(i))
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_rule"))
+    cut = F.concat(w.substr(F.lit(1), F.length(w) - of(len(s) for s, _ in V.SUFFIXES)), of(s for _, s in V.SUFFIXES))
+    return df.withColumn(to, synonym(F.col(word))).withColumn("_rule", rule).withColumn(to, F.when(F.col("_rule").isNull(), w).otherwise(cut)).drop("_rule")
 
 
 def cluster(text: Column) -> Column:

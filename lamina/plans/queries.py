@@ -69,14 +69,13 @@ def retrieve_naive(spark, sf):
 
 
 def tokenize_counts(spark, sf):
-    w = read(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    per_doc = X.stemmed(w, "word", "stem").groupBy("doc_id", "stem").agg(F.sum("k").alias("k"))
-    return per_doc.groupBy("stem").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
+    w = X.words_in(read(spark, sf, "documents"), F.col("text"), "doc_id")
+    per_doc = X.stemmed(w, "word", "stem").groupBy("doc_id", "stem").agg(F.count("*").alias("k"))
+    return per_doc.groupBy("stem").agg(F.sum("k").alias("n"), F.count("doc_id").alias("n_docs"))
 
 
 def stem_dictionary(spark, sf):
-    w = read(spark, sf, "documents").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
-    return X.stemmed(w, "word", "stem")
+    return X.stemmed(X.words_in(read(spark, sf, "documents"), F.col("text")).distinct(), "word", "stem")
 
 
 def redact_facts(spark, sf):

@@ -83,3 +83,21 @@ def test_parse_action():
     assert X.parse_action("Consolidate session --> project") == {"verb": "consolidate", "from": "session", "to": "project"}
     assert X.parse_action("extract -> project if contains decision") == {"verb": "extract", "to": "project", "condition": "contains decision"}
     assert X.parse_action("nope")["verb"] == "unknown"
+
+
+def test_stems_by_rule_numbers_equal_the_cases(spark):
+    said = [x + s for s, _ in V.SUFFIXES for x in ("", "a", "ab", "abc", "straß")] + [*V.SYNONYMS, "word", "", None]
+    df = spark.createDataFrame([(w,) for w in said], "word string")
+    assert X.stemmed(df, "word", "stem").select("word", "stem").collect() == df.select("word", X.stem(X.synonym(F.col("word"))).alias("stem")).collect()
+
+
+def test_token_counts_shuffle_once_by_document(spark, tmp_path):
+    """Words are stemmed before the one aggregate by document; a null doc_id is no document, as in SQL; a repeated one is one."""
+    from lamina.plans import queries
+
+    rows = [(1, "Testing the tests"), (1, "tested"), (None, "tester zebra"), (2, None), (3, "zebra")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.tokenize_counts(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("test", 4, 1), ("zebra", 2, 1)}
+    plan = queries.tokenize_counts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
