@@ -70,6 +70,32 @@ def test_facts_are_not_broadcast(spark, sf):
     assert ids and all("SortMergeJoin" in x for x in ids), ids
 
 
+def _broadcast_rows(df):
+    """Rows of every broadcast that the plan, as it was run, sent through the driver."""
+    df.collect()
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "BroadcastExchange":
+            yield p.metrics().apply("numOutputRows").value()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if name.endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+        for x in inner:
+            yield from walk(x)
+
+    return sorted(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_broadcasts_do_not_grow_with_facts(spark, sf, tmp_path):
+    """Six times the facts: what retrieval and provenance broadcast stays the questions, the labels and the best few of each cluster."""
+    part = queries.read(spark, sf, "part")
+    n = part.agg(F.max("p_partkey")).first()[0] + 1
+    copies = part.crossJoin(spark.range(6).withColumnRenamed("id", "i")).withColumn("p_partkey", F.col("p_partkey") + F.col("i") * n).drop("i")
+    copies.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("retrieve_batch", "retrieve_results", "provenance_report"):  # the other reports are made of the same records
+        small, large = (_broadcast_rows(queries.QUERIES[name](spark, at)) for at in (sf, str(tmp_path)))
+        assert small and sum(large) <= 1.5 * sum(small) and sum(large) < part.count(), (name, small, large)
+
+
 def test_many_queries_are_shuffled(spark, sf, monkeypatch):
     from lamina.operators import retrieve
 
